@@ -36,6 +36,18 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm import order_minhash as omh
+
+    rows = omh.with_next(_documents(spark, sf_dir).select("doc_id", "text"))
+    rows = rows.withColumn("edited", omh.edited(F.col("text"), F.col("next_text"))).withColumn("edited_signature", omh.signature(F.col("edited")))
+    return rows.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        omh.fingerprint(F.col("signature")).alias("fingerprint"), omh.fingerprint(F.col("edited_signature")).alias("edited_fingerprint"),
+        omh.likeness(F.col("signature"), F.col("edited_signature")).alias("near_edited"), omh.likeness(F.col("signature"), F.col("next_signature")).alias("near_next"),
+    )
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.sharding import shard_records
 
@@ -45,6 +57,13 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
+def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.bpe import encode_decode, token_digests
+
+    coded = encode_decode(_documents(spark, sf_dir).select("doc_id", "text"), _tokenizer("word_bpe_49k.json"))
+    return token_digests(coded.drop("text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op9_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.language_id import fit_language_profiles
 
@@ -57,7 +76,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_quality_crf": op3_quality_crf,
+        "op4_order_minhash": op4_order_minhash,
         "op5_virtual_slots": op5_virtual_slots,
+        "op6_bpe_segment_tree": op6_bpe_segment_tree,
         "op9_language_hd": op9_language_hd,
     }
 
