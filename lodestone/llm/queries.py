@@ -20,6 +20,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.near_dedup import Settings, near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), settings=Settings(words=4))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.packing import pack_documents
 
@@ -74,6 +80,7 @@ def op9_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_bayes": op1_minhash_bayes,
         "op2_best_fit_packing": op2_best_fit_packing,
         "op3_quality_crf": op3_quality_crf,
         "op4_order_minhash": op4_order_minhash,
