@@ -78,6 +78,13 @@ def op9_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.apply(docs.select("doc_id", "text")).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op10_suffix_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.suffix_dedup import remove_spans, repeated_passages
+
+    kept = remove_spans(repeated_passages(_documents(spark, sf_dir).select("doc_id", "text")))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_bayes": op1_minhash_bayes,
@@ -87,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_virtual_slots": op5_virtual_slots,
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
         "op9_language_hd": op9_language_hd,
+        "op10_suffix_two_stage": op10_suffix_two_stage,
     }
 
 
