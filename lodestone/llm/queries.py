@@ -70,6 +70,19 @@ def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(coded.drop("text")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.collision_ann import search
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
+def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.warc import derivatives, responses
+
+    return derivatives(responses(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
 def op9_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm.language_id import fit_language_profiles
 
@@ -93,6 +106,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_order_minhash": op4_order_minhash,
         "op5_virtual_slots": op5_virtual_slots,
         "op6_bpe_segment_tree": op6_bpe_segment_tree,
+        "op7_collision_counting": op7_collision_counting,
+        "op8_warc_derivatives": op8_warc_derivatives,
         "op9_language_hd": op9_language_hd,
         "op10_suffix_two_stage": op10_suffix_two_stage,
     }
