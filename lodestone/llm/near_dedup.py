@@ -148,7 +148,7 @@ def signatures(docs: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
 
 
 def band_keys(nodes: DataFrame, s: Settings) -> DataFrame:
-    """(bucket, node) for each band of each node."""
+    """(bucket, node, band) for each band of each node."""
 
     def bands(batches):
         for batch in slices(batches, 1024):
@@ -156,9 +156,9 @@ def band_keys(nodes: DataFrame, s: Settings) -> DataFrame:
             key = np.broadcast_to(np.arange(s.bands, dtype=np.uint64), sig.shape[:2])
             for r in range(s.rows):
                 key = mix(key * ODD + sig[:, :, r])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), s.bands)))], names=["bucket", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sig)), s.bands))), pa.array(np.tile(np.arange(s.bands, dtype=np.int32), len(sig)))], names=["bucket", "node", "band"])
 
-    return nodes.select("node", "sig").mapInArrow(bands, "bucket long, node long")
+    return nodes.select("node", "sig").mapInArrow(bands, "bucket long, node long, band int")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
@@ -203,60 +203,113 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, s: Settings
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "u long, v long").distinct()
 
 
-def between_components(buckets: DataFrame, groups: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
-    """Pairs (a, b) of different components that share a bucket and that their signatures do not rule out.
+def first_labels(links: DataFrame) -> DataFrame:
+    """(node, component) after two steps along the links (u smaller than v): equal labels are surely connected."""
+    one = links.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
+    two = one.select(F.col("node").alias("component"), F.col("component").alias("next"))
+    two = one.join(two, "component", "left").select("node", F.coalesce("next", "component").alias("component"))
+    return two
+
+
+def grouped(batches, key: str):
+    """Runs of rows with an equal ``key``, which must be sorted, as tables."""
+    held = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
+        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0] != keys[at]:
+                yield pa.Table.from_batches(held[1])
+                held = []
+            if held:
+                held[1].append(batch.slice(at, end - at))
+            else:
+                held = [keys[at], [batch.slice(at, end - at)]]
+    if held:
+        yield pa.Table.from_batches(held[1])
+
+
+def open_pairs(table: pa.Table, s: Settings, steps: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers (i, j) of pairs of different components that signatures do not rule out and that share no earlier band."""
+    node, component, own = (table.column(c).to_numpy() for c in ("node", "component", "own"))
+    band = table.column("band")[0].as_py()
+    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, s.size)
+    i, j = np.nonzero((component[:, None] != component) & (node[:, None] < node) & ((own[:, None] != own) | (own.min() == own.max())))
+    alive, matches, done = np.arange(len(i)), np.zeros(len(i), np.int16), 0
+    for n, least in steps:
+        for c in range(done, n):
+            matches += sig[i[alive], c] == sig[j[alive], c]
+        keep = matches >= least
+        alive, matches, done = alive[keep], matches[keep], n
+    i, j = i[alive], j[alive]
+    fresh = np.ones(len(i), bool)
+    for earlier in range(band):
+        at = earlier * s.rows
+        same = fresh.copy()
+        for c in range(at, at + s.rows):
+            same[same] = sig[i[same], c] == sig[j[same], c]
+        fresh &= ~same
+    return i[fresh], j[fresh]
+
+
+def between_components(buckets: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
+    """Links (u, v) between different components that share a bucket.
 
     Only buckets with several components take part.  Buckets of more than ``BLOCK`` nodes are cut into
-    blocks that meet two by two in separate groups; pairs that fail the first batches are never rows.
+    blocks that meet two by two in separate groups.  A first pass over signatures finds the nodes of
+    pairs that are not ruled out; these meet again with their full sets.  Pairs are never rows before
+    they are links, and a pair is verified in the first bucket that it shares.
     """
-    labelled = buckets.join(groups, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    labelled = buckets.join(groups, "node", "left").select("bucket", "node", "band", F.coalesce("component", "node").alias("component"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     rows = labelled.join(open_.select("bucket", blocks.alias("blocks")), "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", "component", "own", F.concat_ws("/", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("meet"))
-    rows = rows.join(nodes.select("node", "sig"), "node").repartition("meet").sortWithinPartitions("meet")
+    rows = rows.select("node", "component", "own", "band", F.concat_ws("/", "bucket", F.least("own", "other"), F.greatest("own", "other")).alias("meet"))
     steps = least_matches(s)
+    names = ["node", "component", "own", "band", "meet"]
+    schema = "node long, component long, own int, band int, meet string"
+
+    def candidates(batches):
+        for table in grouped(batches, "meet"):
+            i, j = open_pairs(table, s, steps)
+            if len(i):
+                yield from table.select(names).take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()
+
+    rows = rows.join(nodes.select("node", "sig"), "node").select(*names, "sig").repartition("meet").sortWithinPartitions("meet")
+    rows = written(rows.mapInArrow(candidates, schema), "open")
+    ids = rows.select(F.col("node").alias("id")).distinct()
+    few = ids.count() <= FEW_IDS
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
-    def compare(node: np.ndarray, component: np.ndarray, own: np.ndarray, sig: np.ndarray) -> np.ndarray:
-        i, j = np.nonzero((component[:, None] != component) & (node[:, None] < node) & ((own[:, None] != own) | (own.min() == own.max())))
-        alive, matches, done = np.arange(len(i)), np.zeros(len(i), np.int16), 0
-        for n, least in steps:
-            for c in range(done, n):
-                matches += sig[i[alive], c] == sig[j[alive], c]
-            keep = matches >= least
-            alive, matches, done = alive[keep], matches[keep], n
-        return np.column_stack([node[i[alive]], node[j[alive]]])
-
-    def meet(batches):
-        name, held = None, []
-
-        def flush():
-            found = compare(*(np.concatenate([h[k] for h in held]) for k in range(4))) if held else np.zeros((0, 2), np.int64)
-            return found if len(found) else None
-
-        for batch in batches:
-            keys = batch.column(3).to_pylist()
-            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            sigs = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(-1, s.size)
-            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
-            out = []
-            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if at == end:
-                    continue
-                if keys[at] != name:
-                    out.append(flush())
-                    name, held = keys[at], []
-                held.append([*(c[at:end] for c in columns), sigs[at:end]])
-            out = [o for o in out if o is not None]
-            if out:
-                both = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-        last = flush()
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(last[:, 0]), pa.array(last[:, 1])], names=["a", "b"])
-
-    return rows.select("node", "component", "own", "meet", "sig").mapInArrow(meet, "a long, b long").distinct()
+    def sets(batches):
+        for batch in slices(batches, 512):
+            found = [x.tobytes() for x in shingle_sets(batch.column(1).to_pylist(), s.words)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["node", "found"])
+
+    texts = texts.mapInArrow(sets, "node long, found binary").dropDuplicates(["node"])
+
+    def verify(batches):
+        for table in grouped(batches, "meet"):
+            i, j = open_pairs(table, s, steps)
+            node, found = table.column("node").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
+            u, v = [], []
+            order = np.argsort(i, kind="stable")
+            firsts, at = np.unique(i[order], return_index=True)
+            for a, partners in zip(firsts.tolist(), np.split(j[order], at[1:]), strict=True):
+                own, sizes = found[a], np.array([len(found[b]) for b in partners])
+                joined = np.concatenate([found[b] for b in partners])
+                both = np.add.reduceat((own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
+                good = partners[100 * both >= s.percent * (len(own) + sizes - both)]
+                u += [node[a]] * len(good)
+                v += node[good].tolist()
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    full = rows.join(nodes.select("node", "sig"), "node").join(texts, "node").select(*names, "sig", "found").repartition("meet").sortWithinPartitions("meet")
+    return full.mapInArrow(verify, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -274,10 +327,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     buckets = written(_shared(band_keys(nodes, s)), "buckets")
     pivots = buckets.groupBy("bucket").agg(F.min("node").alias("a"))
     stars = buckets.join(pivots, "bucket").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    tried = written(stars, "tried")
-    links = written(verified(written(likely(tried, nodes, s), "likely"), docs, key, text, s), "links")
-    rest = between_components(buckets, connected_components(links), nodes, s).join(tried, ["a", "b"], "left_anti")
-    groups = connected_components(links.union(verified(written(rest, "likely"), docs, key, text, s)))
+    links = written(verified(written(likely(stars, nodes, s), "likely"), docs, key, text, s), "links")
+    more = between_components(buckets, first_labels(links), nodes, docs, key, text, s)
+    groups = connected_components(links.union(more))
     by_content = nodes.join(groups, "node", "left").select("content", F.coalesce("component", "node").alias("component"))
     out = signed.join(by_content, "content", "left")
     component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component")), F.col("id"))
