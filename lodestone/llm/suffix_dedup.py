@@ -16,6 +16,8 @@ by its anchor, the ``GRAM`` bytes of it with the smallest hash: equal windows ha
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -75,8 +77,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
 
 
 def window_hash(window: bytes) -> int:
-    data = np.frombuffer(window, np.uint8)
-    return int(np.bitwise_xor.reduce(gram_hashes(data) * (np.arange(len(data) - GRAM + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1))))
+    return int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little")
 
 
 def eight_bytes(data: np.ndarray) -> np.ndarray:
@@ -96,8 +97,8 @@ def directly_sorted(data: np.ndarray, lasts: np.ndarray) -> np.ndarray:
     n = len(data)
     follow = np.append(data[1:].astype(np.int16), -1)
     follow[lasts] = -1
-    differ = np.flatnonzero(follow != data)
-    last = differ[np.searchsorted(differ, np.arange(n))]
+    differ = np.flatnonzero(follow != data).astype(np.int32)
+    last = np.repeat(differ, np.diff(differ, prepend=-1))
     return (follow[last] > data[last]) | (follow[last] < 0)
 
 
@@ -109,8 +110,9 @@ def two_stage_order(data: np.ndarray, keys: np.ndarray, wanted: np.ndarray, risi
     """
     n = len(data)
     direct, induced = np.flatnonzero(wanted & rising), wanted & ~rising
-    words = [keys[np.minimum(direct + 8 * t, n - 1)] * (direct + 8 * t < n) for t in range((length + 7) // 8, -1, -1)]
-    direct = direct[np.lexsort(words)]
+    for t in range((length + 7) // 8 - 1, -1, -1):  # stable sorts from the last eight bytes to the first
+        at = direct + 8 * t
+        direct = direct[np.argsort(keys[np.minimum(at, n - 1)] * (at < n), kind="stable")]
     direct = [direct[data[direct] == c] for c in range(256)]
     heads: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
@@ -167,17 +169,17 @@ def repeated_windows(texts: list[bytes], starts: np.ndarray, length: int, rank:
     total = int(starts.sum())
     first = np.cumsum(starts) - starts
     places = np.repeat(base - first, starts) + np.arange(total)
-    window = np.full(len(data), -1, np.int64)
+    window = np.full(len(data), -1, np.int32)
     window[places] = np.arange(total)
     # after the last window, go on to the first place that is sorted directly: each induced one has its successor
     rising = directly_sorted(data, base + sizes - 1)
     places = np.flatnonzero(rising)
     stop = places[np.searchsorted(places, base + starts - 1)]
-    mark = np.zeros(len(data) + 1, np.int64)
+    mark = np.zeros(len(data) + 1, np.int8)
     np.add.at(mark, base, 1)
     np.add.at(mark, stop + 1, -1)
     keys = eight_bytes(data)
-    order = two_stage_order(data, keys, np.cumsum(mark[:-1]) > 0, rising, length)
+    order = two_stage_order(data, keys, np.cumsum(mark[:-1], dtype=np.int8) > 0, rising, length)
     order = order[window[order] >= 0]
     group = np.cumsum(common_prefixes(data, keys, order, length) < length) - 1
     own = rank[window[order]]
@@ -347,26 +349,28 @@ def repeated_spans(sent: DataFrame, length: int) -> DataFrame:
     return sent.mapInArrow(find, "doc long, tie long, start long, end long")
 
 
-def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, part_mb: int = 24) -> DataFrame:
+def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, part_mb: int = 2) -> DataFrame:
     """``key``, ``text`` and ``spans`` (sorted array of start, end in bytes of UTF-8, which may overlap): what to remove.
 
     Texts count as bytes, null as empty; matches never cross documents.  Rows are ordered by ``key``,
     nulls first, then by a hash of the text; rows equal in both are one document and get the same
     spans.  A document whose text occurs earlier is removed whole if it has ``length`` bytes.  Texts
     shorter than ``length`` keep everything.  An empty table gives no rows.
+    ``part_mb`` of text make a partition of the suffix arrays, which need about 100 bytes for each of theirs.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("key", F.coalesce("key", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("tie"), "text")
     digests = written(rows.select("doc", "tie", F.md5("text").alias("digest"), F.octet_length("text").cast("long").alias("size")), "digests")
     total = digests.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    parts = max(2 * shuffle_parts(spark), int(total // (part_mb << 20)) + 1)
+    parts = max(shuffle_parts(spark), int(total // (8 * part_mb << 20)) + 1)
+    text_parts = max(shuffle_parts(spark), int(total // (part_mb << 20)) + 1)
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("first"))
     copies = digests.join(firsts, "digest").where("doc > first").select("doc", "tie").distinct()
     found = shared_anchors(find_anchors(rows.select("doc", "tie", "text"), length, parts).repartition(parts, "part"))
     lists = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "count", "hash", "hot")).alias("found")).join(copies, ["doc", "tie"], "left_anti")
     owned = rows.select("doc", "tie", "text").join(lists, ["doc", "tie"]).select("doc", "tie", "text", "found")
-    spans = written(repeated_spans(send_texts(owned, length, parts).repartition(parts, "part"), length), "spans")
+    spans = written(repeated_spans(send_texts(owned, length, text_parts).repartition(text_parts, "part"), length), "spans")
     spans = spans.groupBy("doc", "tie").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     out = rows.join(spans, ["doc", "tie"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc", "tie"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
