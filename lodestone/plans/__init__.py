@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _load() -> None:
-    from lodestone.plans import audit_plans, graph_plans, ranking_plans, text_plans, vector_plans  # noqa: F401
+    from lodestone.plans import audit_plans, graph_plans, io_plans, ranking_plans, text_plans, vector_plans  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
