@@ -29,7 +29,7 @@ from lodestone.llm.components import connected_components
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 ODD = np.uint64(0x9E3779B97F4A7C15)
-BLOCK = 1024  # nodes of a bucket that are compared with as many others at a time
+BLOCK = 3072  # nodes of a bucket that are compared with as many others at a time
 FEW_IDS = 400_000  # ids that are broadcast (a few MB); beyond, the same join shuffles
 
 
