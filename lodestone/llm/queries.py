@@ -113,5 +113,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _warc_sql() -> str:
+    """The records of :func:`op8_warc_derivatives` in DuckDB's SQL."""
+    from lodestone.llm.warc import BREAKS, ENTITIES
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def decoded(x: str) -> str:
+        for name, char in ENTITIES:
+            x = f"replace({x}, {quoted(name)}, {quoted(char)})"
+        return x
+
+    def regex(x: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({x}, {quoted(pattern)}, {by}, 'g')"
+
+    def uuid(x: str) -> str:
+        return f"'<urn:uuid:' || substr(md5({x}), 1, 8) || '-' || substr(md5({x}), 9, 4) || '-' || substr(md5({x}), 13, 4) || '-' || substr(md5({x}), 17, 4) || '-' || substr(md5({x}), 21, 12) || '>'"
+
+    crlf, lf = "chr(13) || chr(10)", "chr(10)"
+    text = regex(regex(regex("body", "(?is)<!--.*?-->", "' '"), r"(?is)<script\b.*?</script\s*>", "' '"), r"(?is)<style\b.*?</style\s*>", "' '")
+    text = regex(regex(regex(text, "[ \\t\\r\\n]+", "' '"), BREAKS, lf), "<[^>]*>", "''")
+    text = regex(regex(regex(decoded(text), " +", "' '"), " ?\n[ \n]*", lf), "^[ \n]+|[ \n]+$", "''")
+    title = decoded(regex("regexp_extract(body, '(?is)<title[^>]*>(.*?)</title', 1)", "[ \\t\\r\\n]+", "' '"))
+    links = f"array_to_string(list_transform(regexp_extract_all(body, '(?i)<a\\s[^>]*href=\"([^\"]*)\"', 1), lambda x: {crlf} || 'outlink: ' || x), '')"
+    return f"""WITH p AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS body FROM pages),
+ h AS (SELECT *, 'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=utf-8' || {crlf} || 'Content-Length: ' || strlen(body) || {crlf} || {crlf} || body AS block, {uuid(f"concat_ws({lf}, 'response', coalesce(page_id::VARCHAR, ''), uri)")} AS source_id FROM p),
+ m AS (SELECT page_id, 'metadata' AS record_type, source_id, uri, 'application/warc-fields' AS content_type, 'sha256:' || sha256(body) AS payload_digest,
+ 'source-payload-digest: sha256:' || sha256(body) || {crlf} || 'source-block-digest: sha256:' || sha256(block) || {crlf} || 'source-header: Content-Type: text/html; charset=utf-8' || {crlf} || 'source-header: Content-Length: ' || strlen(body) || {crlf} || 'title: ' || trim({title}) || {crlf} || 'language: ' || regexp_extract(body, '(?i)<html[^>]*\\slang="([^"]*)"', 1) || {links} || {crlf} AS made FROM h
+ UNION ALL SELECT page_id, 'conversion', source_id, uri, 'text/plain; charset=utf-8', 'sha256:' || sha256(body), {text} FROM h)
+SELECT page_id, record_type, {uuid(f"concat_ws({lf}, record_type, source_id)")} AS record_id, source_id AS refers_to, uri AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type, strlen(made)::BIGINT AS content_length, payload_digest, 'sha256:' || sha256(made) AS block_digest, made AS block FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_derivatives": _warc_sql()}

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import shuffle_parts, slices, written
 
 GRAM = 24
-HOT = 2000  # occurrences of an anchor beyond which its windows travel one by one
+HOT = 20_000  # occurrences of an anchor (at most 3.5 MB of text) beyond which its windows travel one by one
 CHUNK = 4_000_000  # bytes that are hashed at a time; must stay below 2 ** 24
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 ODD = np.uint64(0x9E3779B97F4A7C15)
