@@ -35,16 +35,21 @@ def parsed(outputs: DataFrame, chunk: str = "chunk_id", raw: str = "raw") -> Dat
     """
     rows = records(outputs, chunk, raw).withColumn("f", F.split("body", "<\\|>"))
     field = lambda i: F.get("f", F.lit(i))
-    kind, n = F.lower(_bare(field(0))), F.size("f")
-    strength = F.expr("try_cast(trim(element_at(f, -1)) AS double)")
-    entity = F.col("ok") & (kind == "entity") & (n >= 4) & (_bare(field(1)) != "")
-    relation = F.col("ok") & (kind == "relationship") & (n >= 5) & (_bare(field(1)) != "") & (_bare(field(2)) != "") & strength.isNotNull()
+    n = F.size("f")
+    # one-element explodes keep Catalyst from copying the fields' expressions into each use of them
+    read = F.struct(
+        F.lower(_bare(field(0))).alias("kind"), _bare(field(1)).alias("one"), _bare(field(2)).alias("two"), F.trim(field(3)).alias("about"),
+        F.trim(F.array_join(F.slice("f", F.lit(4), F.greatest(n - 3, F.lit(0))), FIELD)).alias("rest"), n.alias("n"), F.expr("try_cast(trim(try_element_at(f, -1)) AS double)").alias("strength"),
+    )
+    rows = rows.select(chunk, "pos", "ok", F.explode(F.array(read)).alias("r"))
+    entity = F.col("ok") & (F.col("r.kind") == "entity") & (F.col("r.n") >= 4) & (F.col("r.one") != "")
+    relation = F.col("ok") & (F.col("r.kind") == "relationship") & (F.col("r.n") >= 5) & (F.col("r.one") != "") & (F.col("r.two") != "") & F.col("r.strength").isNotNull()
     what = F.when(F.coalesce(entity, F.lit(False)), "entity").when(F.coalesce(relation, F.lit(False)), "relationship").otherwise("malformed")
-    about = F.trim(F.array_join(F.slice("f", F.lit(4), F.greatest(n - 3, F.lit(0))), FIELD))
-    return rows.withColumn("kind", what).select(
-        chunk, "pos", "kind", F.when(what != "malformed", _bare(field(1))).alias("name"), F.when(what == "entity", _bare(field(2))).alias("type"),
-        F.when(what == "relationship", _bare(field(2))).alias("target"), F.when(what == "entity", about).when(what == "relationship", F.trim(field(3))).alias("description"),
-        F.when(what == "relationship", strength).alias("strength"),
+    rows = rows.select(chunk, "pos", "r", F.explode(F.array(what)).alias("kind"))
+    own = lambda kind, value: F.when(F.col("kind") == kind, F.col(value))
+    return rows.select(
+        chunk, "pos", "kind", F.when(F.col("kind") != "malformed", F.col("r.one")).alias("name"), own("entity", "r.two").alias("type"), own("relationship", "r.two").alias("target"),
+        F.coalesce(own("entity", "r.rest"), own("relationship", "r.about")).alias("description"), own("relationship", "r.strength").alias("strength"),
     )
 
 
