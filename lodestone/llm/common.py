@@ -21,25 +21,36 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone/{label}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path  # noqa: SLF001 - lets discard() find the files
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - the file system behind any Spark path
+    with contextlib.suppress(Exception):
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no later plan reads."""
     for df in tables:
-        path = getattr(df, "_lodestone_path", None)
-        if path:
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            with contextlib.suppress(Exception):
-                target.getFileSystem(conf).delete(target, True)
+        if path := getattr(df, "_lodestone_path", None):
+            _delete(df.sparkSession, path)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete every table that this application wrote to the shared folder; call it once its results are saved."""
+    _delete(spark, _own_dir(spark))
 
 
 def shuffle_parts(spark: SparkSession) -> int:
