@@ -78,14 +78,16 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine
     return ranked(found, [*by, "query_id"], order, k).select(*by, "query_id", "rank", "id", "score")
 
 
-def nearest_scalar(queries: DataFrame, corpus: DataFrame, k: int, ranges: int = 64) -> DataFrame:
+def nearest_scalar(queries: DataFrame, corpus: DataFrame, k: int, ranges: int | None = None) -> DataFrame:
     """(query_id, rank from 0, id, distance): the ``k`` rows of ``corpus`` (id, value) nearest to each of ``queries`` (query_id, value).
 
     Ties go to the smaller id.  Values are numbered in order within ranges of about equal size, and a
     query looks only at the k distinct values on either side of it; every range also holds the k
-    outermost values of the others, so the numbering never needs all values in one task.
+    outermost values of the others, so the numbering never needs all values in one task.  By default
+    a range has about 100,000 rows.
     """
-    cuts = sorted(set(corpus.agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 5000)).first()[0] or []))
+    ranges = ranges or max(1, min(1024, corpus.count() // 100_000))
+    cuts = sorted(set(corpus.agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10_000)).first()[0])) if ranges > 1 else []
     marks = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     place = lambda v: F.size(F.filter(marks, lambda c: c <= v))
     few = ranked(corpus.select("id", F.col("value").cast("double").alias("value")), ["value"], ["id"], k).drop("rank")

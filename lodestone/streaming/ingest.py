@@ -26,7 +26,9 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def upsert_texts(spark: SparkSession, texts: DataFrame, path: str, checkpoint: str, key: str = "chunk_id", order: str = "version") -> StreamingQuery:
-    """Keep the last write of each key under ``path``: version folders, of which the largest is the table.
+    """Keep the last write (largest ``order``) of each key under ``path``: version folders, of which the largest is the table.
+
+    A write that arrives late loses to a newer one.
 
     A batch merges its last rows with those of the version before it and writes its own version, so a
     batch that runs again overwrites what it wrote and gives the same table.
@@ -37,7 +39,7 @@ def upsert_texts(spark: SparkSession, texts: DataFrame, path: str, checkpoint: s
         fresh = latest(batch, key, order)
         if number:
             old = spark.read.schema(schema).parquet(f"{path}/v={number - 1}")
-            fresh = latest(fresh.unionByName(old.join(fresh.select(key), key, "left_anti").select(*schema.names)), key, order)
+            fresh = latest(fresh.unionByName(old), key, order)
         fresh.write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return texts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
