@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import extended, slices, written
 
 CAPACITY = 2048
-CACHED = 300_000  # words a task keeps the ids of
-# Where white space other than single inner spaces occurs, a word's ids may depend on its neighbours.
-UNEVEN = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|  | \n|\n | \Z")
+RARE = re.compile("[^\0-\u02ff]")
+# Fixed value: how byte-level pre-tokenizers split texts.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @functools.cache
@@ -38,30 +38,42 @@ def tokenizer(path: str):
     return found
 
 
+@functools.cache
+def fast_encoding(path: str):
+    """The same vocabulary for tiktoken, or None if merges are not in the order of ids."""
+    import json
+
+    import tiktoken
+
+    from lodestone.llm.bpe import byte_symbols
+
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    vocab, byte = spec["model"]["vocab"], {s: b for b, s in enumerate(byte_symbols())}
+    special = {x["content"]: x["id"] for x in spec.get("added_tokens", ())}
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
+    made = [vocab[a + b] for a, b in pairs]
+    plain = spec["pre_tokenizer"].get("type") == "ByteLevel" and not spec["pre_tokenizer"].get("add_prefix_space")
+    if spec["normalizer"] or not plain or made != sorted(made):
+        return None
+    ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens=special)
+
+
 class ByteEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, by the tokenizers library.
+    """Ids of texts as little-endian unsigned 32-bit integers, as the tokenizers library gives them.
 
-    A byte-level tokenizer that splits before single spaces gives a word the same ids anywhere, so
-    those of frequent words are kept.  Texts with other runs of white space are encoded whole.
+    A byte-level vocabulary whose ids follow its merges goes through the faster tiktoken.  Texts with
+    characters beyond U+02FF, where the libraries' tables of letters may differ, go through tokenizers.
     """
 
     def __init__(self, path: str):
-        self.library, self.known = tokenizer(path), {}
+        self.library, self.fast = tokenizer(path), fast_encoding(path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        even = [not UNEVEN.search(t) for t in texts]
-        parts = [t.split(" ") if e else () for t, e in zip(texts, even, strict=True)]
-        new = list({f" {w}" for p in parts for w in p[1:]}.difference(self.known) | {p[0] for p in parts if p}.difference(self.known))
-        whole = [t for t, e in zip(texts, even, strict=True) if not e]
-        if len(self.known) + len(new) > CACHED:
-            self.known = {}
-            new = list({f" {w}" for p in parts for w in p[1:]} | {p[0] for p in parts if p})
-        found = self.library.encode_batch_fast(new + whole, add_special_tokens=False) if new or whole else []
-        packed = [np.array(x.ids, "<u4").tobytes() for x in found]
-        known = self.known
-        known.update(zip(new, packed, strict=False))
-        rest = iter(packed[len(new) :])
-        return [b"".join([known[p[0]], *[known[f" {w}"] for w in p[1:]]]) if e else next(rest) for p, e in zip(parts, even, strict=True)]
+        slow = [k for k, t in enumerate(texts) if self.fast is None or RARE.search(t)]
+        found = dict(zip(slow, self.library.encode_batch_fast([texts[k] for k in slow], add_special_tokens=False), strict=True)) if slow else {}
+        return [np.array(found[k].ids, "<u4").tobytes() if k in found else self.fast.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for k, t in enumerate(texts)]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
