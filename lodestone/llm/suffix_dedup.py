@@ -339,8 +339,7 @@ def repeated_spans(sent: DataFrame, length: int) -> DataFrame:
         windows = np.unique(np.concatenate([repeated, np.repeat(key[told] - (np.cumsum(count[told]) - count[told]), count[told]) + np.arange(count[told].sum())]))
         if not len(windows):
             return
-        cut = np.flatnonzero(np.diff(windows, prepend=windows[0] - 1) != 1) if len(windows) else windows
-        cut = np.unique(np.concatenate(([0], cut)))
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(windows) > length) + 1))  # windows that touch are one span
         first, last = windows[cut], windows[np.append(cut[1:], len(windows)) - 1]
         some = {int(p): k for k, p in enumerate(place)}
         row = np.array([some[int(p)] for p in first >> 32])
