@@ -102,6 +102,32 @@ def directly_sorted(data: np.ndarray, lasts: np.ndarray) -> np.ndarray:
     return (follow[last] > data[last]) | (follow[last] < 0)
 
 
+def _sorted_places(places: np.ndarray, keys: np.ndarray, words: int) -> np.ndarray:
+    """``places`` by the ``words`` eight-byte values behind them.
+
+    Sorted by the first two; runs that are equal in these but not in all go through the others.
+    """
+
+    def word(at: np.ndarray, t: int) -> np.ndarray:
+        return keys[np.minimum(at + 8 * t, len(keys) - 1)] * (at + 8 * t < len(keys))
+
+    if not len(places):
+        return places
+    for t in (1, 0):
+        places = places[np.argsort(word(places, t), kind="stable")]
+    equal = [word(places, t)[1:] == word(places, t)[:-1] for t in (0, 1)]
+    run = np.concatenate(([0], np.cumsum(~(equal[0] & equal[1]))))
+    mixed = np.zeros(run[-1] + 1, bool)
+    for t in range(2, words):
+        w = word(places, t)
+        mixed[run[1:][(w[1:] != w[:-1]) & (run[1:] == run[:-1])]] = True
+    slots = np.flatnonzero(mixed[run])
+    part = places[slots]
+    order = np.lexsort([*(word(part, t) for t in range(words - 1, 1, -1)), run[slots]])
+    places[slots] = part[order]
+    return places
+
+
 def two_stage_order(data: np.ndarray, keys: np.ndarray, wanted: np.ndarray, rising: np.ndarray, length: int) -> np.ndarray:
     """The places marked in ``wanted`` in the order of their suffixes, by at least ``length`` bytes.
 
@@ -110,9 +136,7 @@ def two_stage_order(data: np.ndarray, keys: np.ndarray, wanted: np.ndarray, risi
     """
     n = len(data)
     direct, induced = np.flatnonzero(wanted & rising), wanted & ~rising
-    for t in range((length + 7) // 8 - 1, -1, -1):  # stable sorts from the last eight bytes to the first
-        at = direct + 8 * t
-        direct = direct[np.argsort(keys[np.minimum(at, n - 1)] * (at < n), kind="stable")]
+    direct = _sorted_places(direct, keys, (length + 7) // 8)
     direct = [direct[data[direct] == c] for c in range(256)]
     heads: list[list[np.ndarray]] = [[] for _ in range(256)]
     out = []
