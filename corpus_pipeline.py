@@ -5,7 +5,7 @@ Each stage works on what its predecessor kept, written as Parquet and read again
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import held_out, written
@@ -33,18 +33,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return model.apply(docs, score="_score").where(F.col("_score") >= LEAST_QUALITY).select(*docs.columns)
 
 
+def _row() -> Column:
+    """Identity of a row: a 64-bit hash of its id and text, either of which may be null."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text").alias("_row")
+
+
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of each group of near-duplicates (five words, similarity 0.8)."""
-    gone = near_duplicates(docs.select("doc_id", "text"), settings=Settings()).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each group of near-duplicates (five words, similarity 0.8) and of equal (id, text).
+
+    Rows are told apart by id and text, so texts that share an id or have none are documents of their
+    own.  A group keeps its smallest id, null last, and of several texts under it the smallest hash;
+    equal rows keep the smallest values of their other columns.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("*", _row())
+    moved = near_duplicates(rows.select("_row", "text"), key="_row", settings=Settings()).where("not kept")
+    moved = written(moved.select("_row", "component_id").distinct(), "moved")
+    members = moved.union(moved.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    members = members.join(rows.select("_row", "doc_id").distinct(), "_row")
+    best = members.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("best"))
+    gone = members.join(best, "component_id").where("_row <> best._row").select("_row")
+    again = rows.groupBy("_row").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_row")
+    left = rows.join(gone, "_row", "left_anti")
+    once = left.join(again, "_row", "left_anti").select(*docs.columns)
+    more = left.join(again, "_row", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("rest"))
+    return once.union(more.select("doc_id", "text", "rest.*").select(*docs.columns))
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of 100 bytes and more that occur earlier; characters stay whole."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cut = remove_spans(repeated_passages(docs.select("doc_id", "text")), whole_characters=True).select("doc_id", F.col("kept").cast("string").alias("text")).dropDuplicates(["doc_id"])
-    out = docs.select("doc_id", *rest).join(cut, "doc_id").withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*docs.columns)
+    """Cut passages of 100 bytes and more that occur earlier; characters stay whole and rows keep their other columns."""
+    cut = remove_spans(repeated_passages(docs), whole_characters=True).withColumn("text", F.col("kept").cast("string"))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

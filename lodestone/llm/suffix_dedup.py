@@ -375,6 +375,7 @@ def repeated_spans(sent: DataFrame, length: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, part_mb: int = 2) -> DataFrame:
     """``key``, ``text`` and ``spans`` (sorted array of start, end in bytes of UTF-8, which may overlap): what to remove.
 
+    Each row of ``docs`` gives one row, which keeps its other columns (after these; none may be called ``spans``).
     Texts count as bytes, null as empty; matches never cross documents.  Rows are ordered by ``key``,
     nulls first, then by a hash of the text; rows equal in both are one document and get the same
     spans.  A document whose text occurs earlier is removed whole if it has ``length`` bytes.  Texts
@@ -382,8 +383,10 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     ``part_mb`` of text make a partition of the suffix arrays, which need about 100 bytes for each of theirs.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("key", F.coalesce("key", F.lit(-(2**63))).alias("doc"), F.xxhash64("text").alias("tie"), "text")
+    rest = [c for c in docs.columns if c not in (key, text)]
+    carried, given = ([F.struct(*rest).alias("rest")], ["rest.*"]) if rest else ([], [])
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carried)
+    rows = rows.withColumns({"doc": F.coalesce("key", F.lit(-(2**63))), "tie": F.xxhash64("text")})
     digests = written(rows.select("doc", "tie", F.md5("text").alias("digest"), F.octet_length("text").cast("long").alias("size")), "digests")
     total = digests.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(shuffle_parts(spark), int(total // (8 * part_mb << 20)) + 1)
@@ -399,7 +402,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
     nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
     chosen = F.when(F.col("copy") & (F.octet_length("text") >= length), whole).otherwise(F.coalesce("spans", nothing))
-    return out.select(F.col("key").alias(key), F.col("text").alias(text), chosen.alias("spans"))
+    return out.select(F.col("key").alias(key), F.col("text").alias(text), chosen.alias("spans"), *given)
 
 
 def remove_spans(found: DataFrame, text: str = "text", spans: str = "spans", whole_characters: bool = False) -> DataFrame:

@@ -28,3 +28,31 @@ def test_stages_take_effect(spark):
     assert 150 < counts[2] <= counts[1] < counts[0] <= 200 and counts[3] == counts[2]
     use = docs.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert use.where("n <> end or n > 2048").count() == 0
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    """Near-dedup and suffix stages tell rows apart by id and text."""
+    import random
+
+    rng = random.Random(5)
+    text = lambda n: " ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(n))
+    a, b, c, d, e = (text(80) for _ in range(5))
+    rows = [
+        (1, a, "en"), (2, a + " more", "en"), (2, b, "de"),  # only one of the texts under 2 is a near copy
+        (3, c, "en"), (3, c, "en"), (3, c, "de"), (None, d, "fr"), (None, d, "fr"), (None, e, "fr"), (None, a, "fr"),
+    ]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = pipeline.near_dedup_stage(spark, docs, "")
+    assert near.columns == docs.columns
+    some = lambda rows: sorted(((r.doc_id, r.text, r.lang) for r in rows), key=str)
+    assert some(near.collect()) == sorted([(1, a, "en"), (2, b, "de"), (3, c, "de"), (None, d, "fr"), (None, e, "fr")], key=str)
+    passage = text(30)
+    rows = [(None, d + "1" + passage, "fr"), (5, a, "en"), (5, b + "2" + passage, "de"), (6, c, "en"), (None, e, "es")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows], docs.schema)
+    cut = pipeline.suffix_stage(spark, docs, "")
+    assert cut.columns == docs.columns
+    out = cut.collect()
+    assert some(out) == sorted([(None, d + "1" + passage, "fr"), (5, a, "en"), (5, b + "2", "de"), (6, c, "en"), (None, e, "es")], key=str)
+    assert all(r.n_chars == len(r.text) and r.source == "s" for r in out)
+    packed = pipeline.packing_stage(spark, cut, "").select("doc_id", "length").collect()
+    assert sorted({str(r.doc_id) for r in packed}) == ["5", "6", "None"]
