@@ -241,6 +241,21 @@ def test_order_matters_and_ranges_agree(spark):
     assert one == {(r[0], r[1]) for r in order_minhash.with_next(rows, bucket_rows=1).select("doc_id", "next_text").collect()}
 
 
+def test_edits_in_runs_without_blanks_and_long_texts(spark):
+    """One inserted character leaves the rest alike, and all of a long text's k-mers are drawn from."""
+    rng = random.Random(3)
+    run = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=3000))
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(4000)]
+    half = words[:2000] + ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(2000)]
+    texts = [run, "x" + run, run[:1500] + "x" + run[1500:], " ".join(words), " ".join(half)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sig = {r[0]: np.array(r[1]) for r in rows.select("doc_id", order_minhash.signature(F.col("text"))).collect()}
+    like = lambda a, b: np.mean(sig[a] == sig[b])
+    assert like(0, 1) > 0.9 and like(0, 2) > 0.9
+    assert len(set(sig[3].tolist())) >= 46  # sketches of long texts are distinct choices
+    assert like(3, 4) < 0.35  # a third of the k-mers shared: a ninth expected for pairs
+
+
 # 5 sharding
 
 
