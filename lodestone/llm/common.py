@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ def clear_written(spark: SparkSession) -> None:
     _delete(spark, _own_dir(spark))
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that have ended: it acts on what the driver's JVM has collected."""
+    gc.collect()
+    spark._jvm.System.gc()  # noqa: SLF001
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,10 +4,12 @@ A byte goes if a string of ``length`` bytes that covers it also starts earlier,
 smaller id or earlier in the same one.  To spread the work, each window of ``length`` bytes is owned
 by its anchor, the ``GRAM`` bytes of it with the smallest hash: equal windows have equal anchors.
 
-1.  Anchors that occur once own no repeated window.  Tasks send (anchor hash, document, windows) in
-    packed blobs to the hash's partition, which answers with the anchors that occur again.
-2.  For these, the text under their windows goes to the anchor's partition; anchors that occur very
-    often send each window by its own hash instead, so that no partition gathers them all.
+1.  Exact copies are found by digest and take no part in what follows.
+2.  Anchors that occur once own no repeated window.  Tasks send (anchor hash, document, windows) in
+    packed blobs to the hash's partition, which answers with the anchors that occur again.  An anchor
+    that one slice of texts holds several times is surely shared and sent once for the slice.
+    For shared anchors, the text under their windows goes to the anchor's partition; anchors that
+    occur very often send each window by its own hash instead, so that no partition gathers them all.
 3.  There a suffix array of these texts is built: suffixes smaller than their successors are sorted
     directly, the rest follow from bucket scans, and adjacent common prefixes of ``length`` bytes
     join equal windows.  All but the earliest are repeated.
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import shuffle_parts, slices, written
+from lodestone.llm.common import discard, release, shuffle_parts, slices, written
 
 GRAM = 24
-HOT = 20_000  # occurrences of an anchor (at most 3.5 MB of text) beyond which its windows travel one by one
+HOT = 20_000  # slices of text that share an anchor (at most 3.5 MB of text under it) beyond which its windows travel one by one
+FEW_COPIES = 400_000  # (document, hash) of exact copies that are broadcast (a few MB); beyond, the same joins shuffle
 CHUNK = 4_000_000  # bytes that are hashed at a time; must stay below 2 ** 24
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -214,22 +217,43 @@ def repeated_windows(texts: list[bytes], starts: np.ndarray, length: int, rank:
 
 
 def _pack(doc: np.ndarray, tie: np.ndarray, start: np.ndarray, count: np.ndarray, extra: list[np.ndarray]) -> bytes:
-    return b"".join([len(doc).to_bytes(8, "little"), *(np.ascontiguousarray(x).tobytes() for x in (doc.astype("<i8"), tie.astype("<i8"), start.astype("<u4"), count.astype("u1"), *extra))])
+    """Rows as bytes; each (doc, tie) is held once and rows name it by number."""
+    fresh = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])))
+    number = np.cumsum(fresh) - 1
+    heads = np.array([len(doc), int(fresh.sum())], "<u8")
+    return b"".join(np.ascontiguousarray(x).tobytes() for x in (heads, doc[fresh].astype("<i8"), tie[fresh].astype("<i8"), number.astype("<u4"), start.astype("<u4"), count.astype("u1"), *extra))
 
 
 def _unpack(blob: bytes, kinds: list[str]) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(blob[:8], "little"), 8, []
-    for kind in ["<i8", "<i8", "<u4", "u1", *kinds]:
-        out.append(np.frombuffer(blob, kind, n, at))
+    (n, owners), at, out = np.frombuffer(blob, "<u8", 2).tolist(), 16, []
+    for size, kind in ((owners, "<i8"), (owners, "<i8"), (n, "<u4"), (n, "<u4"), (n, "u1"), *((n, k) for k in kinds)):
+        out.append(np.frombuffer(blob, kind, size, at))
         at += out[-1].nbytes
-    return [*out, np.frombuffer(blob, np.uint8, offset=at)]
+    doc, tie, number, *rest = out
+    return [doc[number], tie[number], *rest, np.frombuffer(blob, np.uint8, offset=at)]
+
+
+SINGLE, KNOWN, OFTEN = 0, 1, 2  # an anchor that its slice has once; one that it has more often; an anchor of too many slices
 
 
 def find_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
-    """(part, blob): the anchors of all documents by partition of their hash.  ``docs`` is (doc, tie, text)."""
+    """(part, kind, blob): the anchors of all documents.  ``docs`` is (doc, tie, text).
+
+    An anchor that a slice of texts has several times is sent to its partition once, without a
+    document; its places are known to be shared and go to any partition, so that no partition
+    receives more than one row of it from each slice.
+    """
+
+    def blobs(kind, part, row, start, count, hashes, ids, ties):
+        order = np.argsort(part, kind="stable")
+        if not len(order):
+            return []
+        cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
+        made = [_pack(ids[row[o]], ties[row[o]], start[o], count[o], [hashes[o].astype("<u8")]) for o in np.split(order, cuts[1:])]
+        return list(zip(part[order][cuts].tolist(), [kind] * len(made), made, strict=True))
 
     def send(batches):
-        for batch in slices(batches, 512, CHUNK // 2):
+        for batch in slices(batches, 2048, CHUNK // 2):
             ids, ties = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             pieces, owner, offset = [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
@@ -251,83 +275,101 @@ def find_anchors(docs: DataFrame, length: int, parts: int) -> DataFrame:
                 piece = np.searchsorted(ends, first, side="right")
                 row = np.array(owner[at:end], np.int64)[piece]
                 start = first - np.concatenate(([0], ends[:-1]))[piece] + np.array(offset[at:end], np.int64)[piece]
-                part = (hashes % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
-                blobs = [_pack(ids[row[o]], ties[row[o]], start[o], count[o], [hashes[o].astype("<u8")]) for o in np.split(order, cuts[1:])] if len(order) else []
-                if blobs:
-                    yield pa.RecordBatch.from_arrays([pa.array(part[order][cuts]), pa.array(blobs, pa.binary())], names=["part", "blob"])
+                _, one, which, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                own, again = np.sort(one), np.flatnonzero(times[which] > 1)
+                count_sent = np.where(times[which[own]] > 1, 0, count[own])
+                rows = blobs(SINGLE, (hashes[own] % np.uint64(parts)).astype(np.int64), row[own], start[own], count_sent, hashes[own], ids, ties)
+                spread = np.full(len(again), int(hashes[0] % np.uint64(parts)) if len(hashes) else 0)
+                rows += blobs(KNOWN, spread, row[again], start[again], count[again], hashes[again], ids, ties)
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "kind", "blob"])
                 at = end
 
-    return docs.mapInArrow(send, "part long, blob binary")
+    return docs.mapInArrow(send, "part long, kind int, blob binary")
+
 
+def shared_anchors(sent: DataFrame, often: int) -> DataFrame:
+    """(doc, tie, start, count, hash) of the anchors that occur more than once, and (hash) alone of those in more than ``often`` slices."""
+    names = ["kind", "doc", "tie", "start", "count", "hash"]
 
-def shared_anchors(sent: DataFrame) -> DataFrame:
-    """(doc, tie, start, count, hash, hot) of the anchors that occur more than once."""
+    def rows(kind, doc, tie, start, count, hashes):
+        for at in range(0, len(doc), 100_000):
+            to = slice(at, at + 100_000)
+            values = (np.full(len(doc[to]), kind, np.int32), doc[to], tie[to], start[to].astype(np.int64), count[to].astype(np.int32), hashes[to].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=names)
 
     def answer(batches):
-        held = [_unpack(b, ["<u8"])[:5] for batch in batches for b in batch.column(1).to_pylist()]
+        held = []
+        for batch in batches:
+            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                found = _unpack(blob, ["<u8"])[:5]
+                if kind == KNOWN:
+                    yield from rows(KNOWN, *found)
+                else:
+                    held.append(found)
         if not held:
             return
         doc, tie, start, count, hashes = (np.concatenate([h[k] for h in held]) for k in range(5))
+        held.clear()
         order = np.argsort(hashes, kind="stable")
         cuts = np.flatnonzero(np.diff(hashes[order], prepend=~hashes[order[0]]) != 0)
         sizes = np.diff(np.append(cuts, len(order)))
-        times = np.repeat(sizes, sizes)
-        own = order[times > 1]
-        hot = times[times > 1] > HOT
-        for at in range(0, len(own), 100_000):
-            o = own[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(doc[o]), pa.array(tie[o]), pa.array(start[o].astype(np.int64)), pa.array(count[o].astype(np.int32)), pa.array(hashes[o].view(np.int64)), pa.array(hot[at : at + 100_000]),
-            ], names=["doc", "tie", "start", "count", "hash", "hot"])
+        own = order[np.repeat(sizes, sizes) > 1]
+        own = own[count[own] > 0]  # the others' places are known
+        yield from rows(SINGLE, doc[own], tie[own], start[own], count[own], hashes[own])
+        hot = hashes[order[cuts[sizes > often]]]
+        nothing = np.zeros(len(hot), np.int64)
+        yield from rows(OFTEN, nothing, nothing, nothing, nothing, hot)
 
-    return sent.mapInArrow(answer, "doc long, tie long, start long, count int, hash long, hot boolean")
+    return sent.mapInArrow(answer, "kind int, doc long, tie long, start long, count int, hash long")
 
 
-def send_texts(owned: DataFrame, length: int, parts: int) -> DataFrame:
+def send_texts(owned: DataFrame, length: int, parts: int, hot: frozenset[int]) -> DataFrame:
     """(part, blob) of the texts under shared anchors.  ``owned`` is (doc, tie, text, found) with found a list of anchors.
 
     Equal texts of one task are sent once, by their earliest owner; the later owners' windows are
-    sent without text, as known repeats.
+    known repeats and go without text to any partition.  Anchors of ``hot`` send each window by its
+    own hash.
     """
 
     def send(batches):
         kept: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        texts: dict[int, list] = {}
-        known: dict[int, list] = {}
-        held = 0
+        known: list[tuple[int, int, int, int]] = []
+        held = turn = 0
 
         def flush():
-            rows = {}
+            rows: dict[int, list] = {}
             for (part, text), (doc, tie, start) in kept.items():
                 rows.setdefault(part, []).append((doc, tie, start, len(text) - length + 1, len(text), text))
-            for part, more in known.items():
-                rows.setdefault(part, []).extend((*m, 0, b"") for m in more)
+            if known:
+                rows.setdefault(turn % parts, []).extend((*m, 0, b"") for m in sorted(known))
             parts_, blobs = [], []
             for part, all_ in rows.items():
                 doc, tie, start, count, size = (np.array([r[k] for r in all_]) for k in range(5))
+                packed = _pack(doc, tie, start, count, [size.astype("<u4"), np.frombuffer(b"".join(r[5] for r in all_), np.uint8)])
                 parts_.append(part)
-                blobs.append(_pack(doc, tie, start, count, [size.astype("<u4"), np.frombuffer(b"".join(r[5] for r in all_), np.uint8)]))
-            kept.clear(), texts.clear(), known.clear()
+                blobs.append(len(packed).to_bytes(8, "little") + pa.compress(packed, "zstd", asbytes=True))
+            kept.clear(), known.clear()
             return pa.RecordBatch.from_arrays([pa.array(parts_, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "blob"]) if parts_ else None
 
         for batch in slices(batches, 256):
             for doc, tie, text, found in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 raw = text.encode("utf-8", "replace")
                 for f in found:
-                    spread = ((f["start"] + k, 1) for k in range(f["count"])) if f["hot"] else ((f["start"], f["count"]),)
+                    often = f["hash"] in hot
+                    spread = ((f["start"] + k, 1) for k in range(f["count"])) if often else ((f["start"], f["count"]),)
                     for start, count in spread:
                         under = raw[start : start + count - 1 + length]
-                        part = (window_hash(under) if f["hot"] else f["hash"] % 2**64) % parts
+                        part = (window_hash(under) if often else f["hash"] % 2**64) % parts
                         owner, now = kept.get((part, under)), (doc, tie, start)
                         if owner is None:
                             kept[part, under] = now
                             held += len(under) + 100
                         elif owner != now:
                             kept[part, under] = min(owner, now)
-                            known.setdefault(part, []).append((*max(owner, now), count))
+                            known.append((*max(owner, now), count))
                             held += 100
+                turn = tie
             if held > 64_000_000:
                 out, held = flush(), 0
                 if out is not None:
@@ -342,8 +384,11 @@ def send_texts(owned: DataFrame, length: int, parts: int) -> DataFrame:
 def repeated_spans(sent: DataFrame, length: int) -> DataFrame:
     """(doc, tie, start, end) of stretches that repeated windows cover."""
 
+    def opened(blob: bytes) -> list[np.ndarray]:
+        return _unpack(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True), ["<u4"])
+
     def find(batches):
-        held = [_unpack(b, ["<u4"]) for batch in batches for b in batch.column(1).to_pylist()]
+        held = [opened(b) for batch in batches for b in batch.column(1).to_pylist()]
         if not held:
             return
         doc, tie, start, count, size = (np.concatenate([h[k] for h in held]).astype(np.int64) for k in range(5))
@@ -365,8 +410,8 @@ def repeated_spans(sent: DataFrame, length: int) -> DataFrame:
             return
         cut = np.concatenate(([0], np.flatnonzero(np.diff(windows) > length) + 1))  # windows that touch are one span
         first, last = windows[cut], windows[np.append(cut[1:], len(windows)) - 1]
-        some = {int(p): k for k, p in enumerate(place)}
-        row = np.array([some[int(p)] for p in first >> 32])
+        _, some = np.unique(place, return_index=True)  # places are numbered from 0 without gaps
+        row = some[first >> 32]
         yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(tie[row]), pa.array(first & 0xFFFFFFFF), pa.array((last & 0xFFFFFFFF) + length)], names=["doc", "tie", "start", "end"])
 
     return sent.mapInArrow(find, "doc long, tie long, start long, end long")
@@ -375,30 +420,41 @@ def repeated_spans(sent: DataFrame, length: int) -> DataFrame:
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, part_mb: int = 2) -> DataFrame:
     """``key``, ``text`` and ``spans`` (sorted array of start, end in bytes of UTF-8, which may overlap): what to remove.
 
-    Each row of ``docs`` gives one row, which keeps its other columns (after these; none may be called ``spans``).
+    Each row of ``docs`` gives one row, which keeps its other columns (after these; one called ``spans`` is replaced).
     Texts count as bytes, null as empty; matches never cross documents.  Rows are ordered by ``key``,
     nulls first, then by a hash of the text; rows equal in both are one document and get the same
     spans.  A document whose text occurs earlier is removed whole if it has ``length`` bytes.  Texts
     shorter than ``length`` keep everything.  An empty table gives no rows.
     ``part_mb`` of text make a partition of the suffix arrays, which need about 100 bytes for each of theirs.
+
+    Anchors that more than ``HOT`` slices share (or more than a 40,000,000th of all bytes, if that is
+    more) send each window on its own; so at most about a million hashes of anchors reach the driver.
     """
     spark = docs.sparkSession
-    rest = [c for c in docs.columns if c not in (key, text)]
+    rest = [c for c in docs.columns if c not in (key, text, "spans")]
     carried, given = ([F.struct(*rest).alias("rest")], ["rest.*"]) if rest else ([], [])
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), *carried)
     rows = rows.withColumns({"doc": F.coalesce("key", F.lit(-(2**63))), "tie": F.xxhash64("text")})
     digests = written(rows.select("doc", "tie", F.md5("text").alias("digest"), F.octet_length("text").cast("long").alias("size")), "digests")
     total = digests.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    parts = max(shuffle_parts(spark), int(total // (8 * part_mb << 20)) + 1)
+    parts = max(shuffle_parts(spark), int(total // (32 * part_mb << 20)) + 1)
     text_parts = max(shuffle_parts(spark), int(total // (part_mb << 20)) + 1)
     firsts = digests.groupBy("digest").agg(F.min("doc").alias("first"))
-    copies = digests.join(firsts, "digest").where("doc > first").select("doc", "tie").distinct()
-    found = shared_anchors(find_anchors(rows.select("doc", "tie", "text"), length, parts).repartition(parts, "part"))
-    lists = found.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "count", "hash", "hot")).alias("found")).join(copies, ["doc", "tie"], "left_anti")
-    owned = rows.select("doc", "tie", "text").join(lists, ["doc", "tie"]).select("doc", "tie", "text", "found")
-    spans = written(repeated_spans(send_texts(owned, length, text_parts).repartition(text_parts, "part"), length), "spans")
+    copies = written(digests.join(firsts, "digest").where("doc > first").select("doc", "tie").distinct(), "copies")
+    few = copies.count() <= FEW_COPIES
+    own = rows.select("doc", "tie", "text").where(F.octet_length("text") >= length)
+    own = own.join(F.broadcast(copies) if few else copies, ["doc", "tie"], "left_anti")  # copies are neither anchored nor sent
+    found = written(shared_anchors(find_anchors(own, length, parts).repartition(parts, "part"), max(HOT, total // 40_000_000)), "anchors")
+    release(spark)
+    hot = frozenset(r[0] for r in found.where(F.col("kind") == OFTEN).select("hash").collect())
+    lists = found.where(F.col("kind") != OFTEN).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "count", "hash")).alias("found"))
+    owned = own.join(lists, ["doc", "tie"]).select("doc", "tie", "text", "found")
+    spans = written(repeated_spans(send_texts(owned, length, text_parts, hot).repartition(text_parts, "part"), length), "spans")
+    discard(found)
+    release(spark)
     spans = spans.groupBy("doc", "tie").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    out = rows.join(spans, ["doc", "tie"], "left").join(copies.withColumn("copy", F.lit(True)), ["doc", "tie"], "left")
+    marked = copies.withColumn("copy", F.lit(True))
+    out = rows.join(spans, ["doc", "tie"], "left").join(F.broadcast(marked) if few else marked, ["doc", "tie"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.octet_length("text").cast("long").alias("end")))
     nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
     chosen = F.when(F.col("copy") & (F.octet_length("text") >= length), whole).otherwise(F.coalesce("spans", nothing))
