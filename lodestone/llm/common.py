@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -55,9 +56,14 @@ def clear_written(spark: SparkSession) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that have ended: it acts on what the driver's JVM has collected."""
-    gc.collect()
-    spark._jvm.System.gc()  # noqa: SLF001
+    """Let Spark's cleaner drop the shuffle files of plans that have ended: it acts on what the driver's JVM has collected.
+
+    The first round frees the plans, the second what only they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()  # noqa: SLF001
+        time.sleep(0.3)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -439,7 +439,9 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
     total = digests.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = max(shuffle_parts(spark), int(total // (32 * part_mb << 20)) + 1)
     text_parts = max(shuffle_parts(spark), int(total // (part_mb << 20)) + 1)
-    firsts = digests.groupBy("digest").agg(F.min("doc").alias("first"))
+    firsts = digests.groupBy("digest").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("digest", "first")
+    firsts = written(firsts, "firsts")
+    firsts = F.broadcast(firsts) if firsts.count() <= FEW_COPIES else firsts  # a text of very many copies is one row here
     copies = written(digests.join(firsts, "digest").where("doc > first").select("doc", "tie").distinct(), "copies")
     few = copies.count() <= FEW_COPIES
     own = rows.select("doc", "tie", "text").where(F.octet_length("text") >= length)
