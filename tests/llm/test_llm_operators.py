@@ -241,6 +241,74 @@ def test_order_matters_and_ranges_agree(spark):
     assert one == {(r[0], r[1]) for r in order_minhash.with_next(rows, bucket_rows=1).select("doc_id", "next_text").collect()}
 
 
+def brute_signature(text: str, k: int = 16, l: int = 2, m: int = 48, run: int = 6) -> list[int]:  # noqa: E741
+    """All k-mers by their definition, numbered, in every sketch's order."""
+    import xxhash
+
+    def signed(data: bytes, seed: int = 42) -> int:
+        h = xxhash.xxh64_intdigest(data, seed % 2**64)
+        return h - 2**64 if h >= 2**63 else h
+
+    blank = set(" \t\n\x0b\f\r")
+    since = 0  # characters since the last white space, or the start
+    places = []
+    for at, c in enumerate(text):
+        if c in blank:
+            if at == 0 or text[at - 1] not in blank:
+                places.append(at)
+            since = 0
+        else:
+            if at == 0 or since >= run:
+                places.append(at)
+            since += 1
+    low = 2**28 - 1
+    seen: Counter = Counter()
+    items = []
+    for i, at in enumerate(places or [0]):
+        h = signed(text[at : at + k].encode()) & ~low
+        if seen[h]:
+            number = signed(seen[h].to_bytes(4, "little"), signed((h >> 28).to_bytes(8, "little", signed=True))) & ~low
+            items.append((number, i))
+        else:
+            items.append((h, i))
+        seen[h] += 1
+    items.sort()
+    out = []
+    for start in order_minhash.rotations(m):
+        first = next((n for n, (h, i) in enumerate(items) if h | i >= start), len(items))
+        chosen = sorted((items[(first + t) % len(items)] for t in range(min(l, len(items)))), key=lambda x: x[1])
+        value = 42
+        for h, _ in chosen:
+            value = signed(((h % 2**64) >> 28).to_bytes(8, "little"), value)
+        out.append(value & 0xFFFFFFFF)
+    return out
+
+
+def test_signatures_equal_brute_force(spark):
+    texts = ["", " ", "a", "  a b", "word " * 40, "the end of the end of the end of", "日本語" * 30, "\U0001f600" * 20, "x" * 100 + "\n\n y", prose(80), "\tlead " + prose(30) + "\n", "é" * 9 + " " + "ß" * 7]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for i, sig in rows.select("doc_id", order_minhash.signature(F.col("text"))).collect():
+        assert list(sig) == brute_signature(texts[i]), texts[i]
+
+
+def test_ranges_follow_the_order_and_stay_small(spark):
+    """A far-off key, a key that holds most rows, and null keys leave ranges small and in order."""
+    keys = [*range(100), 2**62, *[50] * 400, *[None] * 200]
+    rows = spark.createDataFrame([(k,) for k in keys], "k long").withColumn("tie", F.xxhash64(F.monotonically_increasing_id()))
+    found = rows.withColumn("bucket", order_minhash.ranges(rows, "k", "tie", 20)).collect()
+    found.sort(key=lambda r: (r["k"] is not None, r["k"] or 0, r["tie"]))
+    buckets = [r["bucket"] for r in found]
+    assert buckets == sorted(buckets) and max(Counter(buckets).values()) <= 60
+
+
+def test_white_space_edits_count(spark):
+    text = prose(200)
+    pairs = [text, text.replace(" ", "\n\n  "), text[:500] + " " + text[500:]]
+    sig = [r[1] for r in sorted(spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string").select("doc_id", order_minhash.signature(F.col("text"))).collect())]
+    like = lambda a, b: np.mean(np.array(sig[a]) == np.array(sig[b]))
+    assert like(0, 1) < 0.1 and like(0, 2) > 0.8
+
+
 def test_edits_in_runs_without_blanks_and_long_texts(spark):
     """One inserted character leaves the rest alike, and all of a long text's k-mers are drawn from."""
     rng = random.Random(3)
