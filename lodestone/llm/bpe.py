@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import extended, slices
 
 NONE = np.int64(1) << np.int64(62)
-PLACE = 24  # bits of a leaf's key that hold the place; the rank is above them
+PLACE = 31  # bits of a leaf's key that hold the place (a string of Spark ends below 2 ** 31 bytes); the rank is above them
 SINGLE = 1024  # words with more symbols go through a tree of their own
-CACHED = 200_000
+CACHED = 200_000  # units that are remembered,
+REMEMBERED = 400  # if they have at most so many characters
 RARE = re.compile("[^\0-\u02ff]")
 CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -236,6 +237,8 @@ class Bpe:
         self.learn({u for x in units for u in x})
         known = self.known
         both = [[known[u] for u in x] for x in units]
+        for unit in {u for x in units for u in x if len(u) > REMEMBERED}:
+            del known[unit]
         return [b"".join([p[0] for p in x]) for x in both], [" ".join([p[1] for p in x if p[1]]) for x in both]
 
     def encode(self, text: str) -> list[int]:
