@@ -8,6 +8,7 @@ of a language gives its prototype; a text gets the language whose prototype has
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,14 +18,16 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import extended, slices
 
-CHUNK = 500_000  # code points of a text that are encoded at once; longer texts are bundled chunk by chunk
+CHUNK = 500_000  # code points of a text that are encoded at once
+GRAMS = 1_000_000  # n-grams that are held at a time
+BLOCK = 2048  # distinct n-grams that are bound and counted at a time
 
 
 @functools.cache
 def letter_codes() -> np.ndarray:
     """Lower-cased code point of each letter, 0 for everything else."""
     table = np.zeros(0x110000, np.uint32)
-    for point in range(0x30000):
+    for point in range(0x110000):
         char = chr(point)
         if char.isalpha():
             table[point] = ord(char.lower()[0])
@@ -37,15 +40,26 @@ def letter_vector(code: int, dim: int, seed: int) -> np.ndarray:
     return bits * np.int8(2) - np.int8(1)
 
 
-def symbols(text: str) -> np.ndarray:
-    """Letters as codes; each run of other characters, and either end, as one 0.  Empty without letters."""
-    codes = letter_codes()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
-    if not codes.any():
-        return codes[:0]
-    codes = np.concatenate(([0], codes, [0])).astype(np.uint32)
-    keep = np.ones(len(codes), bool)
-    keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-    return codes[keep]
+def symbols(text: str, n: int = 1, chunk: int = CHUNK) -> Iterator[np.ndarray]:
+    """Letters as codes; each run of other characters, and either end, as one 0.  Nothing without letters.
+
+    Long texts come in pieces that repeat the last ``n`` - 1 symbols of the piece before, so that the
+    n-grams of all pieces are those of the whole text.
+    """
+    carried, skip, some = np.zeros(1, np.uint32), 0, False
+    for at in range(0, len(text), chunk):
+        codes = letter_codes()[np.frombuffer(text[at : at + chunk].encode("utf-32-le", "replace"), np.uint32)]
+        codes = np.concatenate((carried, codes, np.zeros(int(at + chunk >= len(text)), np.uint32)))
+        keep = np.ones(len(codes), bool)
+        keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
+        codes = codes[keep]
+        some = some or bool(codes.any())
+        if some and len(codes) - skip >= n:
+            yield codes[skip:]
+            hold = max(n - 1, 1)
+            carried, skip = codes[-hold:], hold - (n - 1)
+        else:
+            carried = codes
 
 
 def ngram_keys(codes: np.ndarray, n: int) -> np.ndarray:
@@ -58,32 +72,47 @@ def ngram_keys(codes: np.ndarray, n: int) -> np.ndarray:
     return keys
 
 
-def bundle(texts: list[str | None], dim: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors (texts x dim) and whether each text has letters."""
-    owners, keys = [], []
-    for row, text in enumerate(texts):
-        for at in range(0, len(text or ""), CHUNK):
-            codes = symbols(text[at : at + CHUNK])
-            if len(codes):
-                found = ngram_keys(codes, n)
-                keys.append(found)
-                owners.append(np.full(len(found), row, np.int64))
-    out, some = np.zeros((len(texts), dim), np.float32), np.zeros(len(texts), bool)
-    if not keys:
-        return out, some
-    owner = np.concatenate(owners)
-    some[np.unique(owner)] = True
-    grams, which = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(owner * len(grams) + which, minlength=len(texts) * len(grams)).reshape(len(texts), -1).astype(np.float32)
+def _add_grams(out: np.ndarray, owner: np.ndarray, keys: np.ndarray, n: int, seed: int) -> None:
+    """Add the vectors of the n-grams ``keys`` to their owners' rows of ``out``, ``BLOCK`` distinct n-grams at a time."""
+    rows, dim = out.shape
+    order = np.argsort(keys, kind="stable")
+    owner, keys = owner[order], keys[order]
+    fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
+    which, grams = np.cumsum(fresh) - 1, keys[fresh]
     letters = [((grams >> np.uint64(21 * (n - 1 - place))) & np.uint64(0x1FFFFF)).astype(np.int64) for place in range(n)]
     alphabet = np.unique(np.concatenate(letters))
-    vectors = np.stack([letter_vector(int(c), dim, seed) for c in alphabet])
-    turned = [np.roll(vectors, n - 1 - place, axis=1) for place in range(n)]
-    for at in range(0, len(grams), 2048):
-        bound = np.ones((len(grams[at : at + 2048]), dim), np.int8)
+    cuts = np.searchsorted(which, np.arange(0, len(grams) + BLOCK, BLOCK))
+    for at, low, high in zip(range(0, len(grams), BLOCK), cuts, cuts[1:], strict=False):
+        own = [x[at : at + BLOCK] for x in letters]
+        used = np.unique(np.concatenate(own)) if len(alphabet) > BLOCK else alphabet
+        vectors = np.stack([letter_vector(int(c), dim, seed) for c in used])
+        bound = np.ones((len(own[0]), dim), np.int8)
         for place in range(n):
-            bound *= turned[place][np.searchsorted(alphabet, letters[place][at : at + 2048])]
-        out += counts[:, at : at + 2048] @ bound.astype(np.float32)
+            bound *= np.roll(vectors, n - 1 - place, axis=1)[np.searchsorted(used, own[place])]
+        counts = np.bincount(owner[low:high] * BLOCK + which[low:high] - at, minlength=rows * BLOCK).reshape(rows, BLOCK)
+        out += counts[:, : len(bound)].astype(np.float32) @ bound.astype(np.float32)
+
+
+def bundle(texts: list[str | None], dim: int, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors (texts x dim) and whether each text has letters.  At most about ``GRAMS`` n-grams are held at a time."""
+    out, some = np.zeros((len(texts), dim)), np.zeros(len(texts), bool)
+    held: list[tuple[int, np.ndarray]] = []
+
+    def flush() -> None:
+        if held:
+            _add_grams(out, np.repeat([row for row, _ in held], [len(k) for _, k in held]), np.concatenate([k for _, k in held]), n, seed)
+            held.clear()
+
+    size = 0
+    for row, text in enumerate(texts):
+        for codes in symbols(text or "", n):
+            some[row] = True
+            held.append((row, ngram_keys(codes, n)))
+            size += len(codes)
+            if size > GRAMS:
+                flush()
+                size = 0
+    flush()
     return out, some
 
 
