@@ -24,7 +24,7 @@ N_LINE = 12  # features of one line without its neighbours
 def char_classes() -> np.ndarray:
     """0 lower-case and other letters, 1 upper case, 2 digit, 3 white space, 4 sentence marks, 5 ! and ?, 6 other signs, 7 line feed."""
     table = np.full(0x110000, 6, np.uint8)
-    for point in range(0x30000):
+    for point in range(0x110000):
         char = chr(point)
         if char.isalpha():
             table[point] = 1 if char.isupper() else 0
@@ -67,18 +67,37 @@ def with_neighbours(x: np.ndarray) -> np.ndarray:
 
 
 def forward_backward(emit: list[np.ndarray], trans: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """For many chains at once: P(good) of each line, expected transitions (2 x 2) and the log partition sum.
+    """For many chains: P(good) of each line, expected transitions (2 x 2) and the log partition sum.
 
-    ``emit`` holds each chain's score of "good" by line, against 0 for "bad".
+    ``emit`` holds each chain's score of "good" by line, against 0 for "bad".  Chains go side by side
+    with those of up to twice their length, so that padding at most doubles what they hold.
     """
     order = sorted(range(len(emit)), key=lambda k: -len(emit[k]))
-    sizes = np.array([len(emit[k]) for k in order])
+    out: list[np.ndarray] = [np.zeros(0)] * len(emit)
+    expected, total, at = np.zeros((2, 2)), 0.0, 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and 2 * len(emit[order[end]]) + 8 >= len(emit[order[at]]):
+            end += 1
+        own = order[at:end]
+        good, moved, z = _side_by_side([emit[k] for k in own], trans)
+        for k, g in zip(own, good, strict=True):
+            out[k] = g
+        expected += moved
+        total += z
+        at = end
+    return out, expected, total
+
+
+def _side_by_side(emit: list[np.ndarray], trans: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """:func:`forward_backward` of chains that are sorted from long to short."""
+    sizes = np.array([len(e) for e in emit])
     longest = int(sizes.max()) if len(sizes) else 0
-    pad = np.zeros((longest, len(order)))
-    for col, k in enumerate(order):
-        pad[: sizes[col], col] = emit[k]
-    active = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(longest)]  # chains that have a line t
-    alpha, beta = np.zeros((longest, len(order), 2)), np.zeros((longest, len(order), 2))
+    pad = np.zeros((longest, len(emit)))
+    for col, e in enumerate(emit):
+        pad[: sizes[col], col] = e
+    active = len(sizes) - np.searchsorted(sizes[::-1], np.arange(longest), side="right")  # chains that have a line t
+    alpha, beta = np.zeros((longest, len(emit), 2)), np.zeros((longest, len(emit), 2))
     for t in range(longest):
         a = active[t]
         if t:
@@ -90,19 +109,15 @@ def forward_backward(emit: list[np.ndarray], trans: np.ndarray) -> tuple[list[np
         after = beta[t + 1, :a].copy()
         after[:, 1] += pad[t + 1, :a]
         beta[t, :a] = np.logaddexp(after[:, :1] + trans[:, 0], after[:, 1:] + trans[:, 1])
-    last = alpha[sizes - 1, np.arange(len(order))] if longest else np.zeros((0, 2))
+    last = alpha[sizes - 1, np.arange(len(emit))] if longest else np.zeros((0, 2))
     z = np.logaddexp(last[:, 0], last[:, 1])
     good = np.exp(alpha[:, :, 1] + beta[:, :, 1] - z)
     expected = np.zeros((2, 2))
-    for t in range(1, longest):
-        a = active[t]
-        for i in (0, 1):
-            for j in (0, 1):
-                expected[i, j] += np.exp(alpha[t - 1, :a, i] + trans[i, j] + j * pad[t, :a] + beta[t, :a, j] - z[:a]).sum()
-    out: list[np.ndarray] = [np.zeros(0)] * len(emit)
-    for col, k in enumerate(order):
-        out[k] = good[: sizes[col], col]
-    return out, expected, float(z.sum())
+    here = np.arange(longest)[1:, None] < sizes  # chains that move to line t
+    for i in (0, 1):
+        for j in (0, 1):
+            expected[i, j] = np.exp((alpha[:-1, :, i] + trans[i, j] + j * pad[1:] + beta[1:, :, j] - z)[here]).sum()
+    return [good[: sizes[col], col] for col in range(len(emit))], expected, float(z.sum())
 
 
 @dataclass(frozen=True)
@@ -158,7 +173,7 @@ def train(feats: list[np.ndarray], labels: np.ndarray, steps: int = 120, l2: flo
 def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", fit_docs: int = 2_500, fit_lines: int = 60_000) -> LineCrf:
     """Train on labelled documents.
 
-    At most about ``fit_docs`` documents are used, picked by a hash of the text, and of them no more
+    At most about ``fit_docs`` documents are used, picked by a hash of the key, and of them no more
     than ``fit_lines`` lines: these bounds hold what one machine must fit at any size of the corpus.
     Without usable labels the scores are a constant.
     """
