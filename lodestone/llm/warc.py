@@ -7,14 +7,17 @@ keep its URI and date, and the metadata record lists the source's headers and di
 
 from __future__ import annotations
 
+import html.entities
+import zlib
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
-# The named references that pages use, in the order of decoding; the ampersand is last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&"))
+# The named references of HTML 4 with their code points, from the standard library, and one more of XML.
+ENTITIES = {**html.entities.name2codepoint, "apos": 39}
 BREAKS = "(?i)<(?:/p|/div|/li|/h[1-6]|/tr|/title|/article|/nav|/footer|/header|/section|/table|/ul|/ol|br|hr)\\b[^>]*>"
 
 
@@ -28,10 +31,27 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
+REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
+
+
 def decoded(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """``text`` with named and numeric character references resolved, once; a no-break space becomes a blank.
+
+    What names no character stays as it is.
+    """
+    names = F.create_map(*[F.lit(x) for name, point in ENTITIES.items() for x in (name, chr(point))])
+
+    def resolved(part: Column) -> Column:
+        name = F.regexp_extract(part, REFERENCE, 1)
+        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("int")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        char = F.when(name == "", F.lit(None)).when(F.substring(name, 1, 1) == "#", number).otherwise(F.element_at(names, name))
+        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(name) + 2)))
+
+    parts = F.split(text, "&")
+    more = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), resolved)
+    return F.when(F.contains(text, F.lit("&")), F.translate(F.concat(F.get(parts, F.lit(0)), F.array_join(more, "")), "\u00a0", " ")).otherwise(F.translate(text, "\u00a0", " "))
 
 
 def plain_text(html: Column) -> Column:
@@ -73,7 +93,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     })
     links = F.regexp_extract_all("body", F.lit('(?i)<a\\s[^>]*href="([^"]*)"'), F.lit(1))
     title = F.trim(decoded(F.regexp_replace(F.regexp_extract("body", "(?is)<title[^>]*>(.*?)</title", 1), "[ \\t\\r\\n]+", " ")))
-    headers = F.array_join(F.transform(F.slice(F.split("head", "\r\n"), 2, 1000), lambda h: F.concat(F.lit("source-header: "), h)), "\r\n")
+    headers = F.array_join(F.transform(F.slice(F.split("head", "\r\n"), F.lit(2), F.size(F.split("head", "\r\n"))), lambda h: F.concat(F.lit("source-header: "), h)), "\r\n")
     lines = F.concat(
         F.lit("source-payload-digest: "), F.col("payload_digest"), F.lit("\r\nsource-block-digest: "), F.col("block_digest"), F.lit("\r\n"), headers,
         F.lit("\r\ntitle: "), title, F.lit("\r\nlanguage: "), F.regexp_extract("body", '(?i)<html[^>]*\\slang="([^"]*)"', 1),
@@ -109,14 +129,27 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, by their Content-Length, so that blocks may hold anything.  One task reads a file."""
+    """Records of WARC files, by their Content-Length, so that blocks may hold anything.
+
+    Files compressed with gzip, as a whole or record by record, are unpacked.  A record without a
+    readable length has an empty block, one without a type a null type.  One task reads a file.
+    """
     schema = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, content_type string, content_length long, payload_digest string, block_digest string, block string"
     names = [f.strip().split(" ")[0] for f in schema.split(",")]
     wire = dict(zip(["warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "content-type", "content-length", "warc-payload-digest", "warc-block-digest"], names, strict=False))
 
+    def unpacked(raw: bytes) -> bytes:
+        out = []
+        while raw[:2] == b"\x1f\x8b":
+            member = zlib.decompressobj(31)
+            out += [member.decompress(raw), member.flush()]
+            raw = member.unused_data
+        return b"".join(out) or raw
+
     def parse(batches):
         for batch in batches:
             for raw in batch.column(0).to_pylist():
+                raw = unpacked(raw)
                 rows, at = [], 0
                 while (cut := raw.find(b"\r\n\r\n", at)) >= 0:
                     fields = dict.fromkeys(names)
@@ -124,7 +157,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         name, _, value = line.partition(":")
                         if name.strip().lower() in wire:
                             fields[wire[name.strip().lower()]] = value.strip()
-                    size = int(fields["content_length"] or 0)
+                    length = fields["content_length"] or ""
+                    size = int(length) if length.isascii() and length.isdigit() else 0
                     fields |= {"content_length": size, "block": raw[cut + 4 : cut + 4 + size].decode("utf-8", "replace")}
                     rows.append(fields)
                     at = cut + 4 + size + 4
