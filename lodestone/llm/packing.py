@@ -206,13 +206,18 @@ def _runs(lengths: list[int]) -> list[tuple[int, int]]:
     return list(out.items())
 
 
-def pack_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
+def pack_pieces(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY, salt_rows: int = 250_000) -> DataFrame:
     """``pieces`` with sequence_id and offset; every sequence is filled without gaps from 0.
 
-    The driver sees a count for each (length, salt): at most capacity x salts rows.  Pieces of one
-    length, however many, are ranked within salts, whose starts come from these counts.
+    Pieces of one length are ranked within salts of about ``salt_rows`` pieces, so a length gets as
+    many salts as it needs.  The driver sees a count for each length, and one for each (length, salt):
+    at most capacity + pieces / ``salt_rows`` rows, 32 bytes each.
     """
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salts = {r["length"]: -(-r["count"] // salt_rows) for r in pieces.groupBy("length").count().collect()}
+    often = {n: c for n, c in salts.items() if c > 1}
+    hashed = F.xxhash64(key, "piece", "ids_crc32")
+    of_length = F.coalesce(F.element_at(F.create_map(*[F.lit(x).cast("long") for item in often.items() for x in item]), F.col("length")), F.lit(1).cast("long")) if often else F.lit(1)
+    salted = pieces.withColumn("salt", F.pmod(hashed, of_length).cast("int"))
     counts = sorted((r["length"], r["salt"], r["count"]) for r in salted.groupBy("length", "salt").count().collect())
     histogram: dict[int, int] = {}
     starts = []
