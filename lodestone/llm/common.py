@@ -7,6 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +28,23 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lodestone/{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
+_made: list[list[str]] = []
+
+
+def own_path(spark: SparkSession, label: str) -> str:
+    """A new path for this application in the shared folder."""
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str, outlast: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    With ``outlast`` an enclosing :func:`scratch` leaves it.
+    """
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = own_path(spark, label)
+    if _made and not outlast:
+        _made[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lodestone_path = path  # noqa: SLF001 - lets discard() find the files
@@ -43,6 +57,23 @@ def _delete(spark: SparkSession, path: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether something lies at ``path``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001 - the file system behind any Spark path
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)  # noqa: SLF001
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`written` makes within are deleted at the end; what needs them must be saved by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            _delete(spark, path)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no later plan reads."""
     for df in tables:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import held_out
+from lodestone.llm.common import held_out, own_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,8 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
-    rows, _ = shard_records(docs, size)
-    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    rows, _ = shard_records(docs, size, own_path(spark, "slot-map"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
 def op6_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,14 +115,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _warc_sql() -> str:
     """The records of :func:`op8_warc_derivatives` in DuckDB's SQL."""
-    from lodestone.llm.warc import BREAKS, ENTITIES
+    from lodestone.llm.warc import BREAKS, ENTITIES, REFERENCE
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    named = "MAP {" + ", ".join(f"{quoted(name)}: chr({point})" for name, point in ENTITIES.items()) + "}"
+    code = "CASE WHEN lower(n[2]) = 'x' THEN ('0x' || n[3:])::INT ELSE n[2:]::INT END"
+    number = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) END"
 
     def decoded(x: str) -> str:
-        for name, char in ENTITIES:
-            x = f"replace({x}, {quoted(name)}, {quoted(char)})"
-        return x
+        name = f"regexp_extract(p, {quoted(REFERENCE)}, 1)"
+        char = f"list_transform([{name}], lambda n: CASE WHEN n = '' THEN NULL WHEN n[1] = '#' THEN {number} ELSE element_at({named}, n)[1] END)[1]"
+        rest = f"list_transform(str_split({x}, '&')[2:], lambda p: coalesce({char} || substr(p, length({name}) + 2), '&' || p))"
+        return f"replace(str_split({x}, '&')[1] || array_to_string({rest}, ''), chr(160), ' ')"
 
     def regex(x: str, pattern: str, by: str) -> str:
         return f"regexp_replace({x}, {quoted(pattern)}, {by}, 'g')"

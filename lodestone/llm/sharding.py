@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import stored
+
 SLOTS = 4096
 
 
@@ -74,38 +76,63 @@ class SlotMap:
         return SlotMap(self.version + 1, shards, tuple(home), (*self.history, (self.version + 1, moved)))
 
     def table(self, spark) -> DataFrame:
-        """The map as rows (version, virtual_slot, shard), to be written beside the data."""
-        return spark.createDataFrame([(self.version, s, h) for s, h in enumerate(self.shard_of)], "version int, virtual_slot int, shard int")
+        """The map as rows (version, shards, virtual_slot, shard), to be written beside the data."""
+        return spark.createDataFrame([(self.version, self.shards, s, h) for s, h in enumerate(self.shard_of)], "version int, shards int, virtual_slot int, shard int")
+
+    def store(self, spark, path: str) -> None:
+        """Add this version to the map stored at ``path``."""
+        self.table(spark).coalesce(1).write.mode("append").parquet(path)
 
     @staticmethod
     def from_table(rows: DataFrame, version: int | None = None) -> SlotMap:
-        """Read version ``version`` (the latest if None) back; a map has a fixed number of rows."""
+        """Read version ``version`` (the latest if None) back; a map has a fixed number of rows.
+
+        ``history`` is counted from the stored versions up to this one.
+        """
         version = version or rows.agg(F.max("version")).first()[0]
-        found = {r["virtual_slot"]: r["shard"] for r in rows.where(F.col("version") == version).collect()}
-        return SlotMap(version, max(found.values()) + 1, tuple(found[s] for s in range(len(found))))
+        held = rows.where(F.col("version") == version).collect()
+        found = {r["virtual_slot"]: r["shard"] for r in held}
+        before = rows.select((F.col("version") + 1).alias("version"), "virtual_slot", F.col("shard").alias("former"))
+        moves = rows.where(F.col("version") <= version).join(before, ["version", "virtual_slot"]).groupBy("version").agg(F.count_if(F.col("shard") != F.col("former")).alias("moved"))
+        return SlotMap(version, held[0]["shards"], tuple(found[s] for s in range(len(found))), tuple((r["version"], r["moved"]) for r in moves.orderBy("version").collect()))
 
 
-def shard_records(records: DataFrame, size: Column, key: str = "doc_id", text: str = "text", shards: int = 8, slots: int = SLOTS, current: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
+def shard_records(records: DataFrame, size: Column, map_path: str, key: str = "doc_id", text: str = "text", shards: int = 8, slots: int = SLOTS, group_rows: int = 250_000) -> tuple[DataFrame, SlotMap]:
     """Assign every record to a shard; returns (assignment, edited map).
 
-    The assignment has ``key``, ``size``, ``text_crc32``, ``virtual_slot``, ``shard`` and ``slot``, the
-    record's place in its shard, without gaps from 0.  Null keys hash by their text, so many of them
-    spread.  Repeated rows are separate records.  An empty table gives no rows and an edited map
-    without moves.  What reaches the driver is one count and one sum for each virtual slot.
+    The latest version of the map is read from ``map_path`` (version 1, which deals ``slots`` in turn, is
+    stored there first if nothing is; a stored map's slots stay), edited for the bytes of these records and stored as the next
+    version, which the assignment reads.
+
+    The assignment has ``key``, ``size``, ``text_crc32``, ``virtual_slot``, ``shard``, ``map_version`` and
+    ``slot``, the record's place in its shard, without gaps from 0.  Null keys hash by their text, so many
+    of them spread.  Repeated rows are separate records.  An empty table gives no rows and an edited map
+    without moves.  Records of one virtual slot are numbered in groups of about ``group_rows`` by a hash
+    of key and text, so texts of one hot key spread; rows equal in both stay together.  What reaches the
+    driver is a count and a sum for each virtual slot and a count for each group.
     """
     spark = records.sparkSession
+    if not stored(spark, map_path):
+        SlotMap.initial(shards, slots).store(spark, map_path)
+    current = SlotMap.from_table(spark.read.parquet(map_path))
+    slots = len(current.shard_of)
     rows = records.select(
         F.col(key), size.cast("long").alias("size"), F.crc32(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")).alias("text_crc32"),
         virtual_slot(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")), slots).alias("virtual_slot"),
     )
     totals = rows.groupBy("virtual_slot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()  # at most one row a slot
-    edited = (current or SlotMap.initial(shards, slots)).rebalanced({r["virtual_slot"]: r["bytes"] for r in totals}, shards)
+    current.rebalanced({r["virtual_slot"]: r["bytes"] for r in totals}, shards).store(spark, map_path)
+    edited = SlotMap.from_table(spark.read.parquet(map_path))
+    groups = {r["virtual_slot"]: -(-r["n"] // group_rows) for r in totals if r["n"] > group_rows}
+    of_slot = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for item in groups.items() for x in item]), F.col("virtual_slot")), F.lit(1)) if groups else F.lit(1)
+    rows = rows.withColumn("group", F.pmod(F.xxhash64(key, "text_crc32"), of_slot).cast("int"))
+    counts = {(r["virtual_slot"], r["group"]): r["count"] for r in rows.groupBy("virtual_slot", "group").count().collect()} if groups else {(r["virtual_slot"], 0): r["n"] for r in totals}
     starts, reached = [], [0] * edited.shards
-    count = {r["virtual_slot"]: r["n"] for r in totals}
-    for slot, shard in enumerate(edited.shard_of):
-        starts.append((slot, shard, reached[shard]))
-        reached[shard] += count.get(slot, 0)
-    places = F.broadcast(spark.createDataFrame(starts, "virtual_slot int, shard int, start long"))  # slots rows
-    within = Window.partitionBy("virtual_slot").orderBy(key, "text_crc32", "size")
-    out = rows.withColumn("at", F.row_number().over(within)).join(places, "virtual_slot")
-    return out.select(key, "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("at") - 1).alias("slot")), edited
+    for (slot, group), count in sorted(counts.items()):
+        shard = edited.shard_of[slot]
+        starts.append((slot, group, shard, reached[shard]))
+        reached[shard] += count
+    places = F.broadcast(spark.createDataFrame(starts, "virtual_slot int, group int, shard int, start long"))  # slots + records / group_rows rows
+    within = Window.partitionBy("virtual_slot", "group").orderBy(key, "text_crc32", "size")
+    out = rows.withColumn("at", F.row_number().over(within)).join(places, ["virtual_slot", "group"])
+    return out.select(key, "size", "text_crc32", "virtual_slot", "shard", (F.col("start") + F.col("at") - 1).alias("slot"), F.lit(edited.version).alias("map_version")), edited

@@ -11,7 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm import collision_ann, language_id, near_dedup, order_minhash, packing, quality, sharding, suffix_dedup, warc
+from lodestone.llm import collision_ann, common, language_id, near_dedup, order_minhash, packing, quality, sharding, suffix_dedup, warc
+from lodestone.llm.bpe import encode_decode
 from lodestone.llm.components import connected_components
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -111,7 +112,11 @@ def test_no_documents(none):
     assert near_dedup.near_duplicates(none).count() == 0
     assert packing.pack_documents(none, BYTE_BPE).count() == 0
     assert order_minhash.with_next(none).count() == 0
-    assert sharding.shard_records(none, F.lit(1))[0].count() == 0
+    assert sharding.shard_records(none, F.lit(1), common.own_path(none.sparkSession, "map"))[0].count() == 0
+    assert encode_decode(none, WORD_BPE).count() == 0
+    assert quality.fit_quality(none.select("doc_id", "text"), none.select("doc_id", F.lit(1).alias("quality"))).apply(none).count() == 0
+    pages = none.select("doc_id", "text").toDF("page_id", "html").withColumn("url", F.lit("u"))
+    assert warc.derivatives(warc.responses(pages)).count() == 0
     assert suffix_dedup.remove_spans(suffix_dedup.repeated_passages(none)).count() == 0
     profiles = language_id.fit_language_profiles(none)
     assert profiles.languages == () and profiles.apply(none).count() == 0
@@ -159,6 +164,15 @@ def test_packing_places_every_piece_once(docs):
         assert at <= 256
 
 
+def test_salts_follow_the_count(docs):
+    pieces = packing.token_pieces(docs, BYTE_BPE, capacity=64).cache()
+    plain, salted = (packing.pack_pieces(pieces, capacity=64, salt_rows=n).collect() for n in (10**6, 5))
+    for out in (plain, salted):
+        spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
+        assert len(set(spans)) == len(out) and all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(spans, spans[1:]))
+    assert len({r["sequence_id"] for r in plain}) == len({r["sequence_id"] for r in salted})
+
+
 def test_plan_is_near_the_bound():
     histogram = Counter(min(2048, int(RNG.lognormvariate(5.5, 1)) + 1) for _ in range(20_000))
     patterns = packing.plan_patterns(histogram)
@@ -328,10 +342,11 @@ def test_edits_in_runs_without_blanks_and_long_texts(spark):
 
 
 def test_shards_are_even_and_gapless(docs, spark):
-    rows, edited = sharding.shard_records(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    rows, edited = sharding.shard_records(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 1, common.own_path(spark, "map"))
     assert rows.count() == len(ROWS) and edited.version == 2
+    path = common.own_path(spark, "map")
     many = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 50).cast("int")).alias("text"))
-    rows, first = sharding.shard_records(many, F.octet_length("text") + 1, slots=512)
+    rows, first = sharding.shard_records(many, F.octet_length("text") + 1, path, slots=512, group_rows=4)
     out = rows.collect()
     loads = Counter()
     for r in out:
@@ -346,7 +361,18 @@ def test_shards_are_even_and_gapless(docs, spark):
         slot_bytes[r["virtual_slot"]] += r["size"]
     grown = first.rebalanced(slot_bytes, 9)
     assert grown.version == 3 and set(grown.shard_of) == set(range(9)) and grown.history[-1][1] < 512 / 6
-    assert sharding.SlotMap.from_table(grown.table(spark)).shard_of == grown.shard_of
+    grown.store(spark, path)
+    kept = spark.read.parquet(path)
+    assert sharding.SlotMap.from_table(kept) == grown and sharding.SlotMap.from_table(kept, 2) == first
+    again, next_map = sharding.shard_records(many, F.octet_length("text") + 1, path, shards=9)  # goes on from the stored version
+    assert next_map.version == 4 and next_map.shard_of == grown.shard_of and again.select("map_version").distinct().collect() == [(4,)]
+    assert [r[0] for r in again.where("shard = 8").orderBy("slot").select("slot").collect()] == list(range(again.where("shard = 8").count()))
+
+
+def test_texts_of_one_key_spread_over_groups(spark):
+    hot = spark.range(300).select(F.lit(7).alias("doc_id"), F.repeat(F.lit("x"), F.col("id").cast("int")).alias("text"))
+    rows, _ = sharding.shard_records(hot, F.octet_length("text") + 1, common.own_path(spark, "map"), group_rows=10)
+    assert sorted(r["slot"] for r in rows.collect()) == list(range(300))
 
 
 # 6 BPE
@@ -421,8 +447,25 @@ def test_warc_round_trip_and_links(spark, tmp_path):
     assert rows[1, "conversion"]["block"] == "T & U\nOne\ntwo\nl" and "title: T & U" in rows[1, "metadata"]["block"] and "outlink: /x" in rows[1, "metadata"]["block"] and "source-header: Content-Type: text/html" in rows[1, "metadata"]["block"]
     every = source.drop("page_id").unionByName(made.drop("page_id"))
     warc.write_warc(every, str(tmp_path / "w"))
-    back = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
-    assert len(back) == 9 and all(back[r["record_id"]]["block"] == r["block"] and back[r["record_id"]]["refers_to"] == r["refers_to"] for r in every.collect())
+    warc.write_warc(every, str(tmp_path / "z"), compression="gzip")
+    for name in "wz":
+        back = {r["record_id"]: r for r in warc.read_warc(spark, str(tmp_path / name)).collect()}
+        assert len(back) == 9 and all(back[r["record_id"]]["block"] == r["block"] and back[r["record_id"]]["refers_to"] == r["refers_to"] for r in every.collect())
+
+
+def test_warc_many_headers_references_and_broken_lengths(spark, tmp_path):
+    import gzip
+
+    page = "<p>a &#8217; &#x1F600; &eacute;&Eacute; &amp;lt; &nope; &#0; &#xD800; &#99999999; & x&nbsp;y; &apos;</p>"
+    headers = "\r\n".join(f"X-{i}: v{i}" for i in range(1500))
+    source = warc.responses(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).withColumn("block", F.concat(F.lit(f"HTTP/1.1 200 OK\r\n{headers}\r\n\r\n"), F.lit(page)))
+    rows = {r["record_type"]: r["block"] for r in warc.derivatives(source).collect()}
+    assert rows["metadata"].count("source-header: X-") == 1500
+    assert rows["conversion"] == "a ’ \U0001f600 éÉ &lt; &nope; &#0; &#xD800; &#99999999; & x y; '"
+    record = lambda length: f"WARC/1.1\r\nWARC-Record-ID: <x>\r\nContent-Length: {length}\r\n\r\n".encode()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "f.warc.gz").write_bytes(gzip.compress(record("3") + b"abc\r\n\r\n") + gzip.compress(record("many") + b"\r\n\r\n"))
+    assert [(r["record_type"], r["content_length"], r["block"]) for r in warc.read_warc(spark, str(tmp_path / "b")).collect()] == [(None, 3, "abc"), (None, 0, "")]
 
 
 # 9 languages
@@ -437,10 +480,64 @@ def test_languages(spark, docs):
     assert model.languages == ("aa", "bb", "cc")
     out = model.apply(frame.where("doc_id between 120 and 179")).collect()
     assert all(r["lang_pred"] == r["lang"] and 0 <= r["score"] <= 1 for r in out)
+    rare = model.apply(spark.createDataFrame([(1, chr(0x30000) * 5), (2, "\u200b1")], "doc_id long, text string")).collect()
+    assert rare[0]["lang_pred"] != "und" and rare[1]["lang_pred"] == "und"
     odd = {r["doc_id"]: r for r in model.apply(docs).collect()}
     assert odd[1]["lang_pred"] == odd[2]["lang_pred"] == odd[4]["lang_pred"] == "und" and odd[1]["score"] == 0 and odd[6]["lang_pred"] != "und"
 
 
+def test_bundles_equal_their_definition():
+    """Bound and rotated letter vectors, added one n-gram at a time."""
+    texts = ["Ab c,  d", "", "1 2", "éé" + chr(0x30001), None, "x"]
+    got, some = language_id.bundle(texts, 64, 3, 7)
+    for row, text in enumerate(texts):
+        letters = "".join(c.lower() if c.isalpha() else " " for c in text or "")
+        codes = [0, *(0 if c == " " else ord(c) for c in letters), 0]
+        codes = [c for k, c in enumerate(codes) if k == 0 or c or codes[k - 1]]
+        want = np.zeros(64)
+        if any(codes):
+            for at in range(len(codes) - 2):
+                bound = np.ones(64)
+                for place in range(3):
+                    bound = bound * np.roll(language_id.letter_vector(codes[at + place], 64, 7).astype(float), 2 - place)
+                want += bound
+        assert some[row] == any(codes) and np.array_equal(got[row], want)
+
+
+def test_pieces_of_a_long_text_keep_its_n_grams(monkeypatch):
+    texts = ["".join(RNG.choice("ab é1. ") for _ in range(n)) for n in (0, 1, 7, 50, 200)] + ["...  a", "a  ...", ". . . ."]
+    whole = [language_id.bundle([t], 32, 3, 7)[0] for t in texts]
+    for chunk in (1, 2, 3, 5, 50):
+        for t, want in zip(texts, whole):
+            keys = [language_id.ngram_keys(c, 3) for c in language_id.symbols(t, 3, chunk)]
+            full = [language_id.ngram_keys(c, 3) for c in language_id.symbols(t, 3)]
+            assert np.array_equal(np.concatenate([*keys, []]), np.concatenate([*full, []]))
+    monkeypatch.setattr(language_id, "GRAMS", 3)
+    assert all(np.array_equal(language_id.bundle([t], 32, 3, 7)[0], want) for t, want in zip(texts, whole))
+
+
+def test_very_long_texts_stay_within_memory():
+    """Millions of distinct n-grams or lines beside short texts, in a process of at most 3 GB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+resource.setrlimit(resource.RLIMIT_AS, (3 << 30, 3 << 30))
+import numpy as np
+from lodestone.llm import language_id, quality
+rng = np.random.Generator(np.random.PCG64(1))
+wide = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 2_000_000)))
+out, some = language_id.bundle(["short text"] * 100 + [wide], 256, 3, 7)
+assert some.all() and np.abs(out[-1]).max() > 0
+model = quality.LineCrf(np.full(1 + 3 * quality.N_LINE, 0.1), np.zeros((2, 2)))
+scores = model.scores(["short\\ntext"] * 200 + ["\\n" * 300_000])
+assert len(scores) == 201 and ((scores >= 0) & (scores <= 1)).all()
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={**__import__("os").environ, "OPENBLAS_NUM_THREADS": "1", "PYTHONPATH": "/root/repo"}, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
 # 10 repeated passages
 
 

@@ -30,6 +30,63 @@ def test_stages_take_effect(spark):
     assert use.where("n <> end or n > 2048").count() == 0
 
 
+@pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
+def test_clashing_names_and_empty_tables(spark):
+    names = ["_label", "label", "_score", "score", "_row", "rest", "spans", "kept", "component_id", "n_bytes", "id", "node"]
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet").withColumns({c: F.lit(f"own {c}") for c in names})
+    empty, ids = docs.where("1 = 0"), docs.count()
+    for _, stage in pipeline.STAGES[:-1]:
+        docs, empty = pipeline.written(stage(spark, docs, str(TABLES)), "test"), pipeline.written(stage(spark, empty, str(TABLES)), "test")
+        assert docs.columns == empty.columns and empty.count() == 0
+        assert docs.select(*names).distinct().collect() == [tuple(f"own {c}" for c in names)]
+        assert 0 < docs.count() <= ids
+    assert pipeline.packing_stage(spark, empty, "").count() == 0
+
+
+@pytest.mark.skipif(not TABLES.exists(), reason="no test tables")
+def test_run_against_brute_force(spark):
+    """Every row of the tables is kept, cut or dropped by a named rule, and run() packs exactly what is left."""
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from lodestone.llm.common import held_out
+    from lodestone.llm.language_id import fit_language_profiles
+    from lodestone.llm.quality import fit_quality
+    from tests.llm.test_llm_operators import brute_components, brute_spans
+
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    labels = spark.read.parquet(f"{TABLES}/labels.parquet")
+    model = fit_language_profiles(docs.where(~held_out()).select("text", "lang"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found, cosine = model.scores([t for _, t in rows])
+    rows = [r for r, lang, c in zip(rows, found, cosine, strict=True) if lang != "und" and not (c < 0.1 and len(r[1]) >= 200)]
+    kept = docs.where(F.col("doc_id").isin([i for i, _ in rows]))
+    scores = fit_quality(kept.where(~held_out()), labels.where(~held_out())).scores([t for _, t in rows])
+    rows = [r for r, s in zip(rows, scores, strict=True) if s >= 0.3]
+    group = brute_components(rows, 5, 80)
+    rows = sorted((i, t) for i, t in rows if group[i] == i)
+    want: dict = {}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    plain = brute_spans(rows, 100)
+    for i, t in rows:
+        raw = plain[i][0]
+        text = t if not plain[i][1] else raw.decode("utf-8", "strict") if raw.isascii() else None
+        if text:
+            tokens = [*library.encode(text, add_special_tokens=False).ids, 0]
+            first = (len(tokens) - 1) % 2048 + 1
+            want[i] = {(k, at, zlib.crc32(np.array(tokens[at : at + (2048 if k else first)], "<u4").tobytes())) for k, at in enumerate([0, *range(first, len(tokens), 2048)])}
+        elif text is None:
+            want[i] = None  # cut inside other characters: whole characters stay, which the operator's own test checks
+    got: dict = {}
+    for r in pipeline.run(spark, str(TABLES)).collect():
+        got.setdefault(r.doc_id, set()).add((r.piece, r.start, r.ids_crc32))
+    assert got.keys() == want.keys()
+    assert all(got[i] == p for i, p in want.items() if p is not None) and sum(p is not None for p in want.values()) > len(want) / 2
+
+
 def test_rows_without_or_with_repeated_ids(spark):
     """Near-dedup and suffix stages tell rows apart by id and text."""
     import random
