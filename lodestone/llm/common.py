@@ -7,7 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -107,6 +107,11 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return (F.crc32(F.coalesce(col.cast("string"), F.lit("null")).cast("binary")) % 5) == 0
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once for each row however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def slices(batches, rows: int = 256, chars: int = 4_000_000):
     """Cut Arrow batches into slices of at most ``rows`` rows and about ``chars`` bytes."""
     for batch in batches:

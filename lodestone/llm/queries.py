@@ -115,7 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def _warc_sql() -> str:
     """The records of :func:`op8_warc_derivatives` in DuckDB's SQL."""
-    from lodestone.llm.warc import BREAKS, ENTITIES, REFERENCE
+    from lodestone.llm.warc import BREAKS, ENTITIES
 
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     named = "MAP {" + ", ".join(f"{quoted(name)}: chr({point})" for name, point in ENTITIES.items()) + "}"
@@ -123,7 +123,7 @@ def _warc_sql() -> str:
     number = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) END"
 
     def decoded(x: str) -> str:
-        name = f"regexp_extract(p, {quoted(REFERENCE)}, 1)"
+        name = "regexp_extract(p, '^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});', 1)"
         char = f"list_transform([{name}], lambda n: CASE WHEN n = '' THEN NULL WHEN n[1] = '#' THEN {number} ELSE element_at({named}, n)[1] END)[1]"
         rest = f"list_transform(str_split({x}, '&')[2:], lambda p: coalesce({char} || substr(p, length({name}) + 2), '&' || p))"
         return f"replace(str_split({x}, '&')[1] || array_to_string({rest}, ''), chr(160), ' ')"

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import let
+
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 # The named references of HTML 4 with their code points, from the standard library, and one more of XML.
@@ -31,7 +33,7 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
 
-REFERENCE = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
+LONGEST = 33  # characters of the longest reference that is looked at, with its semicolon
 
 
 def decoded(text: Column) -> Column:
@@ -41,17 +43,24 @@ def decoded(text: Column) -> Column:
     """
     names = F.create_map(*[F.lit(x) for name, point in ENTITIES.items() for x in (name, chr(point))])
 
+    def number(name: Column) -> Column:
+        code = F.when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, 2, 7)).when(name.rlike("^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(name, 3, 6), 16, 10))
+        return let(code.try_cast("int"), lambda c: F.when((c > 0) & (c < 0x110000) & ~c.between(0xD800, 0xDFFF), F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")))
+
     def resolved(part: Column) -> Column:
-        name = F.regexp_extract(part, REFERENCE, 1)
-        code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7)).try_cast("int")
-        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        char = F.when(name == "", F.lit(None)).when(F.substring(name, 1, 1) == "#", number).otherwise(F.element_at(names, name))
-        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(name) + 2)))
-
-    parts = F.split(text, "&")
-    more = F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), resolved)
-    return F.when(F.contains(text, F.lit("&")), F.translate(F.concat(F.get(parts, F.lit(0)), F.array_join(more, "")), "\u00a0", " ")).otherwise(F.translate(text, "\u00a0", " "))
+        def char(name: Column) -> Column:
+            return F.when(F.startswith(name, F.lit("#")), number(name)).otherwise(F.element_at(names, name))
+
+        def put(name: Column) -> Column:
+            ended = F.substr(part, F.length(name) + 1, F.lit(1)) == ";"
+            return let(F.when(ended, char(name)), lambda c: F.coalesce(F.concat(c, F.substr(part, F.length(name) + 2)), F.concat(F.lit("&"), part)))
+
+        return let(F.substring_index(F.substring(part, 1, LONGEST), ";", 1), put)
+
+    def joined(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), resolved), ""))
+
+    return F.replace(let(text, lambda t: F.when(F.contains(t, F.lit("&")), let(F.split(t, "&"), joined)).otherwise(t)), F.lit("\u00a0"), F.lit(" "))
 
 
 def plain_text(html: Column) -> Column:
