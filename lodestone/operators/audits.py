@@ -36,31 +36,66 @@ def risk_level(rate: Column) -> Column:
     return F.when(rate.isNull() | F.isnan(rate.cast("double")), "unknown").when(rate >= 0.30, "high").when(rate >= 0.10, "medium").otherwise("low")
 
 
-def hash_rank(rows: DataFrame, key: str, seed: int, by: list[str] | None = None) -> DataFrame:
-    """``place`` of each row's key in a seeded order, as a share 0 to 1 (exclusive)."""
-    unit = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(2**52)) / float(2**52)
-    return rows.withColumn("place", unit)
+def seeded_order(key: Column, seed: int) -> Column:
+    """60 bits of a hash of the key and a seed, as long."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 15), 16, 10).cast("long")
 
 
-def split_rows(rows: DataFrame, key: str, shares: tuple[float, ...] = (0.70, 0.15, 0.15), names: tuple[str, ...] = ("train", "validation", "test"), seed: int = 0) -> DataFrame:
-    """``split`` by a seeded hash of the key: the same row is in the same split at any partitioning."""
-    placed, bound, split = hash_rank(rows, key, seed), 0.0, F.lit(names[-1])
-    cases = None
-    for share, name in list(zip(shares, names, strict=True))[:-1]:
-        bound += share
-        cases = F.when(F.col("place") < bound, name) if cases is None else cases.when(F.col("place") < bound, name)
-    return placed.withColumn("split", cases.otherwise(split) if cases is not None else split).drop("place")
+def split_sizes(total: int, wanted: tuple[int, ...] | None, shares: tuple[float, ...], floors: tuple[int, ...]) -> list[int]:
+    """Sizes of the splits: ``wanted`` if there are so many rows, else shares of what there is, but at least the floors.
 
+    The first split may go down to what the floors of the others leave; the last takes the rest.
+    """
+    if wanted and sum(wanted) <= total:
+        return list(wanted)
+    sizes = [max(int(total * shares[0]), min(floors[0], total - sum(floors[1:])))]
+    sizes += [max(int(total * share), floor) for share, floor in zip(shares[1:-1], floors[1:-1], strict=True)]
+    return [*sizes, max(total - sum(sizes), floors[-1])]
+
+
+def split_rows(rows: DataFrame, key: str, shares: tuple[float, ...] = (0.70, 0.15, 0.15), names: tuple[str, ...] = ("train", "validation", "test"), seed: int = 0, sizes: tuple[int, ...] | None = None, floors: tuple[int, ...] = (4, 1, 1)) -> DataFrame:
+    """``split`` of each row, in splits of exact size by a seeded order of the key (see :func:`split_sizes`).
 
-def split_by_label(rows: DataFrame, label: str, **how) -> DataFrame:
-    """All rows of a label share a split, so vocabularies are disjoint."""
-    return split_rows(rows, label, **how)
+    Rows beyond the wanted sizes are left out.  The order is counted in 65,536 ranges of its hash, which
+    is all that reaches the driver; only the ranges that a bound falls into are sorted.
+    """
+    placed = rows.withColumns({"_h": seeded_order(F.col(key), seed)}).withColumn("_range", F.shiftright("_h", 44))
+    counts = sorted((r["_range"], r["count"]) for r in placed.groupBy("_range").count().collect())
+    total = sum(n for _, n in counts)
+    bounds, reached = [], 0
+    for size in split_sizes(total, sizes, shares, floors):
+        reached = min(reached + size, total)
+        bounds.append(reached)
+    start, cut, before = 0, {}, []
+    for number, n in counts:
+        before.append((number, start))
+        if any(start < b < start + n for b in bounds):
+            cut[number] = start
+        start += n
+    last_whole = lambda b: max((number for number, s in before if s < b), default=-1)  # noqa: E731 - the range that holds place b - 1
+    whole = F.lit(None).cast("string")
+    for bound, name in reversed(list(zip(bounds, names, strict=True))):
+        whole = F.when(F.col("_range") <= last_whole(bound), name).otherwise(whole)
+    out = placed.where(~F.col("_range").isin(list(cut))).withColumn("split", whole) if cut else placed.withColumn("split", whole)
+    if cut:
+        starts = F.create_map(*[F.lit(x).cast("long") for item in cut.items() for x in item])
+        sorted_ = placed.where(F.col("_range").isin(list(cut))).withColumn("_n", F.row_number().over(Window.partitionBy("_range").orderBy("_h", key)) + F.element_at(starts, F.col("_range")))
+        one = F.lit(None).cast("string")
+        for bound, name in reversed(list(zip(bounds, names, strict=True))):
+            one = F.when(F.col("_n") <= bound, name).otherwise(one)
+        out = out.unionByName(sorted_.withColumn("split", one).drop("_n"))
+    return out.where("split is not null").drop("_h", "_range")
+
+
+def split_by_label(rows: DataFrame, label: str, floors: tuple[int, ...] = (2, 1, 1), **how) -> DataFrame:
+    """Distinct labels are split and all rows of a label follow it, so vocabularies are disjoint."""
+    return rows.join(split_rows(rows.select(label).distinct(), label, floors=floors, **how), label)
 
 
 def split_by_prompt(rows: DataFrame, prompt: str, observed: str, seed: int = 0) -> DataFrame:
-    """75/25 by prompt; rows without observed ids are skipped."""
-    some = rows.where(F.col(observed).isNotNull() & (F.size(observed) > 0))
-    return split_rows(some, prompt, (0.75, 0.25), ("train", "test"), seed)
+    """75/25 by prompt, at least one of them in the first; then rows without observed ids are skipped."""
+    split = split_by_label(rows, prompt, floors=(1, 0), shares=(0.75, 0.25), names=("train", "test"), seed=seed)
+    return split.where(F.col(observed).isNotNull() & (F.size(observed) > 0))
 
 
 def token_frequencies(sequences: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -132,6 +167,9 @@ def nearest_inversion(observed: DataFrame, table: DataFrame, width: int | None =
     return topk_rate(near, rows.select(F.col("row").alias("query_id"), F.col("token").alias("truth")), ks)
 
 
+TREE = 32  # matrices that one task adds up
+
+
 class Ridge:
     """A linear map with intercept, fitted on standardised columns from sums over partitions.
 
@@ -151,13 +189,23 @@ class Ridge:
                     total = both.T @ both if total is None else total + both.T @ both
                     self_dim = a.shape[1]
             if total is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([self_dim]), pa.array([total.ravel().tobytes()], pa.binary())], names=["g", "d", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array([self_dim]), pa.array([total.ravel().tobytes()], pa.binary())], names=["d", "m"])
 
-        def add(key, table):
-            total = np.sum([np.frombuffer(m) for m in table.column("m").to_pylist()], axis=0)
-            return pa.table({"d": pa.array([table.column("d")[0].as_py()], pa.int64()), "m": pa.array([total.tobytes()], pa.binary())})
-
-        found = rows.select(V.doubles(F.col(x)), V.doubles(F.col(y))).mapInArrow(sums, "g long, d long, m binary").groupBy("g").applyInArrow(add, "d long, m binary").first()
+        def add(batches):
+            total = dim = None
+            for batch in batches:
+                for d, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    total = np.frombuffer(m).copy() if total is None else total + np.frombuffer(m)
+                    dim = d
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["d", "m"])
+
+        partial = rows.select(V.doubles(F.col(x)), V.doubles(F.col(y))).mapInArrow(sums, "d long, m binary")
+        left = rows.rdd.getNumPartitions()
+        while left > 1:  # a task adds at most some TREE matrices, one at a time
+            left = -(-left // TREE)
+            partial = partial.repartition(left).mapInArrow(add, "d long, m binary")
+        found = partial.first()
         if found is None:
             raise ValueError("no rows to fit")
         m = np.frombuffer(found["m"])
@@ -254,7 +302,7 @@ def vote_match(scores: list[DataFrame], k: int) -> DataFrame:
 def feature_scores(left: DataFrame, right: DataFrame, bins: int = 16) -> DataFrame:
     """(row, candidate, score): cosine of sorted-quantile features of (id, vec) tables, all pairs of the audit's candidates."""
     f = lambda t, n: t.select(F.col("id").alias(n), V.sorted_quantiles(F.col("vec"), bins).alias("vector"))
-    return nearest(f(left, "query_id"), f(right, "id"), 10**6).select(F.col("query_id").alias("row"), F.col("id").alias("candidate"), "score")
+    return nearest(f(left, "query_id"), f(right, "id"), None).select(F.col("query_id").alias("row"), F.col("id").alias("candidate"), "score")
 
 
 def projected(rows: DataFrame, matrix: np.ndarray, vec: str = "vec") -> DataFrame:
@@ -391,26 +439,63 @@ def gap_clusters(rows: DataFrame, by: list[str], value: str, eps: float) -> Data
     return numbered.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("size"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
+def spans_of(values: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """First place and size of the greedy clusters of sorted ``values``, whose span is at most ``eps``."""
+    starts, at = [], 0
+    while at < len(values):
+        starts.append(at)
+        end = int(np.searchsorted(values, values[at] + eps, side="right"))
+        while end < len(values) and values[end] - values[at] <= eps:
+            end += 1
+        while end > at + 1 and values[end - 1] - values[at] > eps:
+            end -= 1
+        at = max(end, at + 1)
+    first = np.array(starts, np.int64)
+    return first, np.diff(np.append(first, len(values)))
+
+
 def span_clusters(rows: DataFrame, by: list[str], value: str, eps: float) -> DataFrame:
-    """(by..., cluster, size, low): greedy clusters from the smallest value whose span is at most ``eps``.
+    """(by..., cluster, size, low): greedy clusters from the smallest value whose span is at most ``eps``; nulls take no part.
 
-    A group is one head's values and is folded as a sorted array.
+    Values are first split where the gap exceeds ``eps``, as no cluster spans such a gap; a task folds
+    one such piece, so it holds the values of one run of near values and not of a whole group.
     """
-    lists = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("v"))
-    start = F.lit(None).cast("array<struct<low:double,size:int>>")
-    fold = F.aggregate(
-        F.col("v"), F.coalesce(start, F.array().cast("array<struct<low:double,size:int>>")),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x - F.try_element_at(acc, F.lit(-1))["low"] <= eps), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["low"].alias("low"), (F.try_element_at(acc, F.lit(-1))["size"] + 1).alias("size")))))
-        .otherwise(F.concat(acc, F.array(F.struct(x.alias("low"), F.lit(1).alias("size"))))),
-    )
-    return lists.select(*by, F.posexplode(fold).alias("cluster", "c")).select(*by, "cluster", "c.size", "c.low")
-
-
-def cluster_coverage(clusters: DataFrame, pairs: DataFrame, by: list[str], least: int = 2) -> DataFrame:
-    """(by..., coverage, symmetric, verdict) from cluster sizes and (by..., a, b) pairs; shares in percent."""
-    cover = clusters.groupBy(*by).agg((100 * F.sum(F.when(F.col("size") >= least, F.col("size")).otherwise(0)) / F.sum("size")).alias("coverage"))
-    share = pairs.groupBy(*by).agg((100 * F.avg((F.col("a") == F.col("b")).cast("double"))).alias("symmetric"))
-    return cover.join(share, by, "left").withColumn("verdict", coverage_verdict(F.col("coverage")))
+    w = Window.partitionBy(*by).orderBy(value)
+    marked = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    marked = marked.withColumn("_new", F.coalesce((F.col("_v") - F.lag("_v").over(w.orderBy("_v")) > eps).cast("long"), F.lit(0)))
+    pieces = marked.withColumn("_piece", F.sum("_new").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
+
+    def fold(key, table):
+        values = np.sort(table.column("_v").to_numpy())
+        first, size = spans_of(values, eps)
+        own = [pa.array([key[n].as_py()] * len(first), table.schema.field(b).type) for n, b in enumerate(by)]
+        return pa.table([*own, pa.array(size, pa.int64()), pa.array(values[first], pa.float64())], names=[*by, "size", "low"])
+
+    found = pieces.groupBy(*by, "_piece").applyInArrow(fold, f"{kinds}, size long, low double")
+    return ranked(found, by, ["low"], rank="cluster").select(*by, "cluster", "size", "low")
+
+
+# The widths for which pairs are analysed, and the least pairs of a useful cluster.
+EPSILONS = (0.01, 0.05, 0.10, 0.25)
+USEFUL = 8
+
+
+def pair_coverage(pairs: DataFrame, by: list[str], epsilons: tuple[float, ...] = EPSILONS, least: int = USEFUL) -> DataFrame:
+    """(by..., eps, symmetric, coverage, verdict) of (by..., a, b) pairs, for each width ``eps``; shares in percent.
+
+    A pair is symmetric if its values differ by less than ``eps``.  The means of symmetric pairs are
+    clustered with a span of at most ``eps``; coverage is the share of all pairs that lie in clusters of
+    ``least`` or more.
+    """
+    out = None
+    for eps in epsilons:
+        rows = pairs.select(*by, (F.abs(F.col("a") - F.col("b")) < eps).alias("same"), ((F.col("a") + F.col("b")) / 2).alias("mean"))
+        share = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (100 * F.avg(F.col("same").cast("double"))).alias("symmetric"))
+        big = span_clusters(rows.where("same"), by, "mean", eps).where(F.col("size") >= least).groupBy(*by).agg(F.sum("size").alias("held"))
+        one = share.join(big, by, "left").select(*by, F.lit(eps).alias("eps"), "symmetric", (100 * F.coalesce("held", F.lit(0)) / F.col("n")).alias("coverage"))
+        out = one if out is None else out.unionByName(one)
+    return out.withColumn("verdict", coverage_verdict(F.col("coverage")))
 
 
 def coverage_verdict(percent: Column) -> Column:

@@ -9,7 +9,9 @@ from pyspark.sql import types as T
 
 from lodestone.operators.nearest import ranked
 
-SEPARATORS = ("\n\n", "\n", ". ", " ")
+# Where texts may be cut, best first, and how many bytes count as a token.
+SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
+TOKEN_BYTES = 4
 
 
 def chunk_spans(raw: bytes, size: int, overlap: int, least: int, separators: list[bytes]) -> list[tuple[int, int]]:
@@ -26,23 +28,24 @@ def chunk_spans(raw: bytes, size: int, overlap: int, least: int, separators: lis
         return [(0, len(raw))]
     out, start = [], 0
     while len(raw) - start > size:
-        limit = snapped(start + size)
-        floor, cut = limit - size // 4, limit
+        limit = cut = snapped(start + size)
+        floor = snapped(start + size - size // 4)
         for mark in separators:
-            found = raw.rfind(mark, floor, limit)
+            found = raw.rfind(mark, floor, limit) if floor < limit else -1
             if found >= 0:
                 cut = found + len(mark)
                 break
         if cut - start >= least:
             out.append((start, cut))
-        start = max(snapped(max(cut - overlap, start + 1)), start + 1)
-        while start < len(raw) and raw[start] & 0xC0 == 0x80:
-            start += 1
+        again = max(cut - overlap, start + 1)
+        while again < cut and raw[again] & 0xC0 == 0x80:  # up to the next character
+            again += 1
+        start = again
     return [*out, (start, len(raw))]
 
 
-def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1600, overlap: int = 100, least: int = 600, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
-    """(key, ordinal, start, end, text): overlapping chunks measured in bytes of UTF-8.
+def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1600 * TOKEN_BYTES, overlap: int = 100 * TOKEN_BYTES, least: int = 600 * TOKEN_BYTES, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
+    """(key, ordinal, start, end, text): overlapping chunks measured in bytes of UTF-8, four to a token.
 
     Blank texts have none; texts of at most ``size`` are one chunk.  A window ends after the last
     occurrence, in its last quarter, of the first separator that occurs there, and the next begins

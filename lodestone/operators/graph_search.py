@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,34 +58,38 @@ def direction_hints(edges: DataFrame, rows: DataFrame) -> DataFrame:
     return full.withColumn("hint", packed).select("src", "dst", F.col("hint.scale").alias("scale"), F.col("hint.codes").alias("codes"))
 
 
-def two_phase_search(queries: DataFrame, corpus: DataFrame, ef: int, k: int) -> DataFrame:
+def two_phase_search(queries: DataFrame, corpus: DataFrame, ef: int, k: int, other: bool = False) -> DataFrame:
     """(query_id, rank, id, score): the ``ef`` best by dequantised four-bit codes, then the ``k`` best of them by cosine."""
     if ef < k:
         raise ValueError("ef must be at least k")
     coded = corpus.select("id", V.dequantize_4bit(V.quantize_4bit(F.col("vector"))).alias("vector"))
-    first = nearest(queries, coded, ef, "dot").select("query_id", "id")
+    first = nearest(queries, coded, ef, "dot", other=other).select("query_id", "id")
     full = first.join(queries.select("query_id", F.col("vector").alias("q")), "query_id").join(corpus.select("id", F.col("vector").alias("c")), "id")
     scored = full.select("query_id", "id", F.round(V.cosine(F.col("q"), F.col("c")), DECIMALS).alias("score"))
     return ranked(scored, ["query_id"], [F.desc("score"), "id"], k).select("query_id", "rank", "id", "score")
 
 
-def cell_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, probes: int = 8, seed: int = 1) -> DataFrame:
-    """Approximate top-k: k-means cells, of which each query probes the ``probes`` nearest; recall is measured, not promised."""
+def cell_search(queries: DataFrame, corpus: DataFrame, k: int, cells: int | None = None, probes: int | float = 0.5, seed: int = 1, other: bool = False) -> DataFrame:
+    """Approximate top-k: k-means cells, of which each query probes the ``probes`` nearest (a float is a share of the cells).
+
+    By default there are as many cells as the square root of the rows.  Recall is measured, not promised.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     unit = corpus.select("id", V.normalized(F.col("vector")).alias("vector"))
-    cells = cells or max(1, min(4096, round(unit.count() ** 0.5)))
+    cells = cells or max(1, round(unit.count() ** 0.5))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(unit.select(array_to_vector("vector").alias("features")))
     centres = queries.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "id long, vector array<double>")
+    probes = max(1, math.ceil(probes * len(model.clusterCenters()))) if isinstance(probes, float) else probes
     asked = queries.select("query_id", V.normalized(F.col("vector")).alias("vector"))
     probe = nearest(asked, centres, probes, "l2").select("query_id", F.col("id").cast("int").alias("cell"))
     placed = model.transform(unit.withColumn("features", array_to_vector("vector"))).select("id", F.col("prediction").alias("cell"), "vector")
-    return within_cells(asked.join(probe, "query_id"), placed, k)
+    return within_cells(asked.join(probe, "query_id"), placed, k, other)
 
 
-def within_cells(queries: DataFrame, placed: DataFrame, k: int) -> DataFrame:
-    found = nearest(queries.select("query_id", "vector", "cell"), placed, k, "dot", by=["cell"])
+def within_cells(queries: DataFrame, placed: DataFrame, k: int, other: bool = False) -> DataFrame:
+    found = nearest(queries.select("query_id", "vector", "cell"), placed, k, "dot", by=["cell"], other=other)
     return ranked(found.drop("rank"), ["query_id"], [F.desc("score"), "id"], k).select("query_id", "rank", "id", "score")
 
 
@@ -95,7 +101,7 @@ def expand_hits(hits: DataFrame, edges: DataFrame, queries: DataFrame, corpus: D
     return ranked(scored, ["query_id"], [F.desc("score"), "id"], k).select("query_id", "rank", "id", "score")
 
 
-def tenant_search(queries: DataFrame, corpus: DataFrame, tenants: DataFrame, k: int) -> DataFrame:
+def tenant_search(queries: DataFrame, corpus: DataFrame, tenants: DataFrame, k: int, other: bool = False) -> DataFrame:
     """Top-k where a query (query_id, tenant_id, vector) sees only rows of its tenant.
 
     A tenant that is not in ``tenants`` is an error; a known one without rows gives no rows.
@@ -103,4 +109,4 @@ def tenant_search(queries: DataFrame, corpus: DataFrame, tenants: DataFrame, k:
     known = tenants.select(F.col("tenant_id"), F.lit(True).alias("known")).distinct()
     checked = queries.join(known, "tenant_id", "left")
     tenant = F.when(F.col("known"), F.col("tenant_id")).otherwise(F.raise_error(F.concat(F.lit("unknown tenant "), F.coalesce(F.col("tenant_id").cast("string"), F.lit("null")))).cast(queries.schema["tenant_id"].dataType))
-    return nearest(checked.select(tenant.alias("tenant_id"), "query_id", "vector"), corpus, k, by=["tenant_id"])
+    return nearest(checked.select(tenant.alias("tenant_id"), "query_id", "vector"), corpus, k, by=["tenant_id"], other=other)

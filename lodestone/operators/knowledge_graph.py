@@ -9,19 +9,25 @@ from lodestone.operators.lookups import first_seen
 from lodestone.operators.nearest import nearest, ranked
 
 DONE, RECORD, FIELD = "<|COMPLETE|>", "##", "<|>"
-QUOTES = "[\"'“”‘’]"
+# Pairs of quotes that may surround a field.
+QUOTED = "(?s)^(?:\"(.*)\"|'(.*)'|\u201c(.*)\u201d)$"
+NUMBER = "^[+-]?(?:[0-9]+\\.?[0-9]*(?:[eE][+-]?[0-9]+)?|\\.[0-9]+(?:[eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
 NUL = "\u0000"
 
 
+def _trimmed(value: Column) -> Column:
+    return F.regexp_replace(value, "(?U)^\\s+|\\s+$", "")
+
+
 def _bare(value: Column) -> Column:
-    """Trimmed and without quotes at the ends."""
-    return F.trim(F.regexp_replace(F.trim(value), f"^{QUOTES}+|{QUOTES}+$", ""))
+    """Trimmed and, if one pair of quotes surrounds it, without these."""
+    return _trimmed(F.regexp_replace(_trimmed(value), QUOTED, "$1$2$3"))
 
 
 def records(outputs: DataFrame, chunk: str = "chunk_id", raw: str = "raw") -> DataFrame:
     """(chunk, pos, body, ok) of the records before the completion marker; ok says that outer parentheses are there."""
     text = F.substring_index(raw, DONE, 1)
-    rows = outputs.select(chunk, F.posexplode(F.split(text, RECORD)).alias("pos", "record")).withColumn("record", F.trim(F.regexp_replace("record", "^\\s+|\\s+$", "")))
+    rows = outputs.select(chunk, F.posexplode(F.split(text, RECORD)).alias("pos", "record")).withColumn("record", _trimmed(F.col("record")))
     rows = rows.where("record <> ''")
     ok = F.startswith("record", F.lit("(")) & F.endswith("record", F.lit(")"))
     return rows.select(chunk, "pos", F.when(ok, F.substring("record", F.lit(2), F.length("record") - 2)).alias("body"), ok.alias("ok"))
@@ -30,26 +36,29 @@ def records(outputs: DataFrame, chunk: str = "chunk_id", raw: str = "raw") -> Da
 def parsed(outputs: DataFrame, chunk: str = "chunk_id", raw: str = "raw") -> DataFrame:
     """Every record with its kind: entity, relationship or malformed, and its fields (null where they do not apply).
 
-    An entity needs three fields or more after its kind and a name; a description keeps field marks.
-    A relationship needs five, both ends and a number as strength.
+    An entity needs a name, a type and a description; what follows belongs to the description, which
+    then keeps field marks and quotes.  A relationship needs both ends, a description, keywords and a
+    number as strength; what follows is ignored.
     """
     rows = records(outputs, chunk, raw).withColumn("f", F.split("body", "<\\|>"))
     field = lambda i: F.get("f", F.lit(i))
     n = F.size("f")
     # one-element explodes keep Catalyst from copying the fields' expressions into each use of them
     read = F.struct(
-        F.lower(_bare(field(0))).alias("kind"), _bare(field(1)).alias("one"), _bare(field(2)).alias("two"), F.trim(field(3)).alias("about"),
-        F.trim(F.array_join(F.slice("f", F.lit(4), F.greatest(n - 3, F.lit(0))), FIELD)).alias("rest"), n.alias("n"), F.expr("try_cast(trim(try_element_at(f, -1)) AS double)").alias("strength"),
+        *[_bare(field(i)).alias(name) for i, name in enumerate(("kind", "one", "two", "three", "four", "five"))],
+        _trimmed(F.array_join(F.slice("f", F.lit(4), F.greatest(n - 3, F.lit(0))), FIELD)).alias("rest"), n.alias("n"),
     )
     rows = rows.select(chunk, "pos", "ok", F.explode(F.array(read)).alias("r"))
+    strength = F.when(F.rlike("r.five", F.lit(NUMBER)), F.col("r.five").try_cast("double"))
     entity = F.col("ok") & (F.col("r.kind") == "entity") & (F.col("r.n") >= 4) & (F.col("r.one") != "")
-    relation = F.col("ok") & (F.col("r.kind") == "relationship") & (F.col("r.n") >= 5) & (F.col("r.one") != "") & (F.col("r.two") != "") & F.col("r.strength").isNotNull()
+    relation = F.col("ok") & (F.col("r.kind") == "relationship") & (F.col("r.n") >= 6) & (F.col("r.one") != "") & (F.col("r.two") != "") & strength.isNotNull()
     what = F.when(F.coalesce(entity, F.lit(False)), "entity").when(F.coalesce(relation, F.lit(False)), "relationship").otherwise("malformed")
     rows = rows.select(chunk, "pos", "r", F.explode(F.array(what)).alias("kind"))
-    own = lambda kind, value: F.when(F.col("kind") == kind, F.col(value))
+    own = lambda kind, value: F.when(F.col("kind") == kind, value)
+    about = F.when(F.col("r.n") == 4, F.col("r.three")).otherwise(F.col("r.rest"))
     return rows.select(
-        chunk, "pos", "kind", F.when(F.col("kind") != "malformed", F.col("r.one")).alias("name"), own("entity", "r.two").alias("type"), own("relationship", "r.two").alias("target"),
-        F.coalesce(own("entity", "r.rest"), own("relationship", "r.about")).alias("description"), own("relationship", "r.strength").alias("strength"),
+        chunk, "pos", "kind", F.when(F.col("kind") != "malformed", F.col("r.one")).alias("name"), own("entity", F.col("r.two")).alias("type"), own("relationship", F.col("r.two")).alias("target"),
+        F.coalesce(own("entity", about), own("relationship", F.col("r.three"))).alias("description"), own("relationship", F.col("r.four")).alias("keywords"), own("relationship", strength).alias("strength"),
     )
 
 
@@ -151,29 +160,29 @@ def graph_query(queries: DataFrame, entities: DataFrame, relations: DataFrame, m
     """
     if mode not in ("local", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
-    step = F.lit(10**6).cast("long")
+    place = lambda *parts: F.array(*[(F.lit(p) if isinstance(p, int) else p).cast("long") for p in parts]).alias("pos")  # noqa: E731 - arrays compare part by part
     hits = nearest(queries.select("query_id", F.col("low").alias("vector")), entities.select("id", "vector"), k_entities)
-    names = hits.join(entities.select("id", "name"), "id").select("query_id", "name", F.col("rank").cast("long").alias("pos"))
+    names = hits.join(entities.select("id", "name"), "id").select("query_id", "name", place(0, F.col("rank")))
     keys = None
     if mode == "hybrid":
         near = nearest(queries.select("query_id", F.col("high").alias("vector")), relations.select("id", "vector"), k_relations).join(relations.select("id", "src", "tgt"), "id")
-        ends = near.select("query_id", F.posexplode(F.array("src", "tgt")).alias("end", "name"), "rank").select("query_id", "name", (step + 2 * F.col("rank") + F.col("end")).alias("pos"))
+        ends = near.select("query_id", F.posexplode(F.array("src", "tgt")).alias("end", "name"), "rank").select("query_id", "name", place(1, F.col("rank"), F.col("end")))
         names = names.union(ends)
-        keys = near.select("query_id", relation_key(F.col("src"), F.col("tgt")).alias("value"), F.col("rank").cast("decimal(38,0)").alias("pos"))
+        keys = near.select("query_id", relation_key(F.col("src"), F.col("tgt")).alias("value"), place(0, F.col("rank")))
     names = first_seen(names, ["query_id"], "name", "pos")
     places = relations.select("id", F.explode(F.array_distinct(F.array("src", "tgt"))).alias("name"), relation_key(F.col("src"), F.col("tgt")).alias("value"))
-    near_keys = names.join(places, "name").select("query_id", "value", (F.col("pos").cast("decimal(38,0)") * 10**9 + F.col("id") + 10**9).alias("pos"))
+    near_keys = names.join(places, "name").select("query_id", "value", F.concat(F.array(F.lit(1).cast("long")), "pos", F.array(F.col("id").cast("long"))).alias("pos"))
     keys = near_keys if keys is None else keys.union(near_keys)
     keys = first_seen(keys, ["query_id"], "value", "pos")
     cut = ranked(mentions, ["name"], ["pos"], k_chunks, "nth")
-    chunks = names.join(cut.select("name", "nth", F.col("chunk_id").alias("value")), "name").select("query_id", "value", (F.col("pos") * k_chunks + F.col("nth")).cast("decimal(38,0)").alias("pos"))
+    chunks = names.join(cut.select("name", "nth", F.col("chunk_id").alias("value")), "name").select("query_id", "value", F.concat("pos", F.array(F.col("nth").cast("long"))).alias("pos"))
     chunks = first_seen(chunks, ["query_id"], "value", "pos")
-    parts = [("entity", names.select("query_id", F.col("name").alias("value"), F.col("pos").cast("decimal(38,0)").alias("pos"))), ("relation", keys), ("chunk", chunks)]
+    parts = [("entity", names.select("query_id", F.col("name").alias("value"), "pos")), ("relation", keys), ("chunk", chunks)]
     out = None
     for part, rows in parts:
-        one = ranked(rows, ["query_id"], ["pos"], rank="place").select("query_id", F.lit(part).alias("part"), F.col("place").alias("pos"), "value")
+        one = rows.select("query_id", F.lit(part).alias("part"), "pos", "value")
         out = one if out is None else out.unionByName(one)
-    return out
+    return ranked(out, ["query_id", "part"], ["pos"], rank="place").select("query_id", "part", F.col("place").alias("pos"), "value")
 
 
 def context_text(found: DataFrame, chunk_texts: DataFrame) -> DataFrame:

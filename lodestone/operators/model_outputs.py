@@ -6,8 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def choice_prompt(question: Column, choices: Column) -> Column:
-    """The question, its lettered choices on lines, and a line that asks for the answer."""
+# Fixed value: the heading of multiple-choice prompts before their subject.
+HEADING = "The following are multiple choice questions (with answers) about "
+
+
+def choice_prompt(question: Column, choices: Column, subject: Column | None = None, mark: str = "") -> Column:
+    """``mark`` and the question, its lettered choices on lines, and a line that asks for the answer; a heading first if there is a ``subject``."""
+    if subject is not None:
+        question = F.concat(F.lit(HEADING), subject, F.lit(".\n\n"), F.lit(mark), question)
+    elif mark:
+        question = F.concat(F.lit(mark), question)
     lines = F.transform(choices, lambda c, i: F.concat(F.chr(F.lit(65) + i), F.lit(". "), c))
     return F.concat(question, F.lit("\n"), F.array_join(lines, "\n"), F.lit("\nAnswer:"))
 
@@ -23,28 +31,33 @@ def choice_accuracy(rows: DataFrame, by: str = "subject") -> DataFrame:
 
 
 def _related(count: Column, relation: Column, number: Column) -> Column:
-    return F.when(relation == "at least", count >= number).when(relation == "less than", count < number).otherwise(count == number)
+    """Relations have blanks or underscores; none means at least, an unknown one equality."""
+    name = F.replace(F.coalesce(F.nullif(relation, F.lit("")), F.lit("at least")), F.lit("_"), F.lit(" "))
+    return F.when(name == "at least", count >= number).when(name == "at most", count <= number).when(name == "less than", count < number).otherwise(count == number)
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, "\\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, "(?U)\\s+"), lambda w: w != ""))
 
 
 def instruction_holds(text: Column, kind: Column, relation: Column, number: Column, words: Column) -> Column:
     """Whether an answer follows one instruction; null for an unknown kind.
 
-    ``words`` are keywords, or the ending phrase.
+    ``words`` are keywords, or the ending phrase, which is compared without the marks .?! at its end.
+    Case counts by letter, so that letters without the case asked for, or without case, fail.
     """
     low = F.lower(text)
-    sentences = F.size(F.filter(F.split(text, "[.!?]+"), lambda s: F.trim(s) != ""))
-    paragraphs = F.size(F.filter(F.split(text, "\\n\\s*\\n"), lambda s: F.trim(s) != ""))
+    sentences = F.size(F.filter(F.split(text, "[.!?]+"), lambda s: F.rlike(s, F.lit("(?U)\\S"))))
+    paragraphs = F.size(F.filter(F.split(text, "\\n(?U:\\s)*\\n"), lambda s: F.rlike(s, F.lit("(?U)\\S"))))
+    bare = lambda x: F.regexp_replace(x, "[.?!]+$", "")
     has = lambda w: F.contains(low, F.lower(w))
     times = (F.length(low) - F.length(F.replace(low, F.lower(F.get(words, F.lit(0))), F.lit("")))) / F.length(F.get(words, F.lit(0)))
     return (
         F.when(kind == "no_comma", ~F.contains(text, F.lit(",")))
-        .when(kind == "word_count", _related(word_count(text), relation, number)).when(kind == "sentence_count", _related(sentences, relation, number)).when(kind == "paragraph_count", paragraphs == number)
+        .when(kind == "word_count", _related(word_count(text), relation, number)).when(kind == "sentence_count", _related(sentences, relation, number)).when(kind == "paragraph_count", _related(paragraphs, relation, number))
         .when(kind == "keywords_exist", F.forall(words, has)).when(kind == "keywords_forbidden", ~F.exists(words, has)).when(kind == "keyword_frequency", _related(times, relation, number))
-        .when(kind == "all_lower", text == low).when(kind == "all_upper", text == F.upper(text)).when(kind == "ends_with", F.endswith(F.rtrim(low), F.lower(F.get(words, F.lit(0)))))
+        .when(kind == "all_lower", ~F.rlike(text, F.lit("[\\p{L}&&[^\\p{IsLowercase}]]"))).when(kind == "all_upper", ~F.rlike(text, F.lit("[\\p{L}&&[^\\p{IsUppercase}]]")))
+        .when(kind == "ends_with", F.endswith(bare(F.regexp_replace(text, "(?U)\\s+$", "")), bare(F.regexp_replace(F.get(words, F.lit(0)), "(?U)^\\s+|\\s+$", ""))))
     )
 
 
@@ -66,8 +79,8 @@ def system_delta(rows: DataFrame, base: str, other: str) -> DataFrame:
 
 
 def common_prefix_length(a: Column, b: Column) -> Column:
-    """Characters that two strings share from the start, by bisection on their prefixes' equality."""
-    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    """Characters that two strings share from the start, by bisection on their prefixes' equality; two strings of one row are shorter than 2 ** 30."""
+    steps = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
     return F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= F.least(F.length(a), F.length(b))) & (F.substring(a, n + 1, s) == F.substring(b, n + 1, s)), n + s).otherwise(n))
 
 
@@ -92,14 +105,14 @@ def worst_class(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def readable(text: Column) -> Column:
-    """False if under 60 % of the characters are printable, or a 4-gram of the first 400 occurs over 8 times without overlap."""
+    """False if empty, if under 60 % of the characters are printable (with line feeds and tabs), or if a 4-gram of the first 400, the last left out, that is not blank occurs over 8 times without overlap."""
     from lodestone.functions.vectors import let
 
-    printable = F.length(F.regexp_replace(text, "[^\\p{L}\\p{M}\\p{N}\\p{P}\\p{S} ]", ""))
+    printable = F.length(F.regexp_replace(text, "[^\\p{L}\\p{M}\\p{N}\\p{P}\\p{S} \\n\\t]", ""))
     head = F.substring(text, 1, 400)
-    grams = lambda h: F.when(F.length(h) >= 4, F.transform(F.sequence(F.lit(1), F.length(h) - 3), lambda i: F.substring(h, i, F.lit(4)))).otherwise(F.array().cast("array<string>"))
+    grams = lambda h: F.when(F.length(h) >= 5, F.filter(F.transform(F.sequence(F.lit(1), F.length(h) - 4), lambda i: F.substring(h, i, F.lit(4))), lambda g: F.rlike(g, F.lit("(?U)\\S")))).otherwise(F.array().cast("array<string>"))
     repeats = let(head, lambda h: F.exists(F.array_distinct(grams(h)), lambda g: F.length(h) - F.length(F.replace(h, g, F.lit(""))) > 32))
-    return ~((printable < 0.60 * F.length(text)) | repeats)
+    return ~((text == "") | (printable < 0.60 * F.length(text)) | repeats)
 
 
 def pass_rate(rows: DataFrame, passed: str = "passed") -> DataFrame:

@@ -24,14 +24,15 @@ def ranked(df: DataFrame, by: list[str], order: list, k: int | None = None, rank
     return out.where(F.col(rank) < k) if k is not None else out
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", by: list[str] | None = None, block: int = 16_384, query_block: int = 2048, other: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str = "cosine", by: list[str] | None = None, block: int = 16_384, query_block: int = 2048, other: bool = False) -> DataFrame:
     """(by..., query_id, rank from 0, id, score) for each row of ``queries``.
 
     ``queries`` has query_id and vector, ``corpus`` id and vector, both long and array, and both the
     columns ``by`` within which rows meet.  Metrics: cosine (0 for zero vectors) and dot, larger is
     nearer, or l2, smaller is nearer.  With ``other`` a row is not its own neighbour.  Ties go to the
     smaller id.  Both sides are cut into blocks; a block of queries meets a block of vectors in one
-    matrix product, which emits its k best, and the k best of these are kept.
+    matrix product, which emits its k best, and the k best of these are kept.  With ``k`` None every
+    pair comes back, without rank: for scores of which each is wanted.
     """
     by = by or []
     q = queries.select(*by, F.col("query_id").cast("long"), V.doubles(F.col("vector")).alias("vector"))
@@ -75,6 +76,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine
 
     found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(match, schema)
     order = [F.asc("score") if metric == "l2" else F.desc("score"), F.asc("id")]
+    if k is None:
+        return found
     return ranked(found, [*by, "query_id"], order, k).select(*by, "query_id", "rank", "id", "score")
 
 
@@ -86,8 +89,8 @@ def nearest_scalar(queries: DataFrame, corpus: DataFrame, k: int, ranges: int |
     outermost values of the others, so the numbering never needs all values in one task.  By default
     a range has about 100,000 rows.
     """
-    ranges = ranges or max(1, min(1024, corpus.count() // 100_000))
-    cuts = sorted(set(corpus.agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], 10_000)).first()[0])) if ranges > 1 else []
+    ranges = ranges or max(1, corpus.count() // 100_000)
+    cuts = sorted(set(corpus.agg(F.percentile_approx("value", [i / ranges for i in range(1, ranges)], max(10_000, 10 * ranges))).first()[0])) if ranges > 1 else []
     marks = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
     place = lambda v: F.size(F.filter(marks, lambda c: c <= v))
     few = ranked(corpus.select("id", F.col("value").cast("double").alias("value")), ["value"], ["id"], k).drop("rank")

@@ -24,14 +24,14 @@ def yes_no_score(yes: Column, no: Column) -> Column:
     return F.exp(yes - top) / (F.exp(yes - top) + F.exp(no - top))
 
 
-def retrieve_then_rerank(queries: DataFrame, corpus: DataFrame, first: int, k: int, score: Callable[[DataFrame], Column]) -> DataFrame:
+def retrieve_then_rerank(queries: DataFrame, corpus: DataFrame, first: int, k: int, score: Callable[[DataFrame], Column], other: bool = False) -> DataFrame:
     """(query_id, rank, id, score): the ``first`` best by cosine, re-scored by ``score``, the ``k`` best.
 
     ``score`` gets the joined rows (columns of the query and q_ prefixed ones of the corpus row, and
     the first score as ``first_score``) and returns a column: an expression or a pandas UDF.
     """
     check_top_k(k, first)
-    hits = nearest(queries, corpus, first).select("query_id", "id", F.col("score").alias("first_score"))
+    hits = nearest(queries, corpus, first, other=other).select("query_id", "id", F.col("score").alias("first_score"))
     q = queries.select("query_id", *[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "query_id"])
     rows = hits.join(q, "query_id").join(corpus, "id")
     scored = rows.select("query_id", "id", F.round(score(rows), DECIMALS).alias("score"))

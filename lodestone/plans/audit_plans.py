@@ -32,7 +32,7 @@ def truths(spark, sf, near):
 
 @query("a02_topk_rate", f"{TOP}, {TRUTH} SELECT count(*) AS n, {sql6('avg(CASE WHEN rank < 1 THEN 1 ELSE 0 END)')} AS top1, {sql6('avg(CASE WHEN rank < 10 THEN 1 ELSE 0 END)')} AS top10 FROM tr JOIN ranked r ON r.query_id = tr.query_id AND r.id = truth")
 def a02(spark, sf):
-    near = nearest(X.queries(spark, sf), X.corpus(spark, sf), 20)
+    near = nearest(X.queries(spark, sf), X.corpus(spark, sf), 20, other=True)
     return A.topk_rate(near, truths(spark, sf, near)).withColumns({"top1": r6("top1"), "top10": r6("top10")})
 
 
@@ -42,12 +42,23 @@ def a03(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", A.risk_level(rate).alias("risk"))
 
 
-@query("a04_split_rows")
+def split_sql(source: str, key: str, sizes: str, names: tuple[str, ...] = ("train", "validation", "test")) -> str:
+    """SQL: (key, split) of the distinct-key table ``source``; ``sizes`` are the sizes of all splits but the last, of the total n."""
+    order = f"row_number() OVER (ORDER BY ('0x' || substr(md5('0|' || {key}), 1, 15))::BIGINT, {key})"
+    sizes = sizes.split(";")
+    cases = " ".join(f"WHEN k <= {' + '.join(sizes[: i + 1])} THEN '{name}'" for i, name in enumerate(names[:-1]))
+    return f"SELECT {key}, CASE {cases} ELSE '{names[-1]}' END AS split FROM (SELECT {key}, {order} AS k, count(*) OVER () AS n FROM {source})"
+
+
+THREE = "greatest(floor(n * 0.7), least({0}, n - 2));greatest(floor(n * 0.15), 1)"
+
+
+@query("a04_split_rows", split_sql("documents", "doc_id", THREE.format(4)))
 def a04(spark, sf):
     return A.split_rows(table(spark, sf, "documents").select("doc_id"), "doc_id")
 
 
-@query("a05_split_by_label")
+@query("a05_split_by_label", f"WITH d AS (SELECT DISTINCT c_nationkey FROM customer), s AS ({split_sql('d', 'c_nationkey', THREE.format(2))}) SELECT c_custkey, c_nationkey, split FROM customer JOIN s USING (c_nationkey)")
 def a05(spark, sf):
     return A.split_by_label(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey")
 
@@ -65,7 +76,7 @@ def swapped(rows):
 TOKENS = "k AS (SELECT conv_id * 100 + turn AS prompt, list_transform(string_split(text, ' '), lambda w: ('0x' || substr(md5(w), 1, 8))::BIGINT) AS tokens FROM conversations)"
 
 
-@query("a06_split_by_prompt")
+@query("a06_split_by_prompt", f"WITH {TOKENS}, s AS ({split_sql('k', 'prompt', 'greatest(floor(n * 0.75), 1)', ('train', 'test'))}) SELECT prompt, split FROM s JOIN k USING (prompt) WHERE len(tokens) > 0")
 def a06(spark, sf):
     return A.split_by_prompt(conversations(spark, sf), "prompt", "tokens").select("prompt", "split")
 
@@ -152,11 +163,11 @@ def a16(spark, sf):
 
 
 def two_sides(spark, sf):
-    rows = X.vectors(spark, sf).where("vec_id < 200").select(F.col("vec_id").alias("id"), F.col("v").alias("vec"))
+    rows = X.vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("v").alias("vec"))
     return rows.withColumn("vec", F.reverse("vec")), rows
 
 
-VOTE = f"WITH {X.E_SQL}, l AS (SELECT vec_id, list_sort(v) AS v FROM e WHERE vec_id < 200), p AS (SELECT vec_id, list_transform(range(16), lambda i: v[round(i * 63 / 15)::INT + 1]) AS w FROM l), f AS (SELECT vec_id, list_transform(w, lambda x: x - list_sum(w) / 16) AS w FROM p), s AS (SELECT a.vec_id AS r, b.vec_id AS c, round(list_dot_product(a.w, b.w) / sqrt(list_dot_product(a.w, a.w) * list_dot_product(b.w, b.w)), 9) AS score FROM f a, f b), z AS (SELECT r, c, (score - avg(score) OVER w) / stddev_pop(score) OVER w AS z FROM s WINDOW w AS (PARTITION BY r)), k AS (SELECT r, c, row_number() OVER (PARTITION BY r ORDER BY round(2 * z, 9) DESC, c) - 1 AS rank FROM z)"
+VOTE = f"WITH {X.E_SQL}, l AS (SELECT vec_id, list_sort(v) AS v FROM e), p AS (SELECT vec_id, list_transform(range(16), lambda i: v[round(i * 63 / 15)::INT + 1]) AS w FROM l), f AS (SELECT vec_id, list_transform(w, lambda x: x - list_sum(w) / 16) AS w FROM p), s AS (SELECT a.vec_id AS r, b.vec_id AS c, round(list_dot_product(a.w, b.w) / sqrt(list_dot_product(a.w, a.w) * list_dot_product(b.w, b.w)), 9) AS score FROM f a, f b), z AS (SELECT r, c, (score - avg(score) OVER w) / stddev_pop(score) OVER w AS z FROM s WINDOW w AS (PARTITION BY r)), k AS (SELECT r, c, row_number() OVER (PARTITION BY r ORDER BY round(2 * z, 9) DESC, c) - 1 AS rank FROM z)"
 
 
 @query("a17_vote_match", f"{VOTE} SELECT r AS query_id, c AS id FROM k WHERE rank = 0")
@@ -282,9 +293,17 @@ def a32(spark, sf):
 
 @query("a33_cluster_coverage")
 def a33(spark, sf):
-    clusters = A.span_clusters(table(spark, sf, "customer"), ["c_nationkey"], "c_acctbal", 400)
-    pairs = table(spark, sf, "customer").select("c_nationkey", (F.col("c_custkey") % 3).alias("a"), (F.col("c_custkey") % 2).alias("b"))
-    return A.cluster_coverage(clusters, pairs, ["c_nationkey"])
+    """Pairs of a line's discount and tax, which are multiples of 0.01, by quantity."""
+    pairs = table(spark, sf, "lineitem").select("l_quantity", F.col("l_discount").alias("a"), F.col("l_tax").alias("b"))
+    return A.pair_coverage(pairs, ["l_quantity"])
+
+
+EPS = "unnest([0.01, 0.05, 0.1, 0.25]::DOUBLE[])"
+
+
+@query("a33_symmetric_pairs", f"SELECT l_quantity, eps, {sql6('100 * avg(CASE WHEN abs(l_discount - l_tax) < eps THEN 1 ELSE 0 END)')} AS symmetric FROM (SELECT l_quantity, l_discount, l_tax, {EPS} AS eps FROM lineitem) GROUP BY ALL")
+def a33_pairs(spark, sf):
+    return a33(spark, sf).select("l_quantity", "eps", r6("symmetric").alias("symmetric"))
 
 
 @query("a34_paired_cosines", f"WITH {X.E_SQL}, p AS (SELECT list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS c FROM e a JOIN e b ON b.vec_id = a.vec_id + 1) SELECT {sql6('avg(c)')} AS mean, {sql6('stddev_pop(c)')} AS std, {sql6('quantile_cont(c, 0.1)')} AS p10, {sql6('quantile_cont(c, 0.9)')} AS p90 FROM p")
@@ -328,6 +347,6 @@ def a38(spark, sf):
     return A.label_repetition(table(spark, sf, "orders"), "o_custkey").withColumns({"median": r6("median"), "mean": r6("mean")})
 
 
-@query("a38_split_leakage")
+@query("a38_split_leakage", f"WITH s AS ({split_sql('orders', 'o_orderkey', THREE.format(4))}), t AS (SELECT split, o_custkey FROM s JOIN orders USING (o_orderkey)) SELECT avg(CASE WHEN o_custkey IN (SELECT o_custkey FROM t WHERE split = 'train') THEN 1.0 ELSE 0.0 END) AS leak FROM t WHERE split = 'test'")
 def a38_leak(spark, sf):
     return A.split_leakage(table(spark, sf, "orders"), "o_orderkey", "o_custkey")

@@ -10,24 +10,37 @@ from lodestone.operators.nearest import nearest
 from lodestone.plans import fixtures as X
 from lodestone.plans.registry import query, r6, table
 
-# One output for each order: an entity record for each of its parts, a relation to the supplier, every 11th record damaged.
+# One output for each order: for each of its lines an entity record of the part, one of the supplier and a relation
+# between them, with every kind of damage and of harmless variety; ``v`` and ``w`` pick the part's and the relation's.
 RECORDS = """rec AS (SELECT l_orderkey AS chunk_pos, 'o' || l_orderkey AS chunk_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS n,
- 'P' || (l_partkey % 40) AS part, 'S' || (l_suppkey % 10) AS sup, 'd' || (l_partkey % 3) AS about, (l_partkey * 7 + l_orderkey) % 11 = 0 AS bad, l_quantity AS q FROM lineitem WHERE l_orderkey % 4 = 0)"""
-DRAFTS = f"""{RECORDS}, ent AS (SELECT chunk_pos, chunk_id, 3 * n AS pos, part AS name, 'part about ' || about AS description FROM rec WHERE NOT bad UNION ALL SELECT chunk_pos, chunk_id, 3 * n + 1, sup, 'supplier' FROM rec WHERE chunk_pos % 3 = 0),
- rel AS (SELECT chunk_pos, chunk_id, 3 * n + 2 AS pos, least(part, sup) AS src, greatest(part, sup) AS tgt, part || ' by ' || sup AS description FROM rec)"""
+ 'P' || l_partkey AS part, 'S' || l_suppkey AS sup, 'd' || (l_partkey % 3) AS about, (l_partkey * 7 + l_orderkey) % 11 AS v, (l_partkey + l_suppkey + l_orderkey) % 7 AS w, l_quantity AS q FROM lineitem)"""
+DRAFTS = f"""{RECORDS}, ent AS (SELECT chunk_pos, chunk_id, 3 * n AS pos, part AS name, 'part about ' || about || CASE WHEN v = 3 THEN '<|>more' ELSE '' END AS description FROM rec WHERE v NOT IN (0, 1, 4) UNION ALL SELECT chunk_pos, chunk_id, 3 * n + 1, sup, 'supplier' FROM rec WHERE chunk_pos % 3 = 0),
+ rel AS (SELECT chunk_pos, chunk_id, 3 * n + 2 AS pos, part, sup, least(part, sup) AS src, greatest(part, sup) AS tgt, part || ' by ' || sup AS description, q AS strength FROM rec WHERE w >= 3)"""
+MALFORMED = "sum((v IN (0, 1, 4))::INT + (chunk_pos % 3 <> 0)::INT + (w < 3)::INT)::BIGINT"
 
 
 def outputs(spark, sf):
     """(chunk_id, chunk_pos, raw): tuple streams built from order lines."""
     from pyspark.sql import Window
 
-    li = table(spark, sf, "lineitem").where("l_orderkey % 4 = 0")
+    li = table(spark, sf, "lineitem")
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1
-    part, sup = F.concat(F.lit("P"), (F.col("l_partkey") % 40).cast("string")), F.concat(F.lit("S"), (F.col("l_suppkey") % 10).cast("string"))
-    bad = (F.col("l_partkey") * 7 + F.col("l_orderkey")) % 11 == 0
-    entity = F.concat(F.when(bad, F.lit("[")).otherwise(F.lit("(")), F.lit('"entity"<|>"'), part, F.lit('"<|>part<|>part about d'), (F.col("l_partkey") % 3).cast("string"), F.lit(")"))
-    other = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("('entity'<|>"), sup, F.lit("<|>firm<|>supplier)"))).otherwise(F.lit("(entity<|><|>firm<|>none)"))
-    relation = F.concat(F.lit("(relationship<|>"), part, F.lit("<|>"), sup, F.lit("<|>"), part, F.lit(" by "), sup, F.lit("<|>"), F.col("l_quantity").cast("string"), F.lit(")"))
+    part, sup, q = F.concat(F.lit("P"), F.col("l_partkey").cast("string")), F.concat(F.lit("S"), F.col("l_suppkey").cast("string")), F.col("l_quantity").cast("string")
+    about = F.concat(F.lit("part about d"), (F.col("l_partkey") % 3).cast("string"))
+    v, w = (F.col("l_partkey") * 7 + F.col("l_orderkey")) % 11, (F.col("l_partkey") + F.col("l_suppkey") + F.col("l_orderkey")) % 7
+    joined = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    entity = (
+        F.when(v == 0, joined('["entity"<|>"', part, '"<|>part<|>', about, ")")).when(v == 1, joined('("Entity"<|>"', part, '"<|>part<|>', about, ")"))
+        .when(v == 2, joined('(entity<|> "', part, '" <|>part<|>"', about, '")')).when(v == 3, joined("(\u201centity\u201d<|>", part, "<|>part<|>", about, "<|>more)"))
+        .when(v == 4, joined('("entity"<|>"', part, '"<|>part)')).otherwise(joined('("entity"<|>"', part, '"<|>part<|>', about, ")"))
+    )
+    other = F.when(F.col("l_orderkey") % 3 == 0, joined("('entity'<|>", sup, "<|>firm<|>supplier)")).otherwise(F.lit("(entity<|><|>firm<|>none)"))
+    ends, said = joined(part, "<|>", sup, "<|>"), joined(part, " by ", sup)
+    relation = (
+        F.when(w == 0, joined("(relationship<|>", ends, said, "<|>", q, ")")).when(w == 1, joined("(relationship<|>", ends, said, "<|>words<|>high)")).when(w == 2, joined("(relationship<|>", part, "<|> <|>", said, "<|>words<|>", q, ")"))
+        .when(w == 3, joined("(relationship<|>", ends, said, '<|>words<|>"', q, '")')).when(w == 4, joined("(relationship<|>", ends, said, "<|>words<|>", q, "<|>9)"))
+        .when(w == 5, joined("('relationship'<|>'", part, "'<|>\"", sup, '"<|>"', said, '"<|>words<|>', q, ")")).otherwise(joined('("relationship"<|>', ends, said, "<|>words<|>", q, ")"))
+    )
     lines = li.select("l_orderkey", n.alias("n"), F.concat_ws(" ##\n", entity, other, relation).alias("t"))
     raw = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "t"))), lambda s: s["t"]), "##")
     made = lines.groupBy(F.col("l_orderkey").alias("chunk_pos")).agg(raw.alias("raw"))
@@ -40,13 +53,13 @@ def drafts(spark, sf):
     return rows.where("kind = 'entity'"), rows.where("kind = 'relationship'")
 
 
-@query("g01_parse", f"WITH {DRAFTS} SELECT 'entity' AS kind, chunk_id, pos, name, NULL AS target, description FROM ent UNION ALL SELECT 'relationship', r.chunk_id, 3 * n + 2, part, sup, part || ' by ' || sup FROM rec r")
+@query("g01_parse", f"WITH {DRAFTS} SELECT 'entity' AS kind, chunk_id, pos, name, NULL AS target, description, NULL AS keywords, NULL::DOUBLE AS strength FROM ent UNION ALL SELECT 'relationship', chunk_id, pos, part, sup, description, 'words', strength FROM rel")
 def g01(spark, sf):
     rows = K.parsed(outputs(spark, sf)).where("kind <> 'malformed'")
-    return rows.select("kind", "chunk_id", F.col("pos").cast("long").alias("pos"), "name", "target", "description")
+    return rows.select("kind", "chunk_id", F.col("pos").cast("long").alias("pos"), "name", "target", "description", "keywords", "strength")
 
 
-@query("g02_trailers", f"WITH {RECORDS} SELECT chunk_id, CASE WHEN chunk_pos % 5 = 0 THEN 0 ELSE 1 END AS saw_completion, sum(bad::INT + (chunk_pos % 3 <> 0)::INT)::BIGINT AS malformed FROM rec GROUP BY chunk_id, chunk_pos")
+@query("g02_trailers", f"WITH {RECORDS} SELECT chunk_id, CASE WHEN chunk_pos % 5 = 0 THEN 0 ELSE 1 END AS saw_completion, {MALFORMED} AS malformed FROM rec GROUP BY chunk_id, chunk_pos")
 def g02(spark, sf):
     return K.trailers(outputs(spark, sf)).withColumn("saw_completion", F.col("saw_completion").cast("int"))
 
@@ -91,7 +104,7 @@ def g06(spark, sf):
     return e.union(r).distinct()
 
 
-@query("g07_report", f"WITH {DRAFTS} SELECT (SELECT count(DISTINCT chunk_id) FROM rec) AS processed, 0 AS skipped_empty, (SELECT count(DISTINCT chunk_id) FROM rec WHERE chunk_pos % 5 = 0) AS truncated, (SELECT sum(bad::INT + (chunk_pos % 3 <> 0)::INT) FROM rec)::BIGINT AS malformed, (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM rel) AS relations")
+@query("g07_report", f"WITH {DRAFTS} SELECT (SELECT count(DISTINCT chunk_id) FROM rec) AS processed, 0 AS skipped_empty, (SELECT count(DISTINCT chunk_id) FROM rec WHERE chunk_pos % 5 = 0) AS truncated, (SELECT {MALFORMED} FROM rec) AS malformed, (SELECT count(*) FROM ent) AS entities, (SELECT count(*) FROM rel) AS relations")
 def g07(spark, sf):
     return K.extraction_report(outputs(spark, sf))
 
@@ -101,24 +114,25 @@ def g08(spark, sf):
     return K.last_ids(table(spark, sf, "part").select(F.col("p_type").alias("name"), (F.col("p_partkey") - 1).alias("pos")), "name", "pos")
 
 
-# Entities are suppliers and parts, relations the pairs in order lines by first appearance, chunks the orders.
-GRAPH = """ln AS (SELECT l_orderkey, 'S' || (l_suppkey % 10) AS s, 'P' || (l_partkey % 50) AS p FROM lineitem),
- ents AS (SELECT row_number() OVER (ORDER BY name) - 1 AS id, name FROM (SELECT DISTINCT s AS name FROM ln UNION SELECT DISTINCT p FROM ln)),
- rels AS (SELECT row_number() OVER (ORDER BY o, p, s) - 1 AS id, p AS src, s AS tgt FROM (SELECT p, s, min(l_orderkey) AS o FROM ln GROUP BY ALL)),
- ment AS (SELECT name, o AS pos, 'o' || o AS chunk_id FROM (SELECT DISTINCT s AS name, l_orderkey AS o FROM ln UNION SELECT DISTINCT p, l_orderkey FROM ln))"""
+# Entities are suppliers and parts, relations the pairs in order lines, chunks the orders; the vector of an entity is
+# the embedding whose row is its key modulo their number, that of a relation by the sum of both keys.
+GRAPH = """ln AS (SELECT l_orderkey AS o, l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT count(*) AS n FROM embeddings),
+ ents AS (SELECT DISTINCT 2 * s AS id, 'S' || s AS name, s % n AS place FROM ln, n UNION SELECT DISTINCT 2 * p + 1, 'P' || p, p % n FROM ln, n),
+ rels AS (SELECT DISTINCT p * 16777216 + s AS id, 'P' || p AS src, 'S' || s AS tgt, (p + s) % n AS place FROM ln, n),
+ ment AS (SELECT DISTINCT 'S' || s AS name, o AS pos, 'o' || o AS chunk_id FROM ln UNION SELECT DISTINCT 'P' || p, o, 'o' || o FROM ln)"""
 
 
 def graph(spark, sf):
-    from pyspark.sql import Window
-
-    ln = table(spark, sf, "lineitem").select("l_orderkey", F.concat(F.lit("S"), (F.col("l_suppkey") % 10).cast("string")).alias("s"), F.concat(F.lit("P"), (F.col("l_partkey") % 50).cast("string")).alias("p"))
-    names = ln.select(F.explode(F.array("s", "p")).alias("name")).distinct()
-    vec = X.vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("v").alias("vector"))
-    number = lambda df, *order: df.withColumn("id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))  # noqa: E731  (at most 60 names and 500 pairs)
-    entities = number(names, "name").join(vec, "id")
-    relations = number(ln.groupBy("p", "s").agg(F.min("l_orderkey").alias("o")), "o", "p", "s").select("id", F.col("p").alias("src"), F.col("s").alias("tgt")).join(vec.withColumn("id", F.col("id")), "id", "left")
-    mentions = ln.select(F.explode(F.array("s", "p")).alias("name"), F.col("l_orderkey").alias("pos")).distinct().withColumn("chunk_id", F.concat(F.lit("o"), F.col("pos").cast("string")))
-    return entities, relations, mentions
+    ln = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
+    vec = X.vectors(spark, sf).select(F.col("vec_id").alias("place"), F.col("v").alias("vector"))
+    n = vec.count()
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    end = lambda kind, key, odd: F.struct((2 * F.col(key) + odd).alias("id"), name(kind, key).alias("name"), (F.col(key) % n).alias("place"))
+    ends = ln.select("o", F.explode(F.array(end("S", "s", 0), end("P", "p", 1))).alias("e"))
+    entities = ends.select("e.*").distinct().join(vec, "place").drop("place")
+    pairs = ln.select("p", "s").distinct().select((F.col("p") * 16777216 + F.col("s")).alias("id"), name("P", "p").alias("src"), name("S", "s").alias("tgt"), ((F.col("p") + F.col("s")) % n).alias("place"))
+    mentions = ends.select("e.name", F.col("o").alias("pos")).distinct().withColumn("chunk_id", F.concat(F.lit("o"), F.col("pos").cast("string")))
+    return entities, pairs.join(vec, "place").drop("place"), mentions
 
 
 @query("g09_adjacency", f"WITH {GRAPH}, a AS (SELECT id, src AS name, src || '/' || tgt AS key FROM rels UNION ALL SELECT id, tgt, src || '/' || tgt FROM rels) SELECT name, string_agg(key, ',' ORDER BY id) AS keys FROM a GROUP BY name")
@@ -151,7 +165,7 @@ def g13(spark, sf):
     return sealed.select("doc_id", S.decrypted(F.col("sealed"), key).alias("text"))
 
 
-HITS = f"{X.E_SQL}, {GRAPH}, hits AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM (SELECT q.vec_id AS query_id, n.id, n.name, {X.unit_score('q.v', 'c.v')} AS score FROM e q JOIN ents n ON q.vec_id < 20 JOIN e c ON c.vec_id = n.id))"
+HITS = f"{X.E_SQL}, {GRAPH}, hits AS (SELECT query_id, name, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM (SELECT q.vec_id AS query_id, n.id, n.name, {X.unit_score('q.v', 'c.v')} AS score FROM e q JOIN ents n ON q.vec_id % {X.EVERY} = 0 JOIN e c ON c.vec_id = n.place))"
 
 
 @query("g14_entity_topk", f"WITH {HITS} SELECT query_id, rank, name FROM hits WHERE rank < 5")
@@ -166,19 +180,19 @@ def asked(spark, sf):
 
 LOCAL = f"{HITS}, nm AS (SELECT query_id, name, rank AS pos FROM hits WHERE rank < 5)"
 HYBRID = f"""{HITS}, near AS (SELECT query_id, src, tgt, rank FROM (SELECT query_id, src, tgt, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM
- (SELECT q.query_id, r.id, r.src, r.tgt, {X.unit_score('q.v', 'c.v')} AS score FROM (SELECT vec_id AS query_id, list_reverse(v) AS v FROM e WHERE vec_id < 20) q, rels r JOIN e c ON c.vec_id = r.id)) WHERE rank < 5),
+ (SELECT q.query_id, r.id, r.src, r.tgt, {X.unit_score('q.v', 'c.v')} AS score FROM (SELECT vec_id AS query_id, list_reverse(v) AS v FROM e WHERE vec_id % {X.EVERY} = 0) q, rels r JOIN e c ON c.vec_id = r.place)) WHERE rank < 5),
  nm AS (SELECT query_id, name, min(pos) AS pos FROM (SELECT query_id, name, rank AS pos FROM hits WHERE rank < 5 UNION ALL SELECT query_id, src, 1000000 + 2 * rank FROM near UNION ALL SELECT query_id, tgt, 1000001 + 2 * rank FROM near) GROUP BY ALL)"""
-ANSWER = """kk AS (SELECT nm.query_id, r.src || '/' || r.tgt AS value, min(nm.pos::HUGEINT * 1000000000 + r.id + 1000000000) AS pos FROM nm JOIN rels r ON nm.name IN (r.src, r.tgt) GROUP BY ALL{more}),
+ANSWER = """kk AS (SELECT nm.query_id, r.src || '/' || r.tgt AS value, min([1, nm.pos, r.id]) AS pos FROM nm JOIN rels r ON nm.name IN (r.src, r.tgt) GROUP BY ALL{more}),
  kg AS (SELECT query_id, value, min(pos) AS pos FROM kk GROUP BY ALL),
  ch AS (SELECT nm.query_id, m.chunk_id AS value, min(nm.pos * 2 + m.n) AS pos FROM nm JOIN (SELECT name, chunk_id, row_number() OVER (PARTITION BY name ORDER BY pos) - 1 AS n FROM ment) m ON m.name = nm.name AND m.n < 2 GROUP BY ALL),
  found AS (SELECT query_id, 'entity' AS part, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS pos, name AS value FROM nm UNION ALL SELECT query_id, 'relation', row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1, value FROM kg UNION ALL SELECT query_id, 'chunk', row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1, value FROM ch)"""
 LOCAL_SQL = f"WITH {LOCAL}, {ANSWER.format(more='')}"
-HYBRID_SQL = f"WITH {HYBRID}, {ANSWER.format(more=''' UNION ALL SELECT query_id, src || '/' || tgt, rank::HUGEINT FROM near''')}"
+HYBRID_SQL = f"WITH {HYBRID}, {ANSWER.format(more=''' UNION ALL SELECT query_id, src || '/' || tgt, [0, rank, 0] FROM near''')}"
 
 
 def found(spark, sf, mode):
     entities, relations, mentions = graph(spark, sf)
-    return K.graph_query(asked(spark, sf), entities, relations.where("vector is not null"), mentions, mode) if mode == "hybrid" else K.graph_query(asked(spark, sf), entities, relations, mentions, mode)
+    return K.graph_query(asked(spark, sf), entities, relations, mentions, mode)
 
 
 def shown(rows):

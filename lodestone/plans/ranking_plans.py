@@ -19,23 +19,23 @@ ALL = "all_q AS (SELECT DISTINCT query_id FROM ranked)"
 NDCG = f"nd AS (SELECT d.query_id, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg FROM ({DCG}) d LEFT JOIN ({IDEAL}) i USING (query_id))"
 RECALL = "rc AS (SELECT a.query_id, coalesce((SELECT count(*) FROM ranked r JOIN qrels j ON j.query_id = r.query_id AND j.doc_id = r.id WHERE r.rank < 10 AND r.query_id = a.query_id) / nullif((SELECT count(*) FROM qrels j WHERE j.query_id = a.query_id), 0), 0.0) AS recall FROM all_q a)"
 MRR = "mr AS (SELECT a.query_id, coalesce(1.0 / (min(r.rank) + 1), 0.0) AS mrr FROM all_q a LEFT JOIN (SELECT r.query_id, r.rank FROM ranked r JOIN qrels j ON j.query_id = r.query_id AND j.doc_id = r.id WHERE r.rank < 10) r USING (query_id) GROUP BY 1)"
-HINT = f"hinted AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY hint DESC, id) - 1 AS rank FROM (SELECT q.vec_id AS query_id, t.vec_id AS id, round(list_dot_product({DEQ}, q.v), 9) AS hint FROM t JOIN e q ON q.vec_id < 20 AND t.vec_id >= 20))"
+HINT = f"hinted AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY hint DESC, id) - 1 AS rank FROM (SELECT q.vec_id AS query_id, t.vec_id AS id, round(list_dot_product({DEQ}, q.v), 9) AS hint FROM t JOIN e q ON {X.asked('q', 't')}))"
 WITH_HINT = f"{CODES}, {X.RANK_SQL}, {HINT}"
 
 
 def ranking(spark, sf, k=10):
-    return nearest(X.queries(spark, sf), X.corpus(spark, sf), k)
+    return nearest(X.queries(spark, sf), X.corpus(spark, sf), k, other=True)
 
 
 def hinted(spark, sf, k=10):
     coded = X.corpus(spark, sf).select("id", V.dequantize_4bit(V.quantize_4bit(F.col("vector"))).alias("vector"))
-    return nearest(X.queries(spark, sf), coded, k, "dot")
+    return nearest(X.queries(spark, sf), coded, k, "dot", other=True)
 
 
 @query("r01_rerank", f"{TOP}, s AS (SELECT r.query_id, r.id, round(score + CASE WHEN q.label = c.label THEN 1 ELSE 0 END, 9) AS score FROM ranked r JOIN e q ON q.vec_id = r.query_id JOIN e c ON c.vec_id = r.id WHERE rank < 30), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s) SELECT query_id, rank, id, {sql6('score')} AS score FROM o WHERE rank < 10")
 def r01(spark, sf):
     score = lambda rows: rows["first_score"] + (rows["q_label"] == rows["label"]).cast("int")
-    return R.retrieve_then_rerank(X.queries(spark, sf), X.corpus(spark, sf), 30, 10, score).withColumn("score", r6("score"))
+    return R.retrieve_then_rerank(X.queries(spark, sf), X.corpus(spark, sf), 30, 10, score, other=True).withColumn("score", r6("score"))
 
 
 @query("r02_yes_no", f"SELECT c_custkey, {sql6('exp(a - greatest(a, b)) / (exp(a - greatest(a, b)) + exp(b - greatest(a, b)))')} AS score FROM (SELECT c_custkey, c_acctbal / 1000 AS a, c_nationkey / 10 AS b FROM customer)")
@@ -113,7 +113,7 @@ def e09(spark, sf):
 
 @query("e10_ann_recall")
 def e10(spark, sf):
-    found = cell_search(X.queries(spark, sf), X.corpus(spark, sf), 10, probes=16)
+    found = cell_search(X.queries(spark, sf), X.corpus(spark, sf), 10, other=True)
     return R.overlap(found, ranking(spark, sf), 10).agg(F.avg("overlap").alias("recall"))
 
 
@@ -127,7 +127,7 @@ def e11(spark, sf):
     return R.compare_configurations(rows, "exact").withColumns({"value": r6("value"), "delta": r6("delta")})
 
 
-@query("e12_two_phase_recall", f"{CODES}, {X.RANK_SQL}, f AS (SELECT q.vec_id AS query_id, t.vec_id AS id, round(list_dot_product({DEQ}, q.v), 9) AS hint, {X.unit_score('q.v', 't.v')} AS score FROM t JOIN e q ON q.vec_id < 20 AND t.vec_id >= 20), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hint DESC, id) AS n FROM f), h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM g WHERE n <= 20) SELECT {sql6('count(r.id) / 200')} AS recall FROM h JOIN ranked r ON r.query_id = h.query_id AND r.id = h.id AND r.rank < 10 WHERE h.rank < 10")
+@query("e12_two_phase_recall", f"{CODES}, {X.RANK_SQL}, f AS (SELECT q.vec_id AS query_id, t.vec_id AS id, round(list_dot_product({DEQ}, q.v), 9) AS hint, {X.unit_score('q.v', 't.v')} AS score FROM t JOIN e q ON {X.asked('q', 't')}), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hint DESC, id) AS n FROM f), h AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM g WHERE n <= 20) SELECT {sql6('count(r.id) / (10.0 * (SELECT count(*) FROM e WHERE vec_id % 50 = 0))')} AS recall FROM h JOIN ranked r ON r.query_id = h.query_id AND r.id = h.id AND r.rank < 10 WHERE h.rank < 10")
 def e12(spark, sf):
-    found = two_phase_search(X.queries(spark, sf), X.corpus(spark, sf), 20, 10)
+    found = two_phase_search(X.queries(spark, sf), X.corpus(spark, sf), 20, 10, other=True)
     return R.overlap(found, ranking(spark, sf), 10).agg(r6(F.avg("overlap")).alias("recall"))

@@ -54,13 +54,13 @@ def p07(spark, sf):
     return docs(spark, sf).select("doc_id", P.normalized_sentence(F.col("text")).alias("text"))
 
 
-SENTENCES = "s AS (SELECT doc_id * 1000 + i AS pos, string_split(text, '.')[i + 1] AS text FROM documents, range(10) r(i) WHERE i < len(string_split(text, '.')))"
+SENTENCES = "s AS (SELECT doc_id, i, t[i + 1] AS text FROM (SELECT doc_id, string_split(text, '.') AS t, unnest(range(len(string_split(text, '.')))) AS i FROM documents))"
 
 
-@query("p08_build_corpus", f"WITH {SENTENCES}, x AS (SELECT text FROM s WHERE pos % 7 = 0), f AS (SELECT min(pos) AS pos, text FROM s WHERE len(list_filter(string_split(text, ' '), lambda w: w <> '')) BETWEEN 6 AND 25 AND text NOT IN (SELECT text FROM x) GROUP BY text) SELECT pos, text FROM f ORDER BY pos LIMIT 300")
+@query("p08_build_corpus", f"WITH {SENTENCES}, x AS (SELECT text FROM s WHERE (doc_id + i) % 7 = 0), f AS (SELECT min([doc_id, i]) AS pos, text FROM s WHERE len(list_filter(string_split(text, ' '), lambda w: w <> '')) BETWEEN 6 AND 25 AND text NOT IN (SELECT text FROM x) GROUP BY text) SELECT pos[1] AS doc_id, pos[2] AS i, text FROM f ORDER BY pos LIMIT 300")
 def p08(spark, sf):
-    rows = docs(spark, sf).select("doc_id", F.posexplode(F.slice(F.split("text", "\\."), 1, 10)).alias("i", "text")).select((F.col("doc_id") * 1000 + F.col("i")).alias("pos"), "text")
-    return P.build_corpus(rows, rows.where("pos % 7 = 0"), "pos", 300).select("pos", "text")
+    rows = docs(spark, sf).select("doc_id", F.posexplode(F.split("text", "\\.")).alias("i", "text")).select(F.struct("doc_id", F.col("i").cast("long").alias("i")).alias("pos"), "text")
+    return P.build_corpus(rows, rows.where("(pos.doc_id + pos.i) % 7 = 0"), "pos", 300).select("pos.doc_id", "pos.i", "text")
 
 
 JUDGED = "q AS (SELECT doc_id % 50 AS query_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS rel FROM documents)"
@@ -111,9 +111,11 @@ def choices(spark, sf):
     return b.select("item_id", (F.col("item_id") % 5).alias("subject"), F.chr(65 + F.col("item_id") % 4).alias("gold"), said.alias("completion"), "text")
 
 
-@query("m01_choice_prompt", "SELECT item_id, text || chr(10) || 'A. yes' || chr(10) || 'B. no' || chr(10) || 'Answer:' AS prompt FROM benchmark")
+@query("m01_choice_prompt", "SELECT item_id, 'The following are multiple choice questions (with answers) about s' || (item_id % 5) || '.' || chr(10) || chr(10) || text || chr(10) || 'A. yes' || chr(10) || 'B. no' || chr(10) || 'C. both' || chr(10) || 'D. none' || chr(10) || 'Answer:' AS prompt, 'Question: ' || text || chr(10) || 'A. yes' || chr(10) || 'B. no' || chr(10) || 'Answer:' AS goal_prompt FROM benchmark")
 def m01(spark, sf):
-    return choices(spark, sf).select("item_id", M.choice_prompt(F.col("text"), F.array(F.lit("yes"), F.lit("no"))).alias("prompt"))
+    four, two = (F.array(*[F.lit(x) for x in ("yes", "no", "both", "none")[:n]]) for n in (4, 2))
+    subject = F.concat(F.lit("s"), F.col("subject").cast("string"))
+    return choices(spark, sf).select("item_id", M.choice_prompt(F.col("text"), four, subject).alias("prompt"), M.choice_prompt(F.col("text"), two, mark="Question: ").alias("goal_prompt"))
 
 
 @query("m02_answer_letter", f"WITH {CHOICE} SELECT item_id, nullif(regexp_extract(replace(completion, 'Answer', 'answer'), '([A-D])', 1), '') AS answer FROM c")
@@ -127,18 +129,18 @@ def m03(spark, sf):
     return M.choice_accuracy(rows).withColumns({"parsed": r6("parsed"), "accuracy": r6("accuracy")})
 
 
-# The instruction of each id modulo 10, with its relation, number and words.
+# The instruction of each id modulo 10, with its relation, number and words.
 INSTRUCTIONS = (
-    ("no_comma", "", 0, "the"), ("word_count", "at least", 200, "the"), ("sentence_count", "less than", 12, "the"), ("paragraph_count", "", 1, "the"), ("keywords_exist", "", 0, "the"),
-    ("keywords_forbidden", "", 0, "zu"), ("keyword_frequency", "at least", 5, "an"), ("all_lower", "", 0, "x"), ("all_upper", "", 0, "x"), ("ends_with", "", 0, "."),
+    ("no_comma", "", 0, "the"), ("word_count", "at_least", 200, "the"), ("sentence_count", "less than", 12, "the"), ("paragraph_count", "at most", 1, "the"), ("keywords_exist", "", 0, "the"),
+    ("keywords_forbidden", "", 0, "zu"), ("keyword_frequency", "", 5, "an"), ("all_lower", "", 0, "x"), ("all_upper", "", 0, "x"), ("ends_with", "", 0, " n. "),
 )
 HOLDS = """CASE doc_id % 10 WHEN 0 THEN NOT contains(text, ',')
  WHEN 1 THEN len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) >= 200
- WHEN 2 THEN len(list_filter(string_split_regex(text, '[.!?]+'), lambda w: trim(w) <> '')) < 12
- WHEN 3 THEN len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda w: trim(w) <> '')) = 1
+ WHEN 2 THEN len(list_filter(string_split_regex(text, '[.!?]+'), lambda w: regexp_matches(w, '\\S'))) < 12
+ WHEN 3 THEN len(list_filter(string_split_regex(text, '\\n\\s*\\n'), lambda w: regexp_matches(w, '\\S'))) <= 1
  WHEN 4 THEN contains(lower(text), 'the') WHEN 5 THEN NOT contains(lower(text), 'zu')
  WHEN 6 THEN (length(lower(text)) - length(replace(lower(text), 'an', ''))) / 2.0 >= 5
- WHEN 7 THEN text = lower(text) WHEN 8 THEN text = upper(text) ELSE ends_with(rtrim(lower(text)), '.') END"""
+ WHEN 7 THEN NOT regexp_matches(text, '[\\p{Lu}\\p{Lt}\\p{Lo}\\p{Lm}]') WHEN 8 THEN NOT regexp_matches(text, '[\\p{Ll}\\p{Lt}\\p{Lo}\\p{Lm}]') ELSE regexp_matches(text, 'n[.?!]*\\s*$') END"""
 
 
 def instructed(spark, sf):
@@ -146,14 +148,14 @@ def instructed(spark, sf):
     return docs(spark, sf).select("doc_id", M.instruction_holds(F.col("text"), pick(0), pick(1), pick(2), F.array(pick(3))).alias("holds"))
 
 
-@query("m04_instructions", f"SELECT doc_id, ({HOLDS})::INT AS holds FROM documents WHERE text NOT LIKE '%ß%'")
+@query("m04_instructions", f"SELECT doc_id, ({HOLDS})::INT AS holds FROM documents")
 def m04(spark, sf):
-    return instructed(spark, sf).join(docs(spark, sf).where(~F.contains("text", F.lit("ß"))).select("doc_id"), "doc_id", "left_semi").withColumn("holds", F.col("holds").cast("int"))
+    return instructed(spark, sf).withColumn("holds", F.col("holds").cast("int"))
 
 
-@query("m05_instruction_accuracy", f"WITH h AS (SELECT doc_id // 3 AS prompt, ({HOLDS}) AS holds FROM documents WHERE text NOT LIKE '%ß%'), p AS (SELECT prompt, bool_and(holds) AS ok, sum(holds::INT) AS held, count(*) AS n FROM h GROUP BY 1) SELECT count(*) AS prompts, {sql6('avg(ok::INT)')} AS prompt_accuracy, {sql6('sum(held) / sum(n)')} AS instruction_accuracy FROM p")
+@query("m05_instruction_accuracy", f"WITH h AS (SELECT doc_id // 3 AS prompt, ({HOLDS}) AS holds FROM documents), p AS (SELECT prompt, bool_and(holds) AS ok, sum(holds::INT) AS held, count(*) AS n FROM h GROUP BY 1) SELECT count(*) AS prompts, {sql6('avg(ok::INT)')} AS prompt_accuracy, {sql6('sum(held) / sum(n)')} AS instruction_accuracy FROM p")
 def m05(spark, sf):
-    rows = instructed(spark, sf).join(docs(spark, sf).where(~F.contains("text", F.lit("ß"))).select("doc_id"), "doc_id", "left_semi").select(F.floor(F.col("doc_id") / 3).alias("prompt"), "holds")
+    rows = instructed(spark, sf).select(F.floor(F.col("doc_id") / 3).alias("prompt"), "holds")
     return M.instruction_accuracy(rows).withColumns({c: r6(c) for c in ("prompt_accuracy", "instruction_accuracy")})
 
 
@@ -169,14 +171,16 @@ def m07(spark, sf):
     return M.system_delta(rows, "plain", "new").withColumn("delta", r6("delta"))
 
 
-REPS = "r AS (SELECT doc_id, i AS replicate, substr(text, 1, 50 + 7 * i) || CASE WHEN doc_id % 2 = 1 THEN i::VARCHAR ELSE '' END AS text FROM documents, range(3) t(i))"
-LCP = "(SELECT max(k) FROM range(least(length(a.text), length(b.text)) + 1) t(k) WHERE substr(a.text, 1, k) = substr(b.text, 1, k))"
+# Three replicates of every whole text: those of odd ids have their number put in at a place of their own.
+REPS = "r AS (SELECT doc_id, i AS replicate, CASE WHEN doc_id % 2 = 0 THEN text ELSE substr(text, 1, (doc_id * 37 + i * 11) % (length(text) + 1)) || '#' || i || substr(text, (doc_id * 37 + i * 11) % (length(text) + 1) + 1) END AS text FROM documents, range(3) t(i))"
+LCP = "CASE WHEN a.text = b.text THEN length(a.text) ELSE list_position(list_transform(list_zip(string_split(a.text, ''), string_split(b.text, '')), lambda z: z[1] IS DISTINCT FROM z[2]), true) - 1 END"
 
 
 def replicates(spark, sf):
     rows = docs(spark, sf).select("doc_id", "text", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("replicate"))
-    cut = F.substring(F.col("text"), F.lit(1), 50 + 7 * F.col("replicate"))
-    return rows.select("doc_id", "replicate", F.concat(cut, F.when(F.col("doc_id") % 2 == 1, F.col("replicate").cast("string")).otherwise("")).alias("text"))
+    place = ((F.col("doc_id") * 37 + F.col("replicate") * 11) % (F.length("text") + 1)).cast("int")
+    changed = F.concat(F.substring("text", F.lit(1), place), F.lit("#"), F.col("replicate").cast("string"), F.substr("text", place + 1))
+    return rows.select("doc_id", "replicate", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(changed).alias("text"))
 
 
 @query("m08_common_prefix", f"WITH {REPS} SELECT a.doc_id, {LCP} AS prefix FROM r a JOIN r b ON a.doc_id = b.doc_id AND a.replicate = 0 AND b.replicate = 2")
@@ -199,7 +203,7 @@ def m10(spark, sf):
     return M.worst_class(M.determinism(replicates(spark, sf), ["doc_id"]).withColumn("grp", F.col("doc_id") % 10), ["grp"])
 
 
-@query("m11_readable", "WITH h AS (SELECT doc_id, text, substr(text, 1, 400) AS h FROM documents), g AS (SELECT doc_id, text, h, list_transform(range(greatest(length(h) - 3, 0)), lambda i: substr(h, i + 1, 4)) AS grams FROM h) SELECT doc_id, (NOT (length(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}\\p{P}\\p{S} ]', '', 'g')) < 0.60 * length(text) OR coalesce(list_max(list_transform(grams, lambda x: length(h) - length(replace(h, x, '')))), 0) > 32))::INT AS readable FROM g")
+@query("m11_readable", "WITH h AS (SELECT doc_id, text, substr(text, 1, 400) AS h FROM documents), g AS (SELECT doc_id, text, h, list_filter(list_transform(range(greatest(length(h) - 4, 0)), lambda i: substr(h, i + 1, 4)), lambda x: regexp_matches(x, '\\S')) AS grams FROM h) SELECT doc_id, (NOT (text = '' OR length(regexp_replace(text, '[^\\p{L}\\p{M}\\p{N}\\p{P}\\p{S} \\n\\t]', '', 'g')) < 0.60 * length(text) OR coalesce(list_max(list_transform(grams, lambda x: length(h) - length(replace(h, x, '')))), 0) > 32))::INT AS readable FROM g")
 def m11(spark, sf):
     return docs(spark, sf).select("doc_id", M.readable(F.col("text")).cast("int").alias("readable"))
 

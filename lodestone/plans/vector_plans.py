@@ -44,13 +44,13 @@ TOP = f"WITH {X.E_SQL}, {X.RANK_SQL}"
 @query("v03_topk_one", f"{TOP} SELECT id, {sql6('score')} AS score FROM ranked WHERE query_id = 0 AND rank < 10")
 def v03(spark, sf):
     vector = X.queries(spark, sf).where("query_id = 0").first()["vector"]
-    found = top_k(X.corpus(spark, sf), F.array(*[F.lit(x) for x in vector]), 10, "id", "vector")
+    found = top_k(X.corpus(spark, sf).where("id <> 0"), F.array(*[F.lit(x) for x in vector]), 10, "id", "vector")
     return found.select("id", r6("score").alias("score"))
 
 
 @query("v04_topk_batch", f"{TOP} SELECT query_id, rank, id, {sql6('score')} AS score FROM ranked WHERE rank < 10")
 def v04(spark, sf):
-    return nearest(X.queries(spark, sf), X.corpus(spark, sf), 10).withColumn("score", r6("score"))
+    return nearest(X.queries(spark, sf), X.corpus(spark, sf), 10, other=True).withColumn("score", r6("score"))
 
 
 ALL_BEST = f"WITH {X.E_SQL}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {X.unit_score('a.v', 'b.v')} AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s)"
@@ -65,9 +65,9 @@ def v05(spark, sf):
 L2 = "round(sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9)"
 
 
-@query("v06_topk_l2", f"WITH {X.E_SQL}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {L2} AS d FROM e q JOIN e c ON q.vec_id < 20 AND c.vec_id >= 20), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) - 1 AS rank FROM s) SELECT query_id, rank, id, {sql6('d')} AS score FROM k WHERE rank < 10")
+@query("v06_topk_l2", f"WITH {X.E_SQL}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {L2} AS d FROM e q JOIN e c ON {X.asked('q', 'c')}), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, id) - 1 AS rank FROM s) SELECT query_id, rank, id, {sql6('d')} AS score FROM k WHERE rank < 10")
 def v06(spark, sf):
-    return nearest(X.queries(spark, sf), X.corpus(spark, sf), 10, "l2").withColumn("score", r6("score"))
+    return nearest(X.queries(spark, sf), X.corpus(spark, sf), 10, "l2", other=True).withColumn("score", r6("score"))
 
 
 @query("v07_topk_scalar", f"WITH q AS (SELECT s_suppkey AS query_id, s_acctbal AS a FROM supplier), c AS (SELECT c_custkey AS id, c_acctbal AS b FROM customer), k AS (SELECT query_id, id, round(abs(a - b), 9) AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(abs(a - b), 9), id) - 1 AS rank FROM q, c) SELECT query_id, rank, id, {sql6('distance')} AS distance FROM k WHERE rank < 3")
@@ -151,7 +151,7 @@ def v19(spark, sf):
 def v20(spark, sf):
     from lodestone.operators.audits import row_zscores
 
-    scores = nearest(X.queries(spark, sf), X.corpus(spark, sf), 10**6).select(F.col("query_id").alias("row"), F.col("id").alias("candidate"), "score")
+    scores = nearest(X.queries(spark, sf), X.corpus(spark, sf), None, other=True).select(F.col("query_id").alias("row"), F.col("id").alias("candidate"), "score")
     return row_zscores(scores).select(F.col("row").alias("query_id"), F.col("candidate").alias("id"), r6("z").alias("z"))
 
 
@@ -159,7 +159,7 @@ def v20(spark, sf):
 def j01(spark, sf):
     tenant = (F.col("label") % 3).alias("tenant_id")
     q, c = X.queries(spark, sf).select(tenant, "query_id", "vector"), X.corpus(spark, sf).select(tenant, "id", "vector")
-    return G.tenant_search(q, c, c.select("tenant_id"), 5).withColumn("score", r6("score"))
+    return G.tenant_search(q, c, c.select("tenant_id"), 5, other=True).withColumn("score", r6("score"))
 
 
 def graph_rows(spark, sf):
@@ -190,19 +190,19 @@ def j05(spark, sf):
     return hints.select("src", "dst", r6("scale").alias("scale"), F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a + x).alias("code_sum"))
 
 
-@query("j06_two_phase", f"{CODES}, f AS (SELECT q.vec_id AS query_id, t.vec_id AS id, round(list_dot_product({DEQ}, q.v), 9) AS hint, {X.unit_score('q.v', 't.v')} AS score FROM t JOIN e q ON q.vec_id < 20 AND t.vec_id >= 20), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hint DESC, id) AS n FROM f), h AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM g WHERE n <= 40) SELECT query_id, rank, id, {sql6('score')} AS score FROM h WHERE rank < 10")
+@query("j06_two_phase", f"{CODES}, f AS (SELECT q.vec_id AS query_id, t.vec_id AS id, round(list_dot_product({DEQ}, q.v), 9) AS hint, {X.unit_score('q.v', 't.v')} AS score FROM t JOIN e q ON {X.asked('q', 't')}), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hint DESC, id) AS n FROM f), h AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM g WHERE n <= 40) SELECT query_id, rank, id, {sql6('score')} AS score FROM h WHERE rank < 10")
 def j06(spark, sf):
-    return G.two_phase_search(X.queries(spark, sf), X.corpus(spark, sf), 40, 10).withColumn("score", r6("score"))
+    return G.two_phase_search(X.queries(spark, sf), X.corpus(spark, sf), 40, 10, other=True).withColumn("score", r6("score"))
 
 
 @query("j07_cell_search")
 def j07(spark, sf):
-    return G.cell_search(X.queries(spark, sf), X.corpus(spark, sf), 10, probes=16).withColumn("score", r6("score"))
+    return G.cell_search(X.queries(spark, sf), X.corpus(spark, sf), 10, other=True).withColumn("score", r6("score"))
 
 
 @query("j08_expand_hits", f"{ALL_BEST}, {X.RANK_SQL}, g AS (SELECT query_id AS src, id AS dst FROM k WHERE rank < 8), h AS (SELECT query_id, id FROM ranked WHERE rank < 3), r AS (SELECT query_id, id FROM h UNION SELECT h.query_id, g.dst FROM h JOIN g ON g.src = h.id), s2 AS (SELECT r.query_id, r.id, {X.unit_score('q.v', 'c.v')} AS score FROM r JOIN e q ON q.vec_id = r.query_id JOIN e c ON c.vec_id = r.id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM s2) SELECT query_id, rank, id, {sql6('score')} AS score FROM o WHERE rank < 10")
 def j08(spark, sf):
-    hits = nearest(X.queries(spark, sf), X.corpus(spark, sf), 3)
+    hits = nearest(X.queries(spark, sf), X.corpus(spark, sf), 3, other=True)
     edges = G.knn_graph(graph_rows(spark, sf), 8)
     return G.expand_hits(hits, edges, X.queries(spark, sf), graph_rows(spark, sf), 10).withColumn("score", r6("score"))
 
@@ -239,7 +239,7 @@ def j12(spark, sf):
 
 @query("j13_attach_texts", f"{TOP} SELECT query_id, rank, id, d.text FROM ranked JOIN documents d ON d.doc_id = id WHERE rank < 10")
 def j13(spark, sf):
-    hits = nearest(X.queries(spark, sf), X.corpus(spark, sf), 10).select("query_id", "rank", "id")
+    hits = nearest(X.queries(spark, sf), X.corpus(spark, sf), 10, other=True).select("query_id", "rank", "id")
     return J.attach_texts(hits, table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 

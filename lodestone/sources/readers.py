@@ -56,7 +56,7 @@ def read_prompts(spark: SparkSession, path: str, first: int | None = None) -> Da
 def read_sweep_log(spark: SparkSession, path: str) -> DataFrame:
     """Fields of lines that start with SWEEP_RESULT as a map ``pairs``, and its usual numbers as columns; others are skipped."""
     lines = spark.read.text(path).where("startswith(value, 'SWEEP_RESULT')")
-    pairs = F.str_to_map(F.trim(F.substring("value", 13, 100_000)), F.lit("\\s+"), F.lit("="))
+    pairs = F.str_to_map(F.trim(F.substr("value", F.lit(13))), F.lit("\\s+"), F.lit("="))
     rows = lines.select(pairs.alias("pairs"))
     number = lambda name, kind: F.expr(f"try_cast(try_element_at(pairs, '{name}') AS {kind})").alias(name.lower())
     return rows.select("pairs", number("B", "int"), number("n", "int"), number("prefill_tps", "double"), number("decode_tps", "double"), F.try_element_at("pairs", F.lit("mask")).alias("mask"))
@@ -83,8 +83,9 @@ def index_length(spark: SparkSession, path: str, tenant: str | int) -> int:
 
 
 def forget_tenant(spark: SparkSession, path: str, tenant: str | int) -> bool:
-    """Drop a tenant's partition; False if there is none."""
+    """Drop a tenant's partition, whose folder Spark names with some characters escaped; False if there is none."""
     jvm = spark._jvm  # noqa: SLF001 - the file system behind any Spark path
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/tenant_id={tenant}")
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(tenant))
+    target = jvm.org.apache.hadoop.fs.Path(f"{path}/tenant_id={name}")
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
     return bool(files.exists(target) and files.delete(target, True))

@@ -13,8 +13,11 @@ from lodestone.operators.protect import encrypted, protect
 
 
 def append_protected(chunks: DataFrame, path: str, checkpoint: str, vector_key: bytes, text_key: bytes, embed: Callable[[Column], Column]) -> StreamingQuery:
-    """Append a stream of (tenant_id, chunk_id, text) to an index of protected vectors and encrypted texts, by tenant."""
-    rows = chunks.select("tenant_id", "chunk_id", embed(F.col("text")).alias("vector"), encrypted(F.col("text"), text_key, F.concat_ws("/", "tenant_id", "chunk_id")).alias("ciphertext"))
+    """Append a stream of (tenant_id, chunk_id, text) to an index of protected vectors and encrypted texts, by tenant.
+
+    Chunk ids may come again with other texts, so every text gets a random nonce.
+    """
+    rows = chunks.select("tenant_id", "chunk_id", embed(F.col("text")).alias("vector"), encrypted(F.col("text"), text_key).alias("ciphertext"))
     out = protect(rows, "chunk_id", "vector", vector_key, "document")
     return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("tenant_id").outputMode("append").trigger(availableNow=True).start()
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -102,38 +103,59 @@ def test_padded_results_hide_size(spark):
         ranking.check_top_k(5, 4)
 
 
+def walked_chunks(text: str, size: int, overlap: int, least: int, separators: tuple) -> list[str]:
+    """The chunker's rule, one character at a time."""
+    raw = text.encode()
+    whole = lambda at: at == len(raw) or raw[at] & 0xC0 != 0x80
+    down = lambda at: next(k for k in range(min(at, len(raw)), -1, -1) if whole(k))
+    up = lambda at: next(k for k in range(min(at, len(raw)), len(raw) + 1) if whole(k))
+    if not text.strip():
+        return []
+    out, start = [], 0
+    while len(raw) - start > size:
+        end = down(start + size)
+        low = down(start + size - size // 4)
+        cuts = [k + len(m) for m in (s.encode() for s in separators) for k in range(end - len(m), low - 1, -1) if raw[k : k + len(m)] == m]
+        cut = cuts[0] if cuts else end
+        if cut - start >= least:
+            out.append(raw[start:cut].decode())
+        start = up(max(cut - overlap, start + 1))
+    return [*out, raw[start:].decode()]
+
+
 def test_chunks(spark):
     text = ("word " * 120 + "\n\n") * 8
-    docs = spark.createDataFrame([(1, text), (2, "short"), (3, "  \n"), (4, None), (5, "é" * 3000)], "doc_id long, text string")
-    rows = corpus.chunk_documents(docs).orderBy("doc_id", "ordinal").collect()
-    assert [r["text"] for r in rows if r["doc_id"] == 2] == ["short"] and not [r for r in rows if r["doc_id"] in (3, 4)]
-    own = [r for r in rows if r["doc_id"] == 1]
-    assert all(r["text"] == text.encode()[r["start"] : r["end"]].decode() for r in own) and own[-1]["end"] == len(text)
-    assert all(b["start"] <= a["end"] for a, b in zip(own, own[1:])) and all(a["text"].endswith("\n\n") or a["end"] - a["start"] <= 1600 for a in own)
-    assert "".join(r["text"] for r in rows if r["doc_id"] == 5).count("�") == 0
+    long = "größe, weiß; 日本語。 ende! " * 700
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, "  \n"), (4, None), (5, "é" * 3000), (6, long), (7, "日" * 9000)], "doc_id long, text string")
+    for size, overlap, least in ((6400, 400, 2400), (1600, 100, 600), (50, 7, 20), (37, 20, 0)):
+        rows = corpus.chunk_documents(docs, size=size, overlap=overlap, least=least).orderBy("doc_id", "ordinal").collect()
+        for key, value in ((1, text), (2, "short"), (3, "  "), (5, "é" * 3000), (6, long), (7, "日" * 9000)):
+            assert [r["text"] for r in rows if r["doc_id"] == key] == walked_chunks(value, size, overlap, least, corpus.SEPARATORS)
+    assert {r["doc_id"]: r["n"] for r in corpus.chunk_documents(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}[5] == 1  # 6,000 bytes are one chunk by default
     with pytest.raises(ValueError):
         corpus.chunk_documents(docs, size=100, overlap=80)
 
 
 # A model's output with each kind of damage.
 RAW = (
-    '("entity"<|>"Ada"<|>"person"<|>first<|>extra)##(\'entity\'<|>“Bob”<|>person<|>)##(entity<|>Ada<|>person<|>first)##("relationship"<|>"Bob"<|>"Ada"<|>knows<|>2.5)'
-    '##("relationship"<|>"Bob"<|>"Ada"<|>knows<|>much)##(thing<|>x)##("entity"<|>"Cyd"<|>person##  ##<|COMPLETE|>##("entity"<|>"Late"<|>person<|>no)'
+    '("entity"<|>"Ada"<|>"person"<|>first<|>extra)##(\'entity\'<|>“Bob”<|>person<|>)##(entity<|>Ada<|>person<|>"first")##("relationship"<|>"Bob"<|>"Ada"<|>"knows"<|>kw<|>2.5)'
+    '##("relationship"<|>"Bob"<|>"Ada"<|>knows<|>kw<|>much)##(thing<|>x)##("entity"<|>"Cyd"<|>person##  ##("relationship"<|>a<|>b<|>d<|>3)##("relationship"<|>"Bob"<|>"Eve"<|>met<|>kw<|>"3.5")'
+    '##(relationship<|>Ada<|>Eve<|>saw<|>kw<|>2<|>9)##("Entity"<|>"Dan"<|>person<|>no)##("entity<|>"Fay<|>person<|>no)##(entity<|>"Gus<|>person<|>"half)##(relationship<|>a<|>b<|>c<|>d<|>1.0d)##<|COMPLETE|>##("entity"<|>"Late"<|>person<|>no)'
 )
 
 
 def test_parser_and_merge(spark):
     out = spark.createDataFrame([("c0", RAW), ("c1", '("entity"<|>"Ada"<|>person<|>second)'), ("c2", "")], "chunk_id string, raw string")
-    rows = knowledge_graph.parsed(out).collect()
-    assert [(r["name"], r["description"]) for r in rows if r["kind"] == "entity" and r["chunk_id"] == "c0"] == [("Ada", "first<|>extra"), ("Bob", ""), ("Ada", "first")]
-    assert [(r["name"], r["target"], r["strength"]) for r in rows if r["kind"] == "relationship"] == [("Bob", "Ada", 2.5)]
+    rows = sorted(knowledge_graph.parsed(out).collect(), key=lambda r: r["pos"])
+    assert [(r["name"], r["description"]) for r in rows if r["kind"] == "entity" and r["chunk_id"] == "c0"] == [("Ada", "first<|>extra"), ("Bob", ""), ("Ada", "first"), ('"Gus', '"half')]
+    assert [(r["name"], r["target"], r["description"], r["keywords"], r["strength"]) for r in rows if r["kind"] == "relationship"] == [("Bob", "Ada", "knows", "kw", 2.5), ("Bob", "Eve", "met", "kw", 3.5), ("Ada", "Eve", "saw", "kw", 2.0)]
     t = {r["chunk_id"]: r for r in knowledge_graph.trailers(out).collect()}
-    assert t["c0"]["saw_completion"] and t["c0"]["malformed"] == 3 and not t["c1"]["saw_completion"]
+    assert t["c0"]["saw_completion"] and t["c0"]["malformed"] == 7 and not t["c1"]["saw_completion"]
     drafts = knowledge_graph.parsed(out).where("kind = 'entity'").withColumn("chunk_pos", F.substring("chunk_id", 2, 9).cast("long"))
     merged = {r["name"]: r for r in knowledge_graph.merge_entities(drafts).collect()}
     assert merged["Ada"]["description"] == "first<|>extra\nsecond" and merged["Ada"]["source_chunks"] == ["c0", "c1"]
     report = knowledge_graph.extraction_report(out).first()
-    assert (report["processed"], report["skipped_empty"], report["truncated"], report["malformed"]) == (2, 1, 1, 3)
+    assert (report["processed"], report["skipped_empty"], report["truncated"], report["malformed"]) == (2, 1, 1, 7)
 
 
 def test_multimaps(spark):
@@ -182,11 +204,36 @@ def test_ridge_equals_numpy(spark):
     assert np.allclose(w, want) and np.allclose(c, y.mean(0) - x.mean(0) @ want)
 
 
-def test_splits_are_stable_and_disjoint(spark):
+def test_splits_are_stable_exact_and_disjoint(spark):
     rows = spark.range(500).withColumn("label", F.col("id") % 40)
     a = {r["id"]: r["split"] for r in audits.split_rows(rows, "id").collect()}
-    assert a == {r["id"]: r["split"] for r in audits.split_rows(rows.repartition(7), "id").collect()} and set(a.values()) == {"train", "validation", "test"}
-    assert audits.split_by_label(rows, "label").groupBy("label").agg(F.count_distinct("split").alias("n")).agg(F.max("n")).first()[0] == 1
+    assert a == {r["id"]: r["split"] for r in audits.split_rows(rows.repartition(7), "id").collect()}
+    assert Counter(a.values()) == {"train": 350, "validation": 75, "test": 75}
+    assert Counter(r["split"] for r in audits.split_rows(rows, "id", sizes=(100, 20, 30)).collect()) == {"train": 100, "validation": 20, "test": 30}
+    for n, want in ((6, (4, 1, 1)), (3, (2, 1, 1)), (100, (70, 15, 15)), (1000, (100, 20, 30))):
+        assert tuple(audits.split_sizes(n, (100, 20, 30), (0.7, 0.15, 0.15), (4, 1, 1))) == want
+    assert audits.split_rows(rows.where("1 = 0"), "id").count() == 0
+    labels = audits.split_by_label(rows, "label").groupBy("label").agg(F.count_distinct("split").alias("n"), F.first("split").alias("split")).collect()
+    assert all(r["n"] == 1 for r in labels) and Counter(r["split"] for r in labels) == {"train": 28, "validation": 6, "test": 6}
+
+
+def test_pair_coverage(spark):
+    rng = np.random.Generator(np.random.PCG64(2))
+    cells = [(g, float(a), float(a + d)) for g in range(3) for a, d in zip(rng.random(60).round(2), (rng.random(60) * 0.1).round(3))]
+    found = {(r["g"], r["eps"]): r for r in audits.pair_coverage(spark.createDataFrame(cells, "g int, a double, b double"), ["g"]).collect()}
+    for (g, eps), r in found.items():
+        own = [(a, b) for h, a, b in cells if h == g]
+        means = sorted((a + b) / 2 for a, b in own if abs(a - b) < eps)
+        sizes, start = [], None
+        for x in means:
+            if start is None or x - start > eps:
+                start = x
+                sizes.append(0)
+            sizes[-1] += 1
+        cover = 100 * sum(n for n in sizes if n >= 8) / len(own)
+        assert r["symmetric"] == pytest.approx(100 * len(means) / len(own)) and r["coverage"] == pytest.approx(cover)
+        assert r["verdict"] == ("viable" if cover >= 50 else "marginal" if cover >= 25 else "dead")
+    assert len(found) == 12
 
 
 def test_span_clusters(spark):
@@ -205,5 +252,34 @@ def test_rates_of_nothing(spark):
 def test_common_prefix_and_readability(spark):
     rows = spark.createDataFrame([("abcdef", "abcxyz"), ("", "a"), ("same", "same")], "a string, b string")
     assert [r[0] for r in rows.select(model_outputs.common_prefix_length(F.col("a"), F.col("b"))).collect()] == [3, 0, 4]
-    texts = spark.createDataFrame([("Plain words here.",), ("abcd" * 20,), ("\x01\x02\x03\x04x",)], "t string")
-    assert [r[0] for r in texts.select(model_outputs.readable(F.col("t"))).collect()] == [True, False, False]
+    texts = spark.createDataFrame([("Plain words here.",), ("abcd" * 20,), ("\x01\x02\x03\x04x",), ("",), ("a\n\n\n\nb",), (" " * 60 + "ab",)], "t string")
+    assert [r[0] for r in texts.select(model_outputs.readable(F.col("t"))).collect()] == [True, False, False, False, True, True]
+
+
+def test_instructions(spark):
+    cases = [
+        ("one two three.", "ends_with", "", 0, "three", True), ("one two Three", "ends_with", "", 0, "three", False), ("end here!? ", "ends_with", "", 0, " here. ", True),
+        ("a b", "word_count", "at most", 5, "", True), ("a b", "word_count", "at_most", 1, "", False), ("a b c", "word_count", "", 2, "", True), ("a b c", "word_count", "exactly", 2, "", False),
+        ("日本語", "all_lower", "", 0, "", False), ("straße 1", "all_lower", "", 0, "", True), ("STRAßE", "all_upper", "", 0, "", False), ("ABC 1", "all_upper", "", 0, "", True),
+        ("p\n \nq\n\nr", "paragraph_count", "", 2, "", True), ("p\n \nq\n\nr", "paragraph_count", "less than", 3, "", False), ("a. b! c", "sentence_count", "at least", 3, "", True),
+        ("an AN ant", "keyword_frequency", None, 3, "an", True), ("x", "unknown", "", 0, "", None),
+    ]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, kind string, relation string, number int, word string, want boolean")
+    out = rows.select("i", "want", model_outputs.instruction_holds(F.col("t"), F.col("kind"), F.col("relation"), F.col("number"), F.array("word")).alias("got")).collect()
+    assert all(r["got"] == r["want"] for r in out), [r for r in out if r["got"] != r["want"]]
+
+
+def test_tenants_with_escaped_names_and_repeated_chunks(spark, tmp_path):
+    from lodestone.sources import readers
+    from lodestone.streaming import ingest
+
+    path = str(tmp_path / "index")
+    readers.write_index(spark.createDataFrame([("a:b", 1), ("c", 2)], "tenant_id string, n int"), path)
+    assert readers.forget_tenant(spark, path, "a:b") and not readers.forget_tenant(spark, path, "a:b")
+    assert [r["n"] for r in readers.read_index(spark, path).collect()] == [2]
+    rows = spark.createDataFrame([("t", "c1", "first"), ("t", "c1", "second")], "tenant_id string, chunk_id string, text string")
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    ingest.append_protected(stream, str(tmp_path / "out"), str(tmp_path / "c"), b"k", b"0123456789abcdef", corpus.hashed_words).awaitTermination()
+    nonces = [bytes(r["ciphertext"])[:12] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(nonces) == len(set(nonces)) == 2
