@@ -29,7 +29,7 @@ from lodestone.llm.components import connected_components
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 ODD = np.uint64(0x9E3779B97F4A7C15)
-BLOCK = 3072  # nodes of a bucket that are compared with as many others at a time
+BLOCK = 1024  # nodes of a bucket that are compared with as many others at a time
 FEW_IDS = 400_000  # ids that are broadcast (a few MB); beyond, the same join shuffles
 
 
@@ -327,7 +327,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", se
     buckets = written(_shared(band_keys(nodes, s)), "buckets")
     pivots = buckets.groupBy("bucket").agg(F.min("node").alias("a"))
     stars = buckets.join(pivots, "bucket").where("a < node").select("a", F.col("node").alias("b")).distinct()
-    links = written(verified(written(likely(stars, nodes, s), "likely"), docs, key, text, s), "links")
+    unsure = written(likely(stars, nodes, s), "likely")
+    links = written(verified(unsure, docs, key, text, s), "links")
+    discard(unsure)
     more = between_components(buckets, first_labels(links), nodes, docs, key, text, s)
     groups = connected_components(links.union(more))
     by_content = nodes.join(groups, "node", "left").select("content", F.coalesce("component", "node").alias("component"))
