@@ -161,7 +161,7 @@ def corpus_bleu(pairs: DataFrame, key: str = "prompt", candidate: str = "candida
 
 def nearest_inversion(observed: DataFrame, table: DataFrame, width: int | None = None, seed: int = 0, share: float = 1.0, ks: tuple[int, ...] = (1, 10)) -> DataFrame:
     """Recover tokens of observations (row, vec, token) by the nearest vectors of a reference table (token, vec)."""
-    rows = hash_rank(observed, "row", seed).where(F.col("place") < share)
+    rows = observed.where(seeded_order(F.col("row"), seed) < int(share * 2**60))
     cut = lambda v: V.resized(F.col(v), width) if width else V.doubles(F.col(v))
     near = nearest(rows.select(F.col("row").alias("query_id"), cut("vec").alias("vector")), table.select(F.col("token").alias("id"), cut("vec").alias("vector")), max(ks))
     return topk_rate(near, rows.select(F.col("row").alias("query_id"), F.col("token").alias("truth")), ks)

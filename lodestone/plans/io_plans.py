@@ -16,8 +16,11 @@ from lodestone.streaming import ingest as S
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="lodestone-io-")
+    """A new folder under ``spark.checkpoint.dir``, or a temporary one where that is unset and one machine does all (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
+    root = root or tempfile.mkdtemp(prefix="lodestone-io-")
     return f"{root.rstrip('/')}/lodestone-io/{name}-{uuid.uuid4().hex}"
 
 
