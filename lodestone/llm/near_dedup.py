@@ -255,12 +255,13 @@ def open_pairs(table: pa.Table, s: Settings, steps: list[tuple[int, int]]) -> tu
 
 
 def between_components(buckets: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, s: Settings) -> DataFrame:
-    """Links (u, v) between different components that share a bucket.
+    """(u, v): for each node that links to others of its group, the smallest node that these links reach from it.
 
     Only buckets with several components take part.  Buckets of more than ``BLOCK`` nodes are cut into
     blocks that meet two by two in separate groups.  A first pass over signatures finds the nodes of
     pairs that are not ruled out; these meet again with their full sets.  Pairs are never rows before
-    they are links, and a pair is verified in the first bucket that it shares.
+    they are links, and a pair is verified in the first bucket that it shares.  The links of a group
+    connect the same nodes as the rows that come back, of which there is at most one for each node.
     """
     labelled = buckets.join(groups, "node", "left").select("bucket", "node", "band", F.coalesce("component", "node").alias("component"))
     open_ = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("c")).where("low <> high")
@@ -295,7 +296,14 @@ def between_components(buckets: DataFrame, groups: DataFrame, nodes: DataFrame,
         for table in grouped(batches, "meet"):
             i, j = open_pairs(table, s, steps)
             node, found = table.column("node").to_numpy(), [np.frombuffer(x, np.uint64) for x in table.column("found").to_pylist()]
-            u, v = [], []
+            root = list(range(len(node)))
+
+            def find(x, root=root):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
             order = np.argsort(i, kind="stable")
             firsts, at = np.unique(i[order], return_index=True)
             for a, partners in zip(firsts.tolist(), np.split(j[order], at[1:]), strict=True):
@@ -303,10 +311,14 @@ def between_components(buckets: DataFrame, groups: DataFrame, nodes: DataFrame,
                 joined = np.concatenate([found[b] for b in partners])
                 both = np.add.reduceat((own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined).astype(np.int64), np.cumsum(sizes) - sizes)
                 good = partners[100 * both >= s.percent * (len(own) + sizes - both)]
-                u += [node[a]] * len(good)
-                v += node[good].tolist()
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                for b in good.tolist():
+                    x, y = find(a), find(b)
+                    if x != y:
+                        root[x if node[x] > node[y] else y] = y if node[x] > node[y] else x  # the smaller node stays a root
+            least = node[[find(x) for x in range(len(node))]]
+            moved = least != node
+            if moved.any():
+                yield pa.RecordBatch.from_arrays([pa.array(least[moved]), pa.array(node[moved])], names=["u", "v"])
 
     full = rows.join(nodes.select("node", "sig"), "node").join(texts, "node").select(*names, "sig", "found").repartition("meet").sortWithinPartitions("meet")
     return full.mapInArrow(verify, "u long, v long")
