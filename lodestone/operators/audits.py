@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
+from lodestone.functions.keys import seeded_order
 from lodestone.operators.nearest import nearest, nearest_scalar, ranked
 
 
@@ -36,11 +37,6 @@ def risk_level(rate: Column) -> Column:
     return F.when(rate.isNull() | F.isnan(rate.cast("double")), "unknown").when(rate >= 0.30, "high").when(rate >= 0.10, "medium").otherwise("low")
 
 
-def seeded_order(key: Column, seed: int) -> Column:
-    """60 bits of a hash of the key and a seed, as long."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"))), 1, 15), 16, 10).cast("long")
-
-
 def split_sizes(total: int, wanted: tuple[int, ...] | None, shares: tuple[float, ...], floors: tuple[int, ...]) -> list[int]:
     """Sizes of the splits: ``wanted`` if there are so many rows, else shares of what there is, but at least the floors.
 

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.operators.nearest import ranked
+from lodestone.functions.keys import seeded_order
+from lodestone.operators.nearest import numbered, ranked
 
 # Where texts may be cut, best first, and how many bytes count as a token.
 SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
@@ -95,15 +96,20 @@ def extraction_prompt(text: Column, kinds: list[str], language: str = "English",
     """Instructions for tuple-stream extraction, then the text."""
     head = (
         f"List the entities and relationships of the text in {language}. Entity types: {', '.join(kinds)}.\n"
-        f'Entities: ("entity"{field}name{field}type{field}description). Relationships: ("relationship"{field}source{field}target{field}description{field}strength).\n'
+        f'Entities: ("entity"{field}name{field}type{field}description). Relationships: ("relationship"{field}source{field}target{field}description{field}keywords{field}strength).\n'
         f"Separate records with {record} and end with {done}.\nText:\n"
     )
     return F.concat(F.lit(head), text)
 
 
+def generated(rows: DataFrame, generate, prompt: str = "prompt", out: str = "raw") -> DataFrame:
+    """``rows`` with ``out``, the answers to their prompts; ``generate`` maps a column of prompts to one of texts (a pandas UDF around a model, or an expression)."""
+    return rows.withColumn(out, generate(F.col(prompt)))
+
+
 def batches(rows: DataFrame, by: list[str], order: str, size: int) -> DataFrame:
-    """``batch`` numbers within each group: its first ``size`` rows in order are batch 0, and so on."""
-    return ranked(rows, by, [order], rank="_n").withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")
+    """``batch`` numbers within each group: its first ``size`` rows in order (a number of their own) are batch 0, and so on."""
+    return numbered(rows, by, order, "_n").withColumn("batch", F.floor(F.col("_n") / size)).drop("_n")
 
 
 def batch_statistics(rows: DataFrame, by: list[str], length: str) -> DataFrame:
@@ -149,7 +155,7 @@ def with_positive(queries: DataFrame, qrels: DataFrame) -> DataFrame:
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """The ``n`` rows with the smallest seeded hash of their key: the same set on every run."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(seeded_order(F.col(key), seed), key).limit(n)
 
 
 def content_key(text: Column, model: str) -> Column:

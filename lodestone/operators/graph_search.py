@@ -13,18 +13,29 @@ from lodestone.functions import vectors as V
 from lodestone.operators.nearest import DECIMALS, nearest, ranked
 
 
-def knn_graph(rows: DataFrame, m: int, metric: str = "cosine") -> DataFrame:
-    """(src, dst, ordinal, score): the ``m`` nearest other rows of each row of (id, vector)."""
-    near = nearest(rows.select(F.col("id").alias("query_id"), "vector"), rows.select("id", "vector"), m, metric, other=True)
+def knn_graph(rows: DataFrame, m: int, metric: str = "cosine", cells: int | None = None, probes: int = 16) -> DataFrame:
+    """(src, dst, ordinal, score): the ``m`` nearest other rows of each row of (id, vector).
+
+    Exact by default, which compares all rows with all rows: for small tables.  With ``cells`` a row
+    looks only at the ``probes`` k-means cells nearest to it, by cosine, so the work grows with the rows
+    and the size of a cell; recall is then measured, not promised.
+    """
+    asked = rows.select(F.col("id").alias("query_id"), "vector")
+    if cells is None:
+        near = nearest(asked, rows.select("id", "vector"), m, metric, other=True)
+    elif metric == "cosine":
+        near = cell_search(asked, rows.select("id", "vector"), m, cells, probes, other=True)
+    else:
+        raise ValueError("cells go by cosine")
     return near.select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.col("rank").alias("ordinal"), "score")
 
 
-def diverse_neighbours(rows: DataFrame, candidates: int, m: int) -> DataFrame:
+def diverse_neighbours(rows: DataFrame, candidates: int, m: int, cells: int | None = None) -> DataFrame:
     """(src, dst, ordinal): of each row's nearest candidates, those nearer to it than to any neighbour kept before, at most ``m``.
 
     A group holds one row's ``candidates`` vectors, so its size is an argument and not a property of the data.
     """
-    edges = knn_graph(rows, candidates)
+    edges = knn_graph(rows, candidates, cells=cells)
     vectors = rows.select("id", V.doubles(F.col("vector")).alias("vector"))
     full = edges.join(vectors.select(F.col("id").alias("src"), F.col("vector").alias("a")), "src").join(vectors.select(F.col("id").alias("dst"), F.col("vector").alias("b")), "dst")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.corpus import extraction_prompt, generated, without_empty
 from lodestone.operators.lookups import first_seen
 from lodestone.operators.nearest import nearest, ranked
 
@@ -33,6 +34,12 @@ def records(outputs: DataFrame, chunk: str = "chunk_id", raw: str = "raw") -> Da
     return rows.select(chunk, "pos", F.when(ok, F.substring("record", F.lit(2), F.length("record") - 2)).alias("body"), ok.alias("ok"))
 
 
+def extracted(chunks: DataFrame, kinds: list[str], generate, chunk: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(chunk, raw): what ``generate``, a function from a column of prompts to one of texts, says of each chunk with text."""
+    rows = without_empty(chunks, text)[0].select(chunk, extraction_prompt(F.col(text), kinds).alias("prompt"))
+    return generated(rows, generate).select(chunk, "raw")
+
+
 def parsed(outputs: DataFrame, chunk: str = "chunk_id", raw: str = "raw") -> DataFrame:
     """Every record with its kind: entity, relationship or malformed, and its fields (null where they do not apply).
 

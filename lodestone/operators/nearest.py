@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 
+FEW = 10_000  # groups of which a table of one row each may be broadcast
 DECIMALS = 9  # scores are rounded to this many places before ranking, so that ties are ties on any machine
 
 
@@ -24,6 +25,36 @@ def ranked(df: DataFrame, by: list[str], order: list, k: int | None = None, rank
     return out.where(F.col(rank) < k) if k is not None else out
 
 
+def with_group(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the other columns of ``groups``, one row for each value of ``by``; nulls are a group too.
+
+    Rows of a hot group stay where they are while the groups are at most ``FEW``; beyond that the two meet in a shuffle.
+    """
+    if groups.select(*by).limit(FEW + 1).count() <= FEW:
+        groups = F.broadcast(groups)
+    named = groups.select(*[F.col(b).alias(f"_by{n}") for n, b in enumerate(by)], *[c for c in groups.columns if c not in by])
+    same = F.lit(True)
+    for n, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_by{n}"))
+    return rows.join(named, same).drop(*[f"_by{n}" for n in range(len(by))])
+
+
+def numbered(rows: DataFrame, by: list[str], order: str, name: str = "n", ranges: int = 200) -> DataFrame:
+    """``rows`` with their place from 0 in the order of their group; rows without ``order`` come first.
+
+    ``order`` is a number that tells the rows of a group apart.  A group is cut at quantiles of it, and
+    rows are numbered within the ``ranges`` pieces, so that no task sorts a whole group.
+    """
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    piece = F.coalesce(F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col(order))), F.lit(-1))
+    dealt = with_group(rows, cuts, by).withColumn("_piece", F.when(F.col(order).isNull(), -1).otherwise(piece)).drop("_cuts")
+    sizes = dealt.groupBy(*by, "_piece").agg(F.count(F.lit(1)).alias("_size"))
+    before = F.sum("_size").over(Window.partitionBy(*by).orderBy("_piece")) - F.col("_size")
+    placed = with_group(dealt, sizes.select(*by, "_piece", before.alias("_before")), [*by, "_piece"])
+    own = F.row_number().over(Window.partitionBy(*by, "_piece").orderBy(order)) - 1
+    return placed.withColumn(name, own + F.col("_before")).drop("_piece", "_before")
+
+
 def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str = "cosine", by: list[str] | None = None, block: int = 16_384, query_block: int = 2048, other: bool = False) -> DataFrame:
     """(by..., query_id, rank from 0, id, score) for each row of ``queries``.
 

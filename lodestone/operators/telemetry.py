@@ -5,15 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.operators.nearest import ranked
+from lodestone.operators.nearest import ranked, with_group
 
 
-def rounded_percentiles(rows: DataFrame, by: list[str], value: str = "value", shares: tuple[float, ...] = (0.50, 0.95, 0.99)) -> DataFrame:
-    """n, mean, std (population) and the value at place round(p * (n - 1)) of the sorted values, for each p."""
-    w = Window.partitionBy(*by)
-    placed = rows.select(*by, F.col(value).alias("v")).withColumns({"place": F.row_number().over(w.orderBy("v")) - 1, "n": F.count(F.lit(1)).over(w)})
-    picks = [F.max(F.when(F.col("place") == F.round(F.lit(p) * (F.col("n") - 1)), F.col("v"))).alias(f"p{round(p * 100)}") for p in shares]
-    return placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), *picks)
+def rounded_percentiles(rows: DataFrame, by: list[str], value: str = "value", shares: tuple[float, ...] = (0.50, 0.95, 0.99), accuracy: int = 10_000) -> DataFrame:
+    """n, mean, std (population) and the value at place round(p * (n - 1)) of the sorted values, for each p; nulls take no part.
+
+    Values are exact.  A sketch brackets each wanted place; values below a bracket are only counted, and
+    those within it, about 6 / ``accuracy`` of the group, are sorted, one row for each distinct value.
+    Groups of at most ``accuracy`` rows are sorted whole.
+    """
+    given = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    few, reach = F.col("_n") <= accuracy, 3 / accuracy
+    ends = [F.percentile_approx("_v", [min(max(p + side * reach, 0.0), 1.0) for p in shares], accuracy).alias(name) for side, name in ((-1, "_low"), (1, "_high"))]
+    groups = given.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.avg("_v").alias("_mean"), F.stddev_pop("_v").alias("_std"), *ends)
+    spots = []
+    for k, p in enumerate(shares):
+        above = F.lit(True) if p <= reach else few | (F.col("_v") >= F.col("_low")[k])
+        under = F.lit(True) if p >= 1 - reach else few | (F.col("_v") <= F.col("_high")[k])
+        spots.append(F.when(under, F.struct(F.lit(k).alias("k"), F.when(above, F.col("_v")).alias("v"))))
+    stats = ["_n", "_mean", "_std"]
+    spread = with_group(given, groups, by).select(*by, *stats, F.explode(F.filter(F.array(*spots), lambda s: s.isNotNull())).alias("_s"))
+    counted = spread.groupBy(*by, "_s.k", "_s.v").agg(*[F.first(c).alias(c) for c in stats], F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.round(F.get(F.array(*[F.lit(float(p)) for p in shares]), F.col("k")) * (F.col("_n") - 1))
+    held = counted.withColumn("_upto", upto).withColumn("_hit", (F.col("_upto") - F.col("_c") <= place) & (place < F.col("_upto")) & F.col("v").isNotNull())
+    missed = F.raise_error(F.lit("a sketch missed its bracket: raise the accuracy")).cast("double")
+    picks = [F.coalesce(F.max(F.when(F.col("_hit") & (F.col("k") == k), F.col("v"))), missed).alias(f"p{round(p * 100)}") for k, p in enumerate(shares)]
+    return held.groupBy(*by).agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.first("_std").alias("std"), *picks)
 
 
 def stage_table(runs: DataFrame, stages: list[str], by: list[str]) -> DataFrame:
@@ -23,8 +42,16 @@ def stage_table(runs: DataFrame, stages: list[str], by: list[str]) -> DataFrame:
 
 
 def without_warm_up(rows: DataFrame, by: list[str], order: str, skip: int) -> DataFrame:
-    """Rows after the first ``skip`` of each group."""
-    return ranked(rows, by, [order], rank="_n").where(F.col("_n") >= skip).drop("_n")
+    """Rows after the first ``skip`` of each group; ``order`` tells the rows of a group apart.
+
+    Rows without ``order``, and rows that tie with the last one skipped, are skipped too.  Only the
+    first rows of each partition are sorted: they give the place from which a group's rows stay.
+    """
+    if skip <= 0:
+        return rows.where(F.col(order).isNotNull())
+    first = ranked(rows.where(F.col(order).isNotNull()).select(*by, order), by, [order], skip)
+    last = first.groupBy(*by).agg(F.max(order).alias("_last"))
+    return with_group(rows, last, by).where(F.col(order) > F.col("_last")).drop("_last")
 
 
 def merged_profile(rows: DataFrame, category: str = "category", seconds: str = "seconds") -> DataFrame:

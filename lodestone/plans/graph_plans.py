@@ -152,7 +152,10 @@ def g11(spark, sf):
     return rows.select("name", F.array_join("chunks", ",").alias("chunks"), F.col("real").cast("long").alias("real"))
 
 
-@query("g12_pseudonyms")
+INNER, OUTER = (bytes(x ^ pad for x in b"secret".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))  # the pads of HMAC for SHA-256
+
+
+@query("g12_pseudonyms", f"SELECT s_name, sha256(unhex('{OUTER}' || sha256(unhex('{INNER}' || hex(encode('entities')) || '00' || hex(encode(s_name)))))) AS pseudonym FROM supplier")
 def g12(spark, sf):
     names = table(spark, sf, "supplier").select("s_name")
     return names.select("s_name", S.pseudonym(F.col("s_name"), "entities", b"secret").alias("pseudonym"))

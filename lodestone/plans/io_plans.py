@@ -131,8 +131,9 @@ def s01(spark, sf):
 @query("s02_upsert_texts", "SELECT 'c' || (doc_id % 150) AS chunk_id, max(doc_id) AS version, arg_max(text, doc_id) AS text FROM documents GROUP BY 1")
 def s02(spark, sf):
     path = place(spark, "s02")
-    S.upsert_texts(spark, chunk_stream(spark, sf).select("chunk_id", "version", "text"), path, place(spark, "c02")).awaitTermination()
-    return S.read_upserted(spark, path)
+    texts = chunk_stream(spark, sf).select("chunk_id", "version", "text")
+    S.upsert_texts(spark, texts, path, place(spark, "c02"), buckets=16).awaitTermination()
+    return S.read_upserted(spark, path, texts.schema)
 
 
 @query("s03_embed_once", "SELECT DISTINCT sha256(sha256('embedding|words') || '|' || text) AS content_key FROM documents")

@@ -38,7 +38,7 @@ def p04(spark, sf):
     return P.without_empty(rows)[1]
 
 
-@query("p05_prompt", "SELECT doc_id, length(text) AS tail, md5('List the entities and relationships of the text in English. Entity types: person, place.' || chr(10) || 'Entities: (\"entity\"<|>name<|>type<|>description). Relationships: (\"relationship\"<|>source<|>target<|>description<|>strength).' || chr(10) || 'Separate records with ## and end with <|COMPLETE|>.' || chr(10) || 'Text:' || chr(10) || text) AS digest FROM documents")
+@query("p05_prompt", "SELECT doc_id, length(text) AS tail, md5('List the entities and relationships of the text in English. Entity types: person, place.' || chr(10) || 'Entities: (\"entity\"<|>name<|>type<|>description). Relationships: (\"relationship\"<|>source<|>target<|>description<|>keywords<|>strength).' || chr(10) || 'Separate records with ## and end with <|COMPLETE|>.' || chr(10) || 'Text:' || chr(10) || text) AS digest FROM documents")
 def p05(spark, sf):
     return docs(spark, sf).select("doc_id", F.length("text").alias("tail"), F.md5(P.extraction_prompt(F.col("text"), ["person", "place"])).alias("digest"))
 
@@ -80,7 +80,7 @@ def p10(spark, sf):
     return P.with_positive(judged(spark, sf).select("query_id").distinct(), judged(spark, sf))
 
 
-@query("p11_seeded_sample")
+@query("p11_seeded_sample", "SELECT doc_id FROM documents ORDER BY ('0x' || substr(md5('7|' || doc_id), 1, 15))::BIGINT, doc_id LIMIT 100")
 def p11(spark, sf):
     return P.seeded_sample(docs(spark, sf), "doc_id", 100, 7).select("doc_id")
 
@@ -125,7 +125,7 @@ def m02(spark, sf):
 
 @query("m03_accuracy", f"WITH {CHOICE}, a AS (SELECT subject, gold, nullif(regexp_extract(substr(completion, 8), '([A-D])', 1), '') AS answer FROM c) SELECT subject, count(*) AS n, {sql6('avg(CASE WHEN answer IS NULL THEN 0 ELSE 1 END)')} AS parsed, {sql6('avg(CASE WHEN answer = gold THEN 1 ELSE 0 END)')} AS accuracy FROM a GROUP BY ROLLUP (subject)")
 def m03(spark, sf):
-    rows = choices(spark, sf).withColumn("answer", M.answer_letter(F.substring("completion", 8, 100)))
+    rows = choices(spark, sf).withColumn("answer", M.answer_letter(F.substr("completion", F.lit(8))))
     return M.choice_accuracy(rows).withColumns({"parsed": r6("parsed"), "accuracy": r6("accuracy")})
 
 

@@ -86,6 +86,11 @@ def forget_tenant(spark: SparkSession, path: str, tenant: str | int) -> bool:
     """Drop a tenant's partition, whose folder Spark names with some characters escaped; False if there is none."""
     jvm = spark._jvm  # noqa: SLF001 - the file system behind any Spark path
     name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(str(tenant))
-    target = jvm.org.apache.hadoop.fs.Path(f"{path}/tenant_id={name}")
+    return remove(spark, f"{path}/tenant_id={name}")
+
+
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a folder of any file system that Spark knows; False if there is none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
     files = target.getFileSystem(spark._jsc.hadoopConfiguration())  # noqa: SLF001
     return bool(files.exists(target) and files.delete(target, True))

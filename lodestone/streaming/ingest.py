@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
+from lodestone.functions.batches import extended
 from lodestone.operators.corpus import content_key
 from lodestone.operators.protect import encrypted, protect
+from lodestone.sources.readers import remove
 
 
 def append_protected(chunks: DataFrame, path: str, checkpoint: str, vector_key: bytes, text_key: bytes, embed: Callable[[Column], Column]) -> StreamingQuery:
@@ -28,31 +31,50 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.withColumn("_n", last).where("_n = 1").drop("_n")
 
 
-def upsert_texts(spark: SparkSession, texts: DataFrame, path: str, checkpoint: str, key: str = "chunk_id", order: str = "version") -> StreamingQuery:
-    """Keep the last write (largest ``order``) of each key under ``path``: version folders, of which the largest is the table.
+def upsert_texts(spark: SparkSession, texts: DataFrame, path: str, checkpoint: str, key: str = "chunk_id", order: str = "version", buckets: int = 64) -> StreamingQuery:
+    """Keep the last write (largest ``order``) of each key under ``path``; a write that arrives late loses to a newer one.
 
-    A write that arrives late loses to a newer one.
-
-    A batch merges its last rows with those of the version before it and writes its own version, so a
-    batch that runs again overwrites what it wrote and gives the same table.
+    Keys are dealt into ``buckets`` by hash.  A batch reads and writes only the buckets that it touches,
+    as version ``v`` (its number) of bucket ``b``; of each bucket the newest version is the table.  The
+    one before it stays, for readers and for a batch that runs again, which overwrites what it wrote
+    and gives the same table; older ones go.
     """
     schema = texts.schema
 
     def merge(batch: DataFrame, number: int) -> None:
-        fresh = latest(batch, key, order)
-        if number:
-            old = spark.read.schema(schema).parquet(f"{path}/v={number - 1}")
-            fresh = latest(fresh.unionByName(old), key, order)
-        fresh.write.mode("overwrite").parquet(f"{path}/v={number}")
+        batch = batch.persist()
+        fresh = latest(batch, key, order).withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r["b"] for r in fresh.select("b").distinct().collect()]  # at most ``buckets`` numbers
+        if touched and number:
+            old = newest(stored(spark, path, schema).where(F.col("v") < number)).where(F.col("b").isin(touched))
+            fresh = latest(fresh.unionByName(old.drop("v")), key, order)
+        if touched or not number:
+            fresh.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/v={number}")
+        batch.unpersist()
+        kept: dict[int, list[int]] = {}
+        for r in stored(spark, path, schema).where(F.col("b").isin(touched)).select("b", "v").distinct().collect():
+            kept.setdefault(r["b"], []).append(r["v"])
+        for bucket, versions in kept.items():
+            for version in sorted(versions)[:-2]:
+                remove(spark, f"{path}/v={version}/b={bucket}")
 
     return texts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version."""
-    rows = spark.read.parquet(path)
-    top = rows.agg(F.max("v")).first()[0]
-    return rows.where(F.col("v") == top).drop("v")
+def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All versions (v) of all buckets (b)."""
+    return spark.read.schema(extended(schema, v="int", b="int")).parquet(path)
+
+
+def newest(rows: DataFrame) -> DataFrame:
+    """The newest version of each bucket; the table of versions has one row for each bucket."""
+    top = rows.groupBy("b").agg(F.max("v").alias("v"))
+    return rows.join(F.broadcast(top), ["b", "v"])
+
+
+def read_upserted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table that :func:`upsert_texts` keeps, for rows of ``schema``."""
+    return newest(stored(spark, path, schema)).select(*schema.names)
 
 
 def embed_once(texts: DataFrame, path: str, checkpoint: str, model: str, embed: Callable[[Column], Column]) -> StreamingQuery:

@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
-from lodestone.operators import audits, corpus, knowledge_graph, lookups, model_outputs, protect, ranking
-from lodestone.operators.graph_search import cell_search, diverse_neighbours, tenant_search
-from lodestone.operators.nearest import nearest, nearest_scalar
+from lodestone.operators import audits, corpus, knowledge_graph, lookups, model_outputs, protect, ranking, telemetry
+from lodestone.operators.graph_search import cell_search, diverse_neighbours, knn_graph, tenant_search
+from lodestone.operators.nearest import nearest, nearest_scalar, numbered
 
 
 def vectors(spark, rows, name="id"):
@@ -283,3 +283,76 @@ def test_tenants_with_escaped_names_and_repeated_chunks(spark, tmp_path):
     ingest.append_protected(stream, str(tmp_path / "out"), str(tmp_path / "c"), b"k", b"0123456789abcdef", corpus.hashed_words).awaitTermination()
     nonces = [bytes(r["ciphertext"])[:12] for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert len(nonces) == len(set(nonces)) == 2
+
+
+def rounded(x: float) -> int:
+    return math.floor(x + 0.5)
+
+
+@pytest.mark.parametrize("accuracy", [100, 10_000])
+def test_percentiles_are_exact_beyond_the_sketch(spark, accuracy):
+    rng = np.random.default_rng(5)
+    values = {"even": rng.random(6000), "ties": np.repeat([1.0, 2.0, 2.5], [3000, 2900, 100]), None: rng.lognormal(0, 4, 700), "one": np.array([7.0]), "two": np.array([1.0, 3.0])}
+    rows = [(g, float(v)) for g, vs in values.items() for v in vs] + [("one", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, value double").repartition(6)
+    found = {r["g"]: r for r in telemetry.rounded_percentiles(df, ["g"], shares=(0.0, 0.01, 0.5, 0.95, 0.99, 1.0), accuracy=accuracy).collect()}
+    assert set(found) == set(values)
+    for g, vs in values.items():
+        line, r = np.sort(vs), found[g]
+        assert [r[f"p{round(p * 100)}"] for p in (0.0, 0.01, 0.5, 0.95, 0.99, 1.0)] == [line[rounded(p * (len(line) - 1))] for p in (0.0, 0.01, 0.5, 0.95, 0.99, 1.0)]
+        assert r["n"] == len(vs) and r["mean"] == pytest.approx(vs.mean()) and r["std"] == pytest.approx(vs.std())
+    assert telemetry.rounded_percentiles(df.where("1 = 0"), ["g"]).count() == 0
+
+
+def test_warm_up(spark):
+    rows = spark.createDataFrame([("a", i) for i in range(8)] + [("b", 1), ("b", 2), (None, 5), (None, 6), (None, 7), (None, 8), ("a", None)], "g string, n long")
+    kept = sorted(((r["g"] or "", r["n"]) for r in telemetry.without_warm_up(rows, ["g"], "n", 3).collect()))
+    assert kept == [("", 8)] + [("a", i) for i in range(3, 8)]
+    assert telemetry.without_warm_up(rows, ["g"], "n", 0).count() == 14
+
+
+def test_places_across_pieces(spark):
+    rng = np.random.default_rng(6)
+    keys = rng.permutation(3000)[:2000]
+    rows = spark.createDataFrame([("hot" if i % 5 else None, int(k)) for i, k in enumerate(keys)] + [("hot", None)], "g string, k long").repartition(5)
+    got = {(r["g"], r["k"]): r["n"] for r in numbered(rows, ["g"], "k", ranges=17).collect()}
+    for g in ("hot", None):
+        line = sorted((k for h, k in got if h == g), key=lambda k: -1 if k is None else k)
+        assert [got[g, k] for k in line] == list(range(len(line)))
+    assert len(got) == 2001
+
+
+def test_upserts_touch_only_their_buckets(spark, tmp_path):
+    from lodestone.streaming import ingest
+
+    schema = "chunk_id string, version long, text string"
+    writes = [[("a", 1, "a1"), ("b", 5, "b5"), ("c", 1, "c1")], [("a", 3, "a3"), ("b", 2, "late")], [("a", 4, "a4"), ("d", 1, None)], [("a", 6, "a6")], [("a", 7, "a7")]]
+    source, path = tmp_path / "in", str(tmp_path / "out")
+    want = {}
+    for i, batch in enumerate(writes):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        ingest.upsert_texts(spark, stream, path, str(tmp_path / "c"), buckets=4).awaitTermination()
+        for key, version, text in batch:
+            want[key] = max(want.get(key, (0, "")), (version, text), key=lambda x: x[0])
+        rows = ingest.read_upserted(spark, path, stream.schema).collect()
+        assert {r["chunk_id"]: (r["version"], r["text"]) for r in rows} == want and len(rows) == len(want), i
+    kept = Counter(p.name for p in (tmp_path / "out").glob("v=*/b=*"))
+    assert max(kept.values()) == 2 and len([p for p in (tmp_path / "out").glob("v=4/b=*")]) == 1
+
+
+def test_graph_in_cells_is_near_the_exact_one(spark):
+    x = np.random.default_rng(8).standard_normal((6, 1, 16)) * 4 + np.random.default_rng(9).standard_normal((6, 50, 16))
+    rows = vectors(spark, [(i, r.tolist()) for i, r in enumerate(x.reshape(-1, 16))])
+    edges = lambda g: {(r["src"], r["dst"]) for r in g.collect()}
+    exact, found = edges(knn_graph(rows, 5)), edges(knn_graph(rows, 5, cells=12, probes=5))
+    assert len(exact & found) >= 0.9 * len(exact) and all(a != b for a, b in found)
+    with pytest.raises(ValueError):
+        knn_graph(rows, 5, "l2", cells=4)
+
+
+def test_extraction_with_a_generator(spark):
+    chunks = spark.createDataFrame([("c0", "Ada knows Bob."), ("c1", "  ")], "chunk_id string, text string")
+    answer = lambda prompt: F.when(prompt.contains("keywords<|>strength") & prompt.contains("Ada"), F.lit('("relationship"<|>Ada<|>Bob<|>knows<|>people<|>7)<|COMPLETE|>'))
+    rows = knowledge_graph.parsed(knowledge_graph.extracted(chunks, ["person"], answer)).collect()
+    assert [(r["chunk_id"], r["kind"], r["name"], r["target"], r["strength"]) for r in rows] == [("c0", "relationship", "Ada", "Bob", 7.0)]
