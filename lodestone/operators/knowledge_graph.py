@@ -167,28 +167,25 @@ def graph_query(queries: DataFrame, entities: DataFrame, relations: DataFrame, m
     """
     if mode not in ("local", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
-    place = lambda *parts: F.array(*[(F.lit(p) if isinstance(p, int) else p).cast("long") for p in parts]).alias("pos")  # noqa: E731 - arrays compare part by part
+    place = lambda *parts: F.array(*[(F.lit(p) if isinstance(p, int) else F.col(p)).cast("long") for p in parts])  # noqa: E731 - arrays compare part by part
+    seen = lambda kind, value, pos: F.struct(F.lit(kind).alias("kind"), value.alias("value"), pos.alias("pos"))
     hits = nearest(queries.select("query_id", F.col("low").alias("vector")), entities.select("id", "vector"), k_entities)
-    names = hits.join(entities.select("id", "name"), "id").select("query_id", "name", place(0, F.col("rank")))
-    keys = None
+    stream = hits.join(entities.select("id", "name"), "id").select("query_id", seen("name", F.col("name"), place(0, "rank")).alias("s"))
     if mode == "hybrid":
         near = nearest(queries.select("query_id", F.col("high").alias("vector")), relations.select("id", "vector"), k_relations).join(relations.select("id", "src", "tgt"), "id")
-        ends = near.select("query_id", F.posexplode(F.array("src", "tgt")).alias("end", "name"), "rank").select("query_id", "name", place(1, F.col("rank"), F.col("end")))
-        names = names.union(ends)
-        keys = near.select("query_id", relation_key(F.col("src"), F.col("tgt")).alias("value"), place(0, F.col("rank")))
-    names = first_seen(names, ["query_id"], "name", "pos")
-    places = relations.select("id", F.explode(F.array_distinct(F.array("src", "tgt"))).alias("name"), relation_key(F.col("src"), F.col("tgt")).alias("value"))
-    near_keys = names.join(places, "name").select("query_id", "value", F.concat(F.array(F.lit(1).cast("long")), "pos", F.array(F.col("id").cast("long"))).alias("pos"))
-    keys = near_keys if keys is None else keys.union(near_keys)
-    keys = first_seen(keys, ["query_id"], "value", "pos")
-    cut = ranked(mentions, ["name"], ["pos"], k_chunks, "nth")
-    chunks = names.join(cut.select("name", "nth", F.col("chunk_id").alias("value")), "name").select("query_id", "value", F.concat("pos", F.array(F.col("nth").cast("long"))).alias("pos"))
-    chunks = first_seen(chunks, ["query_id"], "value", "pos")
-    parts = [("entity", names.select("query_id", F.col("name").alias("value"), "pos")), ("relation", keys), ("chunk", chunks)]
-    out = None
-    for part, rows in parts:
-        one = rows.select("query_id", F.lit(part).alias("part"), "pos", "value")
-        out = one if out is None else out.unionByName(one)
+        own = [seen("name", F.col("src"), place(1, "rank", 0)), seen("name", F.col("tgt"), place(1, "rank", 1)), seen("relation", relation_key(F.col("src"), F.col("tgt")), place(0, "rank"))]
+        stream = stream.union(near.select("query_id", F.explode(F.array(*own))))
+    stream = first_seen(stream.select("query_id", "s.*"), ["query_id", "kind"], "value", "pos")
+    # A name is an entity of the answer and also looks up its relations and chunks; the rest passes the lookup unmatched.
+    kinds = F.when(F.col("kind") == "name", F.array(F.lit("entity"), F.lit("name"))).otherwise(F.array("kind"))
+    asked = stream.select("query_id", F.explode(kinds).alias("kind"), F.col("value").alias("name"), "pos")
+    keys = relations.select(F.explode(F.array_distinct(F.array("src", "tgt"))).alias("name"), F.lit("relation").alias("part"), relation_key(F.col("src"), F.col("tgt")).alias("value"), F.col("id").cast("long").alias("nth"))
+    chunks = ranked(mentions, ["name"], ["pos"], k_chunks, "nth").select("name", F.lit("chunk").alias("part"), F.col("chunk_id").alias("value"), F.col("nth").cast("long").alias("nth"))
+    table = keys.unionByName(chunks).withColumn("kind", F.lit("name"))
+    found = asked.join(table, ["kind", "name"], "left").where("kind <> 'name' OR value IS NOT NULL")
+    after = F.concat("pos", F.array("nth"))
+    pos = F.when(F.col("part") == "relation", F.concat(F.array(F.lit(1).cast("long")), after)).when(F.col("part") == "chunk", after).otherwise(F.col("pos"))
+    out = first_seen(found.select("query_id", F.coalesce("part", "kind").alias("part"), F.coalesce("value", "name").alias("value"), pos.alias("pos")), ["query_id", "part"], "value", "pos")
     return ranked(out, ["query_id", "part"], ["pos"], rank="place").select("query_id", "part", F.col("place").alias("pos"), "value")
 
 
