@@ -132,3 +132,12 @@ def arrow_batch(names: list[str], arrays: list[pa.Array]) -> pa.RecordBatch:
 def extended(schema: T.StructType, **fields: str) -> T.StructType:
     """A copy of ``schema`` with more fields (StructType.add changes its object in place)."""
     return T.StructType([*schema.fields, *(T.StructField(name, T.DataType.fromDDL(kind)) for name, kind in fields.items())])
+
+
+def windows(text: str, seam: re.Pattern, size: int = 1_000_000) -> Iterator[str]:
+    """``text`` in pieces, each cut after the first match of ``seam`` past ``size`` characters, so that nothing larger is matched at once."""
+    at = 0
+    while len(text) - at > size and (found := seam.search(text, at + size)):
+        yield text[at : found.end()]
+        at = found.end()
+    yield text[at:]

@@ -98,6 +98,28 @@ def op10_suffix_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_whole_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.token_counts import count_tokens
+
+    return count_tokens(_documents(spark, sf_dir).select("doc_id", "text"), _tokenizer("piece_bpe_32k.model")).drop("text")
+
+
+def op12_spelling_kd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.spelling import misspelt, spelling_variants, word_counts
+
+    return spelling_variants(word_counts(_documents(spark, sf_dir).select("doc_id", "text"), change=misspelt))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodestone.llm.fill_middle import cut_documents, restored
+
+    rows = cut_documents(_documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select(
+        "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_bayes": op1_minhash_bayes,
@@ -110,6 +132,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc_derivatives": op8_warc_derivatives,
         "op9_language_hd": op9_language_hd,
         "op10_suffix_two_stage": op10_suffix_two_stage,
+        "op11_whole_tokens": op11_whole_tokens,
+        "op12_spelling_kd": op12_spelling_kd,
+        "op13_fill_middle": op13_fill_middle,
     }
 
 
@@ -148,5 +173,46 @@ def _warc_sql() -> str:
 SELECT page_id, record_type, {uuid(f"concat_ws({lf}, record_type, source_id)")} AS record_id, source_id AS refers_to, uri AS target_uri, '2024-01-01T00:00:00Z' AS warc_date, content_type, strlen(made)::BIGINT AS content_length, payload_digest, 'sha256:' || sha256(made) AS block_digest, made AS block FROM m"""
 
 
+def _fill_middle_sql() -> str:
+    """The rows of :func:`op13_fill_middle`: units are listed, so a cut is a slice of the list."""
+    draw = lambda k: f"('0x' || substr(digest, {8 * k + 1}, 8))::BIGINT"
+    joined = lambda x: f"coalesce(array_to_string({x}, ''), '')"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS body, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS digest FROM documents),
+ u AS (SELECT *, regexp_extract_all(body, '[A-Za-z]+|[^A-Za-z]') AS units FROM d),
+ c AS (SELECT *, len(units) AS n, {draw(0)} % (len(units) + 1) AS a, {draw(1)} % (len(units) + 1) AS b,
+ CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR {draw(2)} % 100 >= 90 THEN 'plain' WHEN {draw(3)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+ p AS (SELECT doc_id, n, form, body, {joined("units[1:least(a, b)]")} AS prefix, {joined("units[least(a, b) + 1:greatest(a, b)]")} AS middle, {joined("units[greatest(a, b) + 1:]")} AS suffix FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+ sha256(body) AS restored_sha256 FROM p"""
+
+
+def _spelling_sql() -> str:
+    """The rows of :func:`op12_spelling_kd`: near words share what is left when one character of each, or of the longer, is gone."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    table = []  # of the polynomial of crc32, for four bits
+    for k in range(16):
+        for _ in range(4):
+            k = (k >> 1) ^ (0xEDB88320 if k & 1 else 0)
+        table.append(k)
+    nibbles = f"({table}::BIGINT[])"
+    step = lambda crc, bits: f"xor({nibbles}[1 + (xor({crc}, {bits}) & 15)], {crc} >> 4)"
+    whole = "hex(coalesce(doc_id::VARCHAR, 'null') || ':' || run)"
+    steps = f"list_transform(range(0, length({whole}), 2), lambda i: [('0x' || substr({whole}, i + 2, 1))::BIGINT, ('0x' || substr({whole}, i + 1, 1))::BIGINT])"
+    crc = f"xor(list_reduce(flatten({steps}), lambda crc, bits: {step('crc', 'bits')}, 4294967295::BIGINT), 4294967295)"
+    return f"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{upper}', '{upper.lower()}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+ g AS (SELECT doc_id, run, count(*) AS c FROM r GROUP BY ALL),
+ h AS (SELECT run, c, {crc} AS h FROM g),
+ e AS (SELECT c, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+ w AS MATERIALIZED (SELECT word, sum(c)::BIGINT AS n FROM e WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+ v AS MATERIALIZED (SELECT word, k, substr(word, 1, k) || substr(word, k + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS k FROM w)),
+ s AS (SELECT v.word AS long, w.word AS short FROM v JOIN w ON v.rest = w.word),
+ p AS (SELECT a.word AS word, b.word AS near FROM v a JOIN v b USING (k, rest) WHERE a.word <> b.word UNION SELECT long, short FROM s UNION SELECT short, long FROM s),
+ b AS (SELECT p.word, count(*) AS n_near, first(near ORDER BY w.n DESC, near) AS near, max(w.n) AS most FROM p JOIN w ON w.word = p.near GROUP BY p.word),
+ f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN near END AS form, CASE WHEN most >= 5 * w.n THEN most END AS form_n FROM w LEFT JOIN b USING (word)),
+ o AS (SELECT word, word AS last, 0 AS steps FROM f UNION ALL SELECT o.word, f.form, steps + 1 FROM o JOIN f ON f.word = o.last WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, t.root, f.n, f.n_near::BIGINT AS n_near, f.form_n FROM f JOIN (SELECT word, arg_max(last, steps) AS root FROM o GROUP BY word) t USING (word)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_derivatives": _warc_sql()}
+    return {"op8_warc_derivatives": _warc_sql(), "op12_spelling_kd": _spelling_sql(), "op13_fill_middle": _fill_middle_sql()}
