@@ -103,10 +103,11 @@ def top1_agreement(ranking: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def overlap(ranking: DataFrame, baseline: DataFrame, k: int) -> DataFrame:
-    """(query_id, overlap): common items of the two first ``k``, divided by ``k`` always."""
+    """(query_id, overlap): common items of the two first ``k``, divided by ``k`` always; 0 for a query of which ``ranking`` has nothing."""
     top = lambda r: r.where(F.col("rank") < k).select("query_id", "id")
     common = top(ranking).join(top(baseline), ["query_id", "id"]).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    return ranking.select("query_id").distinct().join(common, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) / k).alias("overlap"))
+    asked = ranking.select("query_id").union(baseline.select("query_id")).distinct()
+    return asked.join(common, "query_id", "left").select("query_id", (F.coalesce("n", F.lit(0)) / k).alias("overlap"))
 
 
 def macro_average(ranking: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:

@@ -113,7 +113,7 @@ def e09(spark, sf):
 
 @query("e10_ann_recall")
 def e10(spark, sf):
-    found = cell_search(X.queries(spark, sf), X.corpus(spark, sf), 10, other=True)
+    found = cell_search(X.queries(spark, sf), X.corpus(spark, sf), 10, probes=0.8, other=True)
     return R.overlap(found, ranking(spark, sf), 10).agg(F.avg("overlap").alias("recall"))
 
 

@@ -184,6 +184,11 @@ def j04(spark, sf):
     return G.bidirectional(G.knn_graph(graph_rows(spark, sf), 8), 12).select("src", "dst", "ordinal")
 
 
+@query("j04_bidirectional_diverse")
+def j04_diverse(spark, sf):
+    return G.capped_both_ways(G.knn_graph(graph_rows(spark, sf), 8), graph_rows(spark, sf), 12)
+
+
 @query("j05_direction_hints", f"{ALL_BEST}, d AS (SELECT k.query_id AS src, k.id AS dst, {MAP}(list_zip(b.v, a.v), lambda z: z[1] - z[2]) AS x FROM k JOIN e a ON a.vec_id = k.query_id JOIN e b ON b.vec_id = k.id WHERE rank < 3), n AS (SELECT src, dst, {MAP}(x, lambda y: y / sqrt(list_dot_product(x, x))) AS x FROM d), sc AS (SELECT *, list_max({MAP}(x, lambda y: abs(y))) AS scale FROM n) SELECT src, dst, {sql6('scale')} AS scale, list_sum({MAP}(x, lambda y: greatest(least(round((y / scale + 1) * 7.5::DOUBLE), 15), 0)))::BIGINT AS code_sum FROM sc")
 def j05(spark, sf):
     hints = G.direction_hints(G.knn_graph(graph_rows(spark, sf), 3), graph_rows(spark, sf))
@@ -195,7 +200,14 @@ def j06(spark, sf):
     return G.two_phase_search(X.queries(spark, sf), X.corpus(spark, sf), 40, 10, other=True).withColumn("score", r6("score"))
 
 
-@query("j07_cell_search")
+@query("j06_codes_certain")
+def j06_certain(spark, sf):
+    q, c = X.queries(spark, sf), X.corpus(spark, sf)
+    codes = G.packed_codes(c)
+    return G.certain_queries(q, codes, G.two_phase_search(q, c, 40, 10, other=True, codes=codes), 40, other=True)
+
+
+@query("j07_cell_search", f"{TOP} SELECT query_id, rank, id, {sql6('score')} AS score FROM ranked WHERE rank < 10")
 def j07(spark, sf):
     return G.cell_search(X.queries(spark, sf), X.corpus(spark, sf), 10, other=True).withColumn("score", r6("score"))
 

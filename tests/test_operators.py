@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
 from lodestone.operators import audits, corpus, knowledge_graph, lookups, model_outputs, protect, ranking, telemetry
-from lodestone.operators.graph_search import cell_search, diverse_neighbours, knn_graph, tenant_search
+from lodestone.operators.graph_search import diverse_neighbours, tenant_search
 from lodestone.operators.nearest import nearest, nearest_scalar, numbered
 
 
@@ -56,14 +56,6 @@ def test_nearest_scalar_ties_and_ranges(spark):
         assert [got[q["query_id"], r] for r in range(4)] == want
 
 
-def test_cell_search_recall(spark):
-    x = np.random.default_rng(3).standard_normal((1000, 64))
-    rows = vectors(spark, [(i, r.tolist()) for i, r in enumerate(x)])
-    asked = rows.where("id < 50").withColumnRenamed("id", "query_id")
-    exact, found = nearest(asked, rows, 10), cell_search(asked, rows, 10, probes=24)
-    assert ranking.overlap(found, exact, 10).agg(F.avg("overlap")).first()[0] >= 0.90
-
-
 def test_diverse_neighbours_excludes_self_and_redundant(spark):
     rows = vectors(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.11]), (3, [0.0, 1.0])])
     kept = [r["dst"] for r in diverse_neighbours(rows, 3, 2).where("src = 0").orderBy("ordinal").collect()]
@@ -341,16 +333,6 @@ def test_upserts_touch_only_their_buckets(spark, tmp_path):
     assert max(kept.values()) == 2 and len([p for p in (tmp_path / "out").glob("v=4/b=*")]) == 1
 
 
-def test_graph_in_cells_is_near_the_exact_one(spark):
-    x = np.random.default_rng(8).standard_normal((6, 1, 16)) * 4 + np.random.default_rng(9).standard_normal((6, 50, 16))
-    rows = vectors(spark, [(i, r.tolist()) for i, r in enumerate(x.reshape(-1, 16))])
-    edges = lambda g: {(r["src"], r["dst"]) for r in g.collect()}
-    exact, found = edges(knn_graph(rows, 5)), edges(knn_graph(rows, 5, cells=12, probes=5))
-    assert len(exact & found) >= 0.9 * len(exact) and all(a != b for a, b in found)
-    with pytest.raises(ValueError):
-        knn_graph(rows, 5, "l2", cells=4)
-
-
 def test_extraction_with_a_generator(spark):
     chunks = spark.createDataFrame([("c0", "Ada knows Bob."), ("c1", "  ")], "chunk_id string, text string")
     answer = lambda prompt: F.when(prompt.contains("keywords<|>strength") & prompt.contains("Ada"), F.lit('("relationship"<|>Ada<|>Bob<|>knows<|>people<|>7)<|COMPLETE|>'))
