@@ -8,7 +8,7 @@ from lodestone.operators import knowledge_graph as K
 from lodestone.operators import protect as S
 from lodestone.operators.nearest import nearest
 from lodestone.plans import fixtures as X
-from lodestone.plans.registry import query, r6, table
+from lodestone.plans.registry import query, r6, sql6, table
 
 # One output for each order: for each of its lines an entity record of the part, one of the supplier and a relation
 # between them, with every kind of damage and of harmless variety; ``v`` and ``w`` pick the part's and the relation's.
@@ -242,21 +242,42 @@ def g21(spark, sf):
     return K.graph_counts(mentions.select("chunk_id").distinct(), entities, relations)
 
 
-@query("v15_protect")
+def _hmac(message: str) -> str:
+    """SQL: HMAC with the key of these fixtures of a message given in hexadecimal."""
+    return f"sha256(unhex('{OUTER}' || sha256(unhex('{INNER}' || {message}))))"
+
+
+def _numbers(tag: str, count: int) -> str:
+    """SQL: the first ``count`` numbers that follow from a tag."""
+    blocks = f"array_to_string(list_transform(range({-(-count // 8)}), lambda n: sha256(unhex({tag} || lpad(to_hex(n), 2, '0') || '000000'))), '')"
+    return f"(SELECT list_transform(range({count}), lambda i: ('0x' || substr(s, 8 * i + 7, 2) || substr(s, 8 * i + 5, 2) || substr(s, 8 * i + 3, 2) || substr(s, 8 * i + 1, 2))::BIGINT::DOUBLE) FROM (SELECT {blocks} AS s))"
+
+
+NONCE = f"substr({_hmac('hex(encode(' + chr(39) + 'nonce|' + chr(39) + ' || vec_id))')}, 1, 32)"
+NOISE_TAG = _hmac("hex(encode('noise|document|')) || nonce")
+SHARE = "lambda i: sqrt(-2 * ln((m[2 * i + 1] + 0.5::DOUBLE) / 4294967296)) * cos(2 * pi() * (m[2 * i + 2] + 0.5::DOUBLE) / 4294967296)"
+ROWS = "SELECT vec_id, unnest(range(len(w))) AS pos, unnest(w) AS x FROM t"
+
+
+@query("v15_protect", f"WITH {X.E_SQL}, n AS (SELECT vec_id, v, {NONCE} AS nonce FROM e), g AS (SELECT vec_id, v, {NOISE_TAG} AS tag FROM n), k AS (SELECT vec_id, v, {_numbers('tag', 129)} AS m FROM g), u AS (SELECT vec_id, v, m, list_transform(range(64), {SHARE}) AS u FROM k), t AS (SELECT vec_id, list_transform(list_zip(v, u), lambda z: z[1] * 32 + z[2] / sqrt(list_dot_product(u, u)) * 1.8::DOUBLE * pow((m[129] + 0.5::DOUBLE) / 4294967296, 1 / 64.0::DOUBLE)) AS w FROM u), r AS ({ROWS}) SELECT vec_id, pos, {sql6('x')} AS x FROM r")
 def v15(spark, sf):
-    return S.protect(X.vectors(spark, sf).select("vec_id", "v"), "vec_id", "v", b"secret", "document").select("vec_id", "nonce")
+    rows = S.protect(X.vectors(spark, sf).select("vec_id", "v"), "vec_id", "v", b"secret", "document")
+    return rows.select("vec_id", F.posexplode("v").alias("pos", "x")).withColumn("x", r6("x"))
 
 
 @query("v16_unprotect", f"WITH {X.E_SQL} SELECT vec_id, round(list_sum(v), 4) + 0.0 AS total FROM e")
 def v16(spark, sf):
     from lodestone.functions.vectors import total
 
-    rows = S.protect(X.vectors(spark, sf).select("vec_id", "v"), "vec_id", "v", b"secret", "document")
+    rows = S.protect(X.vectors(spark, sf).select("vec_id", "v"), None, "v", b"secret", "document")
     return S.unprotect(rows, "v", b"secret", "document").select("vec_id", (F.round(total(F.col("v")), 4) + F.lit(0.0)).alias("total"))
 
 
-@query("v17_session_noise")
-def v17(spark, sf):
-    return S.session_perturbed(X.vectors(spark, sf).select("vec_id", "v"), "v", b"session", "entity").select("vec_id", r6(F.element_at("v", 1)).alias("first"))
+INT16 = "array_to_string(list_transform(v, lambda x: lpad(to_hex(((round(greatest(least(x, 1.0), -1.0) * 32767)::INT & 255) << 8) | ((round(greatest(least(x, 1.0), -1.0) * 32767)::INT >> 8) & 255)), 4, '0')), '')"
+SESSION_TAG = _hmac(f"hex(encode('ll')) || '00' || {INT16}")
 
 
+@query("v17_session_noise", f"WITH {X.E_SQL}, g AS (SELECT vec_id, v, {SESSION_TAG} AS tag FROM e), u AS (SELECT vec_id, v, list_transform({_numbers('tag', 64)}, lambda n: n / 4294967295 * 2 - 1) AS u FROM g), m AS (SELECT vec_id, list_transform(list_zip(v, u), lambda z: z[1] + 0.02::DOUBLE * z[2] / sqrt(list_dot_product(u, u))) AS m FROM u), t AS (SELECT vec_id, list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS w FROM m), r AS ({ROWS}) SELECT vec_id, pos, {sql6('x')} AS x FROM r")
+def v17(spark, sf):
+    rows = S.session_perturbed(X.vectors(spark, sf).select("vec_id", "v"), "v", b"secret", "ll")
+    return rows.select("vec_id", F.posexplode("v").alias("pos", "x")).withColumn("x", r6("x"))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.stored import own_path
 from lodestone.operators import corpus as P
 from lodestone.plans import fixtures as X
 from lodestone.plans.registry import query, r6, sql6, table
@@ -16,12 +14,8 @@ from lodestone.streaming import ingest as S
 
 
 def place(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``, or a temporary one where that is unset and one machine does all (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("name a folder that all machines share in spark.checkpoint.dir")
-    root = root or tempfile.mkdtemp(prefix="lodestone-io-")
-    return f"{root.rstrip('/')}/lodestone-io/{name}-{uuid.uuid4().hex}"
+    """A new folder under the shared one."""
+    return own_path(spark, name)
 
 
 def lines(df: DataFrame, name: str) -> str:
@@ -114,7 +108,8 @@ def io10(spark, sf):
 def chunk_stream(spark, sf) -> DataFrame:
     """The documents as a stream of several files."""
     path = place(spark, "stream")
-    rows = docs(spark, sf).select((F.col("doc_id") % 3).alias("tenant_id"), F.concat(F.lit("c"), (F.col("doc_id") % 150).cast("string")).alias("chunk_id"), F.col("doc_id").alias("version"), "text")
+    key = F.col("doc_id") % 150 + 150 * F.floor(F.col("doc_id") / 600)  # four versions of each key
+    rows = docs(spark, sf).select((F.col("doc_id") % 3).alias("tenant_id"), F.concat(F.lit("c"), key.cast("string")).alias("chunk_id"), F.col("doc_id").alias("version"), "text")
     rows.repartitionByRange(4, "version").write.parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
@@ -128,7 +123,7 @@ def s01(spark, sf):
     return R.read_index(spark, path).select("tenant_id", decrypted(F.col("ciphertext"), key).alias("text"))
 
 
-@query("s02_upsert_texts", "SELECT 'c' || (doc_id % 150) AS chunk_id, max(doc_id) AS version, arg_max(text, doc_id) AS text FROM documents GROUP BY 1")
+@query("s02_upsert_texts", "SELECT 'c' || (doc_id % 150 + 150 * (doc_id // 600)) AS chunk_id, max(doc_id) AS version, arg_max(text, doc_id) AS text FROM documents GROUP BY 1")
 def s02(spark, sf):
     path = place(spark, "s02")
     texts = chunk_stream(spark, sf).select("chunk_id", "version", "text")
@@ -140,4 +135,4 @@ def s02(spark, sf):
 def s03(spark, sf):
     path = place(spark, "s03")
     S.embed_once(chunk_stream(spark, sf), path, place(spark, "c03"), "words", P.hashed_words).awaitTermination()
-    return spark.read.parquet(path).select("content_key")
+    return S.read_embedded(spark, path).select("content_key")

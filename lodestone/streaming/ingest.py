@@ -9,76 +9,77 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lodestone.functions.batches import extended
 from lodestone.operators.corpus import content_key
 from lodestone.operators.protect import encrypted, protect
-from lodestone.sources.readers import remove
+from lodestone.streaming.bucket_table import BucketTable
 
 
 def append_protected(chunks: DataFrame, path: str, checkpoint: str, vector_key: bytes, text_key: bytes, embed: Callable[[Column], Column]) -> StreamingQuery:
     """Append a stream of (tenant_id, chunk_id, text) to an index of protected vectors and encrypted texts, by tenant.
 
-    Chunk ids may come again with other texts, so every text gets a random nonce.
+    Chunk ids may come again with other texts, so every vector and every text gets a random nonce.
     """
     rows = chunks.select("tenant_id", "chunk_id", embed(F.col("text")).alias("vector"), encrypted(F.col("text"), text_key).alias("ciphertext"))
-    out = protect(rows, "chunk_id", "vector", vector_key, "document")
+    out = protect(rows, None, "vector", vector_key, "document")
     return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("tenant_id").outputMode("append").trigger(availableNow=True).start()
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n")
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a checkpoint: a new checkpoint is another stream."""
+    return spark.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id")).first()[0]
 
 
 def upsert_texts(spark: SparkSession, texts: DataFrame, path: str, checkpoint: str, key: str = "chunk_id", order: str = "version", buckets: int = 64) -> StreamingQuery:
-    """Keep the last write (largest ``order``) of each key under ``path``; a write that arrives late loses to a newer one.
+    """Keep the last write (largest ``order``, among equals the last committed) of each key under ``path``.
 
-    Keys are dealt into ``buckets`` by hash.  A batch reads and writes only the buckets that it touches,
-    as version ``v`` (its number) of bucket ``b``; of each bucket the newest version is the table.  The
-    one before it stays, for readers and for a batch that runs again, which overwrites what it wrote
-    and gives the same table; older ones go.
+    A batch reads and writes only the hash buckets that it touches; :class:`BucketTable` tells how commits
+    survive lost drivers, runs that come again, new checkpoints and several writers.
     """
-    schema = texts.schema
+    table = BucketTable(spark, path, texts.schema, key, buckets)
+
+    def merged(fresh: DataFrame, old: DataFrame) -> DataFrame:
+        both = fresh.drop("b").withColumn("_new", F.lit(1)).unionByName(old.withColumn("_new", F.lit(0)))
+        last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order), F.desc("_new")))
+        return both.withColumn("_n", last).where("_n = 1").drop("_n", "_new")
 
     def merge(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        fresh = latest(batch, key, order).withColumn("b", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        touched = [r["b"] for r in fresh.select("b").distinct().collect()]  # at most ``buckets`` numbers
-        if touched and number:
-            old = newest(stored(spark, path, schema).where(F.col("v") < number)).where(F.col("b").isin(touched))
-            fresh = latest(fresh.unionByName(old.drop("v")), key, order)
-        if touched or not number:
-            fresh.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/v={number}")
+        table.commit(_stream_id(spark, checkpoint), number, batch.withColumn("b", table.bucket()), merged, replace=True)
         batch.unpersist()
-        kept: dict[int, list[int]] = {}
-        for r in stored(spark, path, schema).where(F.col("b").isin(touched)).select("b", "v").distinct().collect():
-            kept.setdefault(r["b"], []).append(r["v"])
-        for bucket, versions in kept.items():
-            for version in sorted(versions)[:-2]:
-                remove(spark, f"{path}/v={version}/b={bucket}")
 
     return texts.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """All versions (v) of all buckets (b)."""
-    return spark.read.schema(extended(schema, v="int", b="int")).parquet(path)
+def read_upserted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table that :func:`upsert_texts` keeps, for rows of ``schema``."""
+    return BucketTable(spark, path, schema, schema.names[0]).rows()
+
 
+EMBEDDED = T.StructType([T.StructField("content_key", T.StringType()), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
 
-def newest(rows: DataFrame) -> DataFrame:
-    """The newest version of each bucket; the table of versions has one row for each bucket."""
-    top = rows.groupBy("b").agg(F.max("v").alias("v"))
-    return rows.join(F.broadcast(top), ["b", "v"])
 
+def embed_once(texts: DataFrame, path: str, checkpoint: str, model: str, embed: Callable[[Column], Column], buckets: int = 64) -> StreamingQuery:
+    """Add (content_key, embedding) for texts whose key has not been seen; the seen keys are the table itself.
 
-def read_upserted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The table that :func:`upsert_texts` keeps, for rows of ``schema``."""
-    return newest(stored(spark, path, schema)).select(*schema.names)
+    The stream has no state of its own: a batch looks for its keys in the buckets that they fall into, and
+    embeds what is missing.  The table outlives checkpoints.
+    """
+    spark = texts.sparkSession
+    table = BucketTable(spark, path, EMBEDDED, "content_key", buckets)
+
+    def unseen(fresh: DataFrame, old: DataFrame) -> DataFrame:
+        new = fresh.join(old.select("content_key"), "content_key", "left_anti")
+        return new.select("content_key", embed(F.col("text")).cast("array<double>").alias("embedding"))
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        keyed = batch.select(content_key(F.col("text"), model).alias("content_key"), "text").where("content_key is not null").dropDuplicates(["content_key"])
+        table.commit(_stream_id(spark, checkpoint), number, keyed.withColumn("b", table.bucket()), unseen, replace=False)
+        batch.unpersist()
+
+    return texts.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def embed_once(texts: DataFrame, path: str, checkpoint: str, model: str, embed: Callable[[Column], Column]) -> StreamingQuery:
-    """Append (content_key, embedding) for texts whose key has not been seen; the seen keys are the stream's state."""
-    keyed = texts.select(content_key(F.col("text"), model).alias("content_key"), "text").dropDuplicates(["content_key"])
-    out = keyed.select("content_key", embed(F.col("text")).alias("embedding"))
-    return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def read_embedded(spark: SparkSession, path: str) -> DataFrame:
+    """(content_key, embedding) of :func:`embed_once`."""
+    return BucketTable(spark, path, EMBEDDED, "content_key").rows()

@@ -314,25 +314,6 @@ def test_places_across_pieces(spark):
     assert len(got) == 2001
 
 
-def test_upserts_touch_only_their_buckets(spark, tmp_path):
-    from lodestone.streaming import ingest
-
-    schema = "chunk_id string, version long, text string"
-    writes = [[("a", 1, "a1"), ("b", 5, "b5"), ("c", 1, "c1")], [("a", 3, "a3"), ("b", 2, "late")], [("a", 4, "a4"), ("d", 1, None)], [("a", 6, "a6")], [("a", 7, "a7")]]
-    source, path = tmp_path / "in", str(tmp_path / "out")
-    want = {}
-    for i, batch in enumerate(writes):
-        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source))
-        stream = spark.readStream.schema(schema).parquet(str(source))
-        ingest.upsert_texts(spark, stream, path, str(tmp_path / "c"), buckets=4).awaitTermination()
-        for key, version, text in batch:
-            want[key] = max(want.get(key, (0, "")), (version, text), key=lambda x: x[0])
-        rows = ingest.read_upserted(spark, path, stream.schema).collect()
-        assert {r["chunk_id"]: (r["version"], r["text"]) for r in rows} == want and len(rows) == len(want), i
-    kept = Counter(p.name for p in (tmp_path / "out").glob("v=*/b=*"))
-    assert max(kept.values()) == 2 and len([p for p in (tmp_path / "out").glob("v=4/b=*")]) == 1
-
-
 def test_extraction_with_a_generator(spark):
     chunks = spark.createDataFrame([("c0", "Ada knows Bob."), ("c1", "  ")], "chunk_id string, text string")
     answer = lambda prompt: F.when(prompt.contains("keywords<|>strength") & prompt.contains("Ada"), F.lit('("relationship"<|>Ada<|>Bob<|>knows<|>people<|>7)<|COMPLETE|>'))
