@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
+from lodestone.functions.blocks import matrix
 from lodestone.functions.keys import seeded_order
-from lodestone.operators.nearest import nearest, nearest_scalar, ranked
+from lodestone.functions.stored import stored
+from lodestone.operators.nearest import nearest, nearest_scalar, numbered, ranked, with_group
 
 
 def row_zscores(scores: DataFrame) -> DataFrame:
@@ -120,17 +122,81 @@ def bigram_counts(sequences: DataFrame, tokens: str = "tokens") -> DataFrame:
     return rows.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bigram_signatures(sequences: DataFrame, width: int) -> DataFrame:
-    """(token, vector): each token's largest ``width`` following-token counts, padded with zeros."""
-    top = ranked(bigram_counts(sequences), ["first"], [F.desc("n"), "second"], width)
-    lists = top.groupBy(F.col("first").alias("token")).agg(F.reverse(F.sort_array(F.collect_list(F.col("n").cast("double")))).alias("v"))
-    return lists.select("token", V.resized(F.col("v"), width).alias("vector"))
+def bigram_signatures(sequences: DataFrame, tokens: str = "tokens") -> DataFrame:
+    """(token, runs, square): each token's following-token counts, largest first, as runs (n, times); ``square`` is their squared norm.
 
+    Few counts are large and different, so runs are short where the list of all counts is as long as the vocabulary.
+    """
+    counts = bigram_counts(sequences, tokens).groupBy(F.col("first").alias("token"), "n").agg(F.count(F.lit(1)).alias("times"))
+    runs = F.reverse(F.sort_array(F.collect_list(F.struct("n", "times"))))
+    return counts.groupBy("token").agg(runs.alias("runs"), F.sum(F.col("n") * F.col("n") * F.col("times")).alias("square"))
+
+
+NORM_ROWS = 4096  # signatures that a query is compared with at once
 
-def bigram_substitution(observed: DataFrame, reference: DataFrame, width: int = 32) -> DataFrame:
-    """(prompt, tokens): observed sequences with each token replaced by the reference token of the nearest bigram signature."""
-    near = nearest(bigram_signatures(observed, width).select(F.col("token").alias("query_id"), "vector"), bigram_signatures(reference, width).select(F.col("token").alias("id"), "vector"), 1, "l2")
-    places = observed.select("prompt", F.posexplode("tokens").alias("pos", "token")).join(near.select(F.col("query_id").alias("token"), F.col("id").alias("guess")), "token", "left")
+
+def nearest_signatures(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(token, guess, distance2): for each token of ``asked`` the token of ``known`` of the nearest signature by L2, ties to the smaller token.
+
+    Equal signatures are compared once.  Signatures lie in ranges of their norms.  Norms differ by no more
+    than signatures do, so the nearest in a query's own range bounds the ranges that it must also visit.
+    """
+    kinds = lambda rows: rows.groupBy("runs", "square").agg(F.min("token").alias("id"))
+    q = stored(kinds(asked).select(F.col("id").alias("query_id"), "runs", "square", F.sqrt("square").alias("norm")), "asked")
+    c = stored(kinds(known).select("id", "runs", "square", F.sqrt("square").alias("norm")), "known")
+    ranges = max(1, c.count() // NORM_ROWS)
+    cuts = sorted(set(c.agg(F.percentile_approx("norm", [i / ranges for i in range(1, ranges)], 10 * ranges)).first()[0])) if ranges > 1 else []
+    marks = F.array(*[F.lit(float(x)) for x in cuts]) if cuts else F.array().cast("array<double>")
+    place = lambda v: F.size(F.filter(marks, lambda m: m <= v))
+    c = c.withColumn("range", place(F.col("norm")))
+
+    def compare(asked, own):
+        if not asked.num_rows or not own.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "distance2": pa.array([], pa.int64())})
+        own = own.sort_by("id")
+        ids, square, norm = (own.column(n).to_numpy() for n in ("id", "square", "norm"))
+        runs = own.column("runs").combine_chunks()
+        size = np.diff(runs.offsets.to_numpy())
+        flat = runs.flatten()
+        n, times = (flat.field(k).to_numpy() for k in (0, 1))
+        first = np.cumsum(size) - size
+        end = np.cumsum(times)
+        end = end - np.repeat(end[first] - times[first], size)  # places within each signature
+        out = []
+        for row in asked.to_pylist():
+            mine = [(r["n"], r["times"]) for r in row["runs"]]
+            at = np.cumsum([0, *(t for _, t in mine)])
+            total = np.cumsum([0, *(v * t for v, t in mine)])
+            upto = lambda x: np.interp(x, at, total)  # noqa: B023, E731 - the sum of the first x counts
+            product = np.add.reduceat(n * (upto(end) - upto(end - times)), first)
+            d = row["square"] + square - 2 * np.rint(product).astype(np.int64)
+            k = int(d.argmin())
+            out.append((row["query_id"], int(ids[k]), int(d[k])))
+        return pa.table({name: pa.array([o[k] for o in out], pa.int64()) for k, name in enumerate(("query_id", "id", "distance2"))})
+
+    def met(visits: DataFrame) -> DataFrame:
+        salted = visits.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(8)).cast("int"))
+        members = c.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+        return salted.groupBy("range", "salt").cogroup(members.groupBy("range", "salt")).applyInArrow(compare, "query_id long, id long, distance2 long")
+
+    first = stored(met(q.withColumn("range", place(F.col("norm")))), "first")
+    spans = c.groupBy("range").agg(F.min("norm").alias("least"), F.max("norm").alias("most")).collect()  # a row for each range
+    reach = F.sqrt(F.coalesce("distance2", F.lit(float("inf")))) + F.lit(1e-6)
+    wanted = F.filter(F.array(*[F.struct(F.lit(r["range"]).alias("range"), F.lit(r["least"]).alias("least"), F.lit(r["most"]).alias("most")) for r in spans]), lambda x: (x["least"] <= F.col("norm") + reach) & (x["most"] >= F.col("norm") - reach)) if spans else F.array().cast("array<struct<range: int, least: double, most: double>>")
+    further = q.join(first.select("query_id", "distance2"), "query_id", "left").withColumn("own", place(F.col("norm"))).withColumn("x", F.explode(wanted)).where("x.range <> own")
+    both = first.union(met(further.select("query_id", "runs", "square", "norm", F.col("x.range").alias("range"))))
+    best = both.groupBy("query_id").agg(F.min(F.struct("distance2", "id")).alias("b"))
+    named = q.join(best, "query_id").select("runs", F.col("b.id").alias("guess"), F.col("b.distance2").alias("distance2"))
+    return asked.join(named, "runs").select("token", "guess", "distance2")
+
+
+def bigram_substitution(observed: DataFrame, reference: DataFrame) -> DataFrame:
+    """(prompt, tokens): observed sequences with each token replaced by the reference token of the nearest bigram signature.
+
+    A token that is followed by nothing anywhere stays as it is.
+    """
+    near = nearest_signatures(bigram_signatures(observed), bigram_signatures(reference))
+    places = observed.select("prompt", F.posexplode("tokens").alias("pos", "token")).join(near.select("token", "guess"), "token", "left")
     return places.groupBy("prompt").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("guess", "token").alias("t")))), lambda s: s["t"]).alias("tokens"))
 
 
@@ -180,7 +246,7 @@ class Ridge:
             total = None
             for batch in batches:
                 if batch.num_rows:
-                    a, b = (np.array(batch.column(c).to_pylist(), np.float64) for c in (0, 1))
+                    a, b = matrix(batch.column(0)), matrix(batch.column(1))
                     both = np.hstack([np.ones((len(a), 1)), a, b])
                     total = both.T @ both if total is None else total + both.T @ both
                     self_dim = a.shape[1]
@@ -295,6 +361,69 @@ def vote_match(scores: list[DataFrame], k: int) -> DataFrame:
     return ranked(total, ["query_id"], [F.desc("score"), "id"], k).select("query_id", "rank", "id", "score")
 
 
+def moments(rows: DataFrame, vector: str = "vector") -> np.ndarray:
+    """The matrix of sums of products of (1, vector) over all rows: counts, sums and squares that add up over partitions."""
+
+    def sums(batches):
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0))
+                both = np.hstack([np.ones((len(x), 1)), x])
+                total = both.T @ both if total is None else total + both.T @ both
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tobytes()], pa.binary())], names=["m"])
+
+    return _added(rows.select(V.doubles(F.col(vector))).mapInArrow(sums, "m binary"), rows.rdd.getNumPartitions())
+
+
+def _added(partial: DataFrame, parts: int) -> np.ndarray:
+    """The sum of square matrices (m, as bytes), of which tasks add some ``TREE`` each; 0 by 0 if there are none."""
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for m in batch.column(0).to_pylist():
+                total = np.frombuffer(m).copy() if total is None else total + np.frombuffer(m)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+
+    while parts > 1:
+        parts = -(-parts // TREE)
+        partial = partial.repartition(parts).mapInArrow(add, "m binary")
+    found = partial.first()
+    m = np.frombuffer(found["m"]) if found else np.zeros(0)
+    return m.reshape(math.isqrt(len(m)), -1)
+
+
+def vote_search(sources: list[tuple[DataFrame, DataFrame]], k: int, bins: int = 16) -> DataFrame:
+    """What :func:`vote_match` gives for :func:`feature_scores` of several (left, right) tables, without a row for each pair.
+
+    The mean and the deviation of a row's cosines follow from the moments of the right features, a first
+    pass over them; the sum of z-scores is then one product of weighted features side by side, less a number
+    for each row, and a second pass keeps the ``k`` best.  All sources hold the same ids.
+    """
+    left = right = None
+    for n, (a, b) in enumerate(sources):
+        unit = lambda t: t.select("id", V.normalized(V.sorted_quantiles(F.col("vec"), bins)).alias(f"f{n}"))  # noqa: B023, E731
+        f, g = unit(a), unit(b)
+        m = moments(g, f"f{n}")
+        if not len(m):
+            m = np.zeros((bins + 1, bins + 1))
+        count = max(m[0, 0], 1.0)
+        mean, square = F.array(*[F.lit(float(x)) for x in m[0, 1:] / count]), F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in m[1:, 1:] / count])
+        average = V.dot(F.col(f"f{n}"), mean)
+        second = V.dot(F.col(f"f{n}"), F.transform(square, lambda row: V.dot(row, F.col(f"f{n}"))))  # noqa: B023
+        spread = F.sqrt(F.greatest(second - average * average, F.lit(0.0)))
+        f = f.withColumns({"_m": average, "_s": spread}).withColumn("_s", F.when(F.col("_s") < 1e-8, 1.0).otherwise(F.col("_s")))
+        f = f.select("id", F.transform(f"f{n}", lambda x: x / F.col("_s")).alias(f"f{n}"), (F.col("_m") / F.col("_s")).alias(f"o{n}"))
+        left, right = (f, g) if left is None else (left.join(f, "id"), right.join(g, "id"))
+    names = range(len(sources))
+    q = left.select(F.col("id").alias("query_id"), F.concat(*[F.col(f"f{n}") for n in names]).alias("vector"), sum((F.col(f"o{n}") for n in names), F.lit(0.0)).alias("less"))
+    found = nearest(q, right.select("id", F.concat(*[F.col(f"f{n}") for n in names]).alias("vector")), k, "dot")
+    return found.join(q.select("query_id", "less"), "query_id").select("query_id", "rank", "id", F.round(F.col("score") - F.col("less"), 9).alias("score"))
+
+
 def feature_scores(left: DataFrame, right: DataFrame, bins: int = 16) -> DataFrame:
     """(row, candidate, score): cosine of sorted-quantile features of (id, vec) tables, all pairs of the audit's candidates."""
     f = lambda t, n: t.select(F.col("id").alias(n), V.sorted_quantiles(F.col("vec"), bins).alias("vector"))
@@ -339,17 +468,46 @@ def fingerprint_risk(distances: DataFrame, by: list[str]) -> DataFrame:
     return medians.withColumn("risk", risk_level(1 - F.col("median") / math.sqrt(2)))
 
 
+GRAM_ROWS = 4096  # rows whose products a task adds at once
+
+
+def column_grams(rows: DataFrame, by: list[str], cap: int | None = None) -> DataFrame:
+    """(by..., part, m): column Gram matrices as bytes, summed over parts of a group so that a few remain for any size of group."""
+    kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
+    v = V.doubles(F.slice("vec", 1, cap) if cap else F.col("vec"))
+    sizes = rows.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / GRAM_ROWS).cast("long").alias("_parts"))
+    dealt = with_group(rows.select(*by, v.alias("vec")), sizes, by).withColumn("part", F.pmod(F.xxhash64("vec"), F.col("_parts")))
+
+    def named(key, table, total):
+        keys = [pa.array([key[n].as_py()], table.schema.field(b).type) for n, b in enumerate(by)]
+        return pa.table([*keys, pa.array([key[len(by)].as_py()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=[*by, "part", "m"])
+
+    def product(key, table):
+        x = matrix(table.column("vec"))
+        return named(key, table, x.T @ x)
+
+    def add(key, table):
+        return named(key, table, sum(np.frombuffer(m) for m in table.column("m").to_pylist()))
+
+    grams = dealt.select(*by, "part", "vec").groupBy(*by, "part").applyInArrow(product, f"{kinds}, part long, m binary")
+    return grams.withColumn("part", F.floor(F.col("part") / 256)).groupBy(*by, "part").applyInArrow(add, f"{kinds}, part long, m binary")
+
+
 def column_gram_error(observed: DataFrame, plain: DataFrame, by: list[str], cap: int | None = None) -> DataFrame:
-    """(by..., error): relative Frobenius error of the column Gram matrices, over the first ``cap`` columns if given."""
+    """(by..., error): relative Frobenius error of the column Gram matrices, over the first ``cap`` columns if given; null where the plain one is zero."""
+    kinds = ", ".join(f"`{b}` {plain.schema[b].dataType.simpleString()}" for b in by)
+    both = column_grams(observed, by, cap).withColumn("side", F.lit(0)).union(column_grams(plain, by, cap).withColumn("side", F.lit(1)))
 
-    def gram(rows: DataFrame, name: str) -> DataFrame:
-        v = F.slice("vec", 1, cap) if cap else F.col("vec")
-        cells = rows.select(*by, F.posexplode(v).alias("i", "a"), v.alias("v")).select(*by, "i", "a", F.posexplode("v").alias("j", "b"))
-        return cells.groupBy(*by, "i", "j").agg(F.sum(F.col("a") * F.col("b")).alias(name))
+    def error(key, table):
+        side, parts = table.column("side").to_pylist(), table.column("m").to_pylist()
+        keys = lambda n: [pa.array([key[k].as_py()] * n, table.schema.field(b).type) for k, b in enumerate(by)]
+        if len(set(side)) < 2:  # only one side has the group
+            return pa.table([*keys(0), pa.array([], pa.float64())], names=[*by, "error"])
+        x, y = (sum(np.frombuffer(m) for s, m in zip(side, parts, strict=True) if s == k) for k in (0, 1))
+        size = float(np.linalg.norm(y))
+        return pa.table([*keys(1), pa.array([float(np.linalg.norm(x - y)) / size if size > 0 else None], pa.float64())], names=[*by, "error"])
 
-    both = gram(observed, "x").join(gram(plain, "y"), [*by, "i", "j"])
-    parts = both.groupBy(*by).agg(F.sum((F.col("x") - F.col("y")) ** 2).alias("d"), F.sum(F.col("y") ** 2).alias("n"))
-    return parts.select(*by, F.sqrt(F.col("d") / F.when(F.col("n") > 0, F.col("n"))).alias("error"))
+    return both.groupBy(*by).applyInArrow(error, f"{kinds}, error double")
 
 
 def singular_values(rows: DataFrame, by: list[str], k: int | None = None, name: str = "vector") -> DataFrame:
@@ -427,12 +585,32 @@ def feature_correlations(rows: DataFrame, features: list[str], outcome: str) ->
     return long.groupBy("feature").agg(F.corr("x", "y").alias("r"))
 
 
+RANGES = 64  # pieces in which a group's values are sorted
+
+
+def gap_numbers(rows: DataFrame, by: list[str], value: str, eps: float, ranges: int = RANGES) -> DataFrame:
+    """(by..., value, n, cluster): distinct values with their counts; the cluster grows by one where the gap to the value before exceeds ``eps``.
+
+    A group is cut at quantiles into pieces of about equal size, which are sorted on their own; the last value
+    and the number of gaps of each piece are carried to the next one.  Nulls take no part.
+    """
+    values = stored(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), "values")
+    cuts = values.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
+    dealt = with_group(values, cuts, by).withColumn("_piece", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col(value)))).drop("_cuts")
+    w = Window.partitionBy(*by, "_piece").orderBy(value)
+    marked = dealt.withColumn("_gaps", F.sum(F.coalesce((F.col(value) - F.lag(value).over(w) > eps).cast("long"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = stored(marked, "marked")
+    line = Window.partitionBy(*by).orderBy("_piece")  # at most ``ranges`` rows of a group
+    pieces = marked.groupBy(*by, "_piece").agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.max("_gaps").alias("_inner"))
+    pieces = pieces.withColumn("_opens", F.coalesce((F.col("_low") - F.lag("_high").over(line) > eps).cast("long"), F.lit(0)))
+    before = F.sum(F.col("_opens") + F.col("_inner")).over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inner")
+    placed = with_group(marked, pieces.select(*by, "_piece", before.alias("_before")), [*by, "_piece"])
+    return placed.select(*by, value, "n", (F.col("_gaps") + F.col("_before")).alias("cluster"))
+
+
 def gap_clusters(rows: DataFrame, by: list[str], value: str, eps: float) -> DataFrame:
-    """(by..., cluster, size, low, high): sorted values split where the gap exceeds ``eps``."""
-    w = Window.partitionBy(*by).orderBy(value)
-    marked = rows.select(*by, value).withColumn("new", F.coalesce((F.col(value) - F.lag(value).over(w) > eps).cast("int"), F.lit(0)))
-    numbered = marked.withColumn("cluster", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*by, "cluster").agg(F.count(F.lit(1)).alias("size"), F.min(value).alias("low"), F.max(value).alias("high"))
+    """(by..., cluster, size, low, high): sorted values split where the gap exceeds ``eps``; nulls take no part."""
+    return gap_numbers(rows, by, value, eps).groupBy(*by, "cluster").agg(F.sum("n").alias("size"), F.min(value).alias("low"), F.max(value).alias("high"))
 
 
 def spans_of(values: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
@@ -453,23 +631,21 @@ def spans_of(values: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
 def span_clusters(rows: DataFrame, by: list[str], value: str, eps: float) -> DataFrame:
     """(by..., cluster, size, low): greedy clusters from the smallest value whose span is at most ``eps``; nulls take no part.
 
-    Values are first split where the gap exceeds ``eps``, as no cluster spans such a gap; a task folds
-    one such piece, so it holds the values of one run of near values and not of a whole group.
+    Values are first split where the gap exceeds ``eps``, as no cluster spans such a gap; a task folds the
+    distinct values of one such piece and not of a whole group.
     """
-    w = Window.partitionBy(*by).orderBy(value)
-    marked = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    marked = marked.withColumn("_new", F.coalesce((F.col("_v") - F.lag("_v").over(w.orderBy("_v")) > eps).cast("long"), F.lit(0)))
-    pieces = marked.withColumn("_piece", F.sum("_new").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)))
+    pieces = gap_numbers(rows.select(*by, F.col(value).cast("double").alias("_v")), by, "_v", eps)
     kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
 
     def fold(key, table):
-        values = np.sort(table.column("_v").to_numpy())
-        first, size = spans_of(values, eps)
-        own = [pa.array([key[n].as_py()] * len(first), table.schema.field(b).type) for n, b in enumerate(by)]
-        return pa.table([*own, pa.array(size, pa.int64()), pa.array(values[first], pa.float64())], names=[*by, "size", "low"])
+        table = table.sort_by("_v")
+        values, n = table.column("_v").to_numpy(), table.column("n").to_numpy()
+        first, _ = spans_of(values, eps)
+        own = [pa.array([key[k].as_py()] * len(first), table.schema.field(b).type) for k, b in enumerate(by)]
+        return pa.table([*own, pa.array(np.add.reduceat(n, first), pa.int64()), pa.array(values[first], pa.float64())], names=[*by, "size", "low"])
 
-    found = pieces.groupBy(*by, "_piece").applyInArrow(fold, f"{kinds}, size long, low double")
-    return ranked(found, by, ["low"], rank="cluster").select(*by, "cluster", "size", "low")
+    found = stored(pieces.groupBy(*by, "cluster").applyInArrow(fold, f"{kinds}, size long, low double"), "spans")
+    return numbered(found, by, "low", "cluster").select(*by, "cluster", "size", "low")
 
 
 # The widths for which pairs are analysed, and the least pairs of a useful cluster.
@@ -524,14 +700,26 @@ def compare_values(cells: DataFrame, by: str) -> DataFrame:
     return cells.groupBy(by).agg(*stats, F.max(d).alias("max_diff"), F.median(d).alias("median_diff"), F.corr("plain", "protected").alias("r"), F.avg((d <= 1e-4).cast("double")).alias("equal"))
 
 
-def label_repetition(rows: DataFrame, label: str) -> DataFrame:
-    """One row: total, distinct, median, mean and largest count of a label."""
+def label_repetition(rows: DataFrame, label: str, top: int = 10) -> DataFrame:
+    """One row: total, distinct, median, mean and largest count of a label, and the ``top`` largest counts."""
     counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.median("n").alias("median"), F.avg("n").alias("mean"), F.max("n").alias("max"))
+    most = counts.orderBy(F.desc("n")).limit(top).agg(F.reverse(F.sort_array(F.collect_list("n"))).alias("largest"))  # one row
+    stats = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"), F.median("n").alias("median"), F.avg("n").alias("mean"), F.max("n").alias("max"))
+    return stats.join(F.broadcast(most))
+
+
+def split_leakage(rows: DataFrame, key: str, label: str, seeds: tuple[int, ...] = (0,)) -> DataFrame:
+    """(seed, n, leak): test rows, and the share of them whose label is also a training label, for each seed's split."""
+    out = None
+    for seed in seeds:
+        split = split_rows(rows, key, seed=seed)
+        train = split.where("split = 'train'").select(label).distinct().withColumn("seen", F.lit(1.0))
+        one = split.where("split = 'test'").join(train, label, "left").agg(F.lit(seed).alias("seed"), F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.coalesce("seen", F.lit(0.0))), F.lit(0.0)).alias("leak"))
+        out = one if out is None else out.union(one)
+    return out
 
 
-def split_leakage(rows: DataFrame, key: str, label: str, seed: int = 0) -> DataFrame:
-    """Share of test rows whose label is also a training label."""
-    split = split_rows(rows, key, seed=seed)
-    train = split.where("split = 'train'").select(label).distinct().withColumn("seen", F.lit(1.0))
-    return split.where("split = 'test'").join(train, label, "left").agg(F.avg(F.coalesce("seen", F.lit(0.0))).alias("leak"))
+def token_pool(sequences: DataFrame, n: int, tokens: str = "tokens") -> DataFrame:
+    """(rank, token, n, share) of the ``n`` most frequent tokens, ties to the smaller token."""
+    top = token_frequencies(sequences, tokens).orderBy(F.desc("n"), "token").limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).select("rank", "token", "n", "share")

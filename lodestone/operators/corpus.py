@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 TOKEN_BYTES = 4
 
 
+BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]*")  # fixed value: white space of Unicode
+
+
 def chunk_spans(raw: bytes, size: int, overlap: int, least: int, separators: list[bytes]) -> list[tuple[int, int]]:
     """Byte ranges of a text's chunks; see :func:`chunk_documents`."""
 
@@ -23,7 +28,7 @@ def chunk_spans(raw: bytes, size: int, overlap: int, least: int, separators: lis
             at -= 1
         return at
 
-    if not raw.strip():
+    if not raw.strip() or (raw[0] >= 128 or raw[:1].isspace()) and BLANK.fullmatch(raw.decode("utf-8", "replace")):
         return []
     if len(raw) <= size:
         return [(0, len(raw))]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.stored import stored
 from lodestone.operators.corpus import extraction_prompt, generated, without_empty
 from lodestone.operators.lookups import first_seen
 from lodestone.operators.nearest import nearest, ranked
@@ -112,16 +113,26 @@ def relation_text(src: Column, tgt: Column, description: Column) -> Column:
     return F.concat(src, F.lit(" -> "), tgt, F.lit(": "), description)
 
 
+def chunk_counts(outputs: DataFrame, chunk: str = "chunk_id", raw: str = "raw") -> DataFrame:
+    """(chunk, empty, truncated, malformed, entities, relations) of each output; an output of white space of any kind is empty and is not read."""
+    per = parsed(outputs.where(_trimmed(F.col(raw)) != ""), chunk, raw).groupBy(chunk).agg(*[F.sum((F.col("kind") == k).cast("long")).alias(n) for k, n in (("malformed", "malformed"), ("entity", "entities"), ("relationship", "relations"))])
+    empty = _trimmed(F.coalesce(raw, F.lit(""))) == ""
+    rows = outputs.select(chunk, empty.alias("empty"), (~empty & ~F.contains(F.coalesce(raw, F.lit("")), F.lit(DONE))).alias("truncated"))
+    return rows.join(per, chunk, "left").select(chunk, "empty", "truncated", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("malformed", "entities", "relations")])
+
+
 def extraction_report(outputs: DataFrame, chunk: str = "chunk_id", raw: str = "raw") -> DataFrame:
-    """One row of counters: processed, skipped_empty, truncated, malformed, entities, relations."""
-    some = outputs.where(F.trim(raw) != "")
-    per = parsed(some, chunk, raw).groupBy(chunk).agg(*[F.sum((F.col("kind") == k).cast("int")).alias(k) for k in ("entity", "relationship", "malformed")])
-    rows = outputs.withColumn("empty", F.trim(raw) == "").join(per, chunk, "left")
-    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    return rows.agg(
-        F.sum((~F.col("empty")).cast("int")).alias("processed"), F.sum(F.col("empty").cast("int")).alias("skipped_empty"), F.sum((~F.col("empty") & ~F.contains(raw, F.lit(DONE))).cast("int")).alias("truncated"),
-        n("malformed").alias("malformed"), n("entity").alias("entities"), n("relationship").alias("relations"),
-    )
+    """One row of counters: processed, skipped_empty, truncated, malformed, entities, relations, dangling.
+
+    ``dangling`` are merged relations of which an end is no merged entity.
+    """
+    per = chunk_counts(outputs, chunk, raw)
+    n = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
+    counts = per.agg(F.sum((~F.col("empty")).cast("long")).alias("processed"), n("empty").alias("skipped_empty"), n("truncated").alias("truncated"), n("malformed").alias("malformed"), n("entities").alias("entities"), n("relations").alias("relations"))
+    drafts = stored(parsed(outputs.where(_trimmed(F.col(raw)) != ""), chunk, raw).where("kind <> 'malformed'").select("kind", "name", "target"), "drafts")
+    ends = drafts.where("kind = 'relationship'").select(F.least("name", "target").alias("src"), F.greatest("name", "target").alias("tgt")).distinct()
+    _, dangling = without_dangling(ends, drafts.where("kind = 'entity'").select("name").distinct())
+    return counts.join(F.broadcast(dangling))
 
 
 def relation_key(src: Column, tgt: Column) -> Column:
@@ -169,19 +180,22 @@ def graph_query(queries: DataFrame, entities: DataFrame, relations: DataFrame, m
         raise ValueError(f"unknown mode {mode}")
     place = lambda *parts: F.array(*[(F.lit(p) if isinstance(p, int) else F.col(p)).cast("long") for p in parts])  # noqa: E731 - arrays compare part by part
     seen = lambda kind, value, pos: F.struct(F.lit(kind).alias("kind"), value.alias("value"), pos.alias("pos"))
+    entities = stored(entities.select("id", "name", "vector"), "entities")  # searched, counted and looked up
     hits = nearest(queries.select("query_id", F.col("low").alias("vector")), entities.select("id", "vector"), k_entities)
     stream = hits.join(entities.select("id", "name"), "id").select("query_id", seen("name", F.col("name"), place(0, "rank")).alias("s"))
     if mode == "hybrid":
+        relations = stored(relations.select("id", "src", "tgt", "vector"), "relations")
         near = nearest(queries.select("query_id", F.col("high").alias("vector")), relations.select("id", "vector"), k_relations).join(relations.select("id", "src", "tgt"), "id")
         own = [seen("name", F.col("src"), place(1, "rank", 0)), seen("name", F.col("tgt"), place(1, "rank", 1)), seen("relation", relation_key(F.col("src"), F.col("tgt")), place(0, "rank"))]
         stream = stream.union(near.select("query_id", F.explode(F.array(*own))))
     stream = first_seen(stream.select("query_id", "s.*"), ["query_id", "kind"], "value", "pos")
     # A name is an entity of the answer and also looks up its relations and chunks; the rest passes the lookup unmatched.
     kinds = F.when(F.col("kind") == "name", F.array(F.lit("entity"), F.lit("name"))).otherwise(F.array("kind"))
-    asked = stream.select("query_id", F.explode(kinds).alias("kind"), F.col("value").alias("name"), "pos")
+    asked = stored(stream.select("query_id", F.explode(kinds).alias("kind"), F.col("value").alias("name"), "pos"), "asked")
+    names = asked.where("kind = 'name'").select("name").distinct()  # only what they name is ranked or carried on
     keys = relations.select(F.explode(F.array_distinct(F.array("src", "tgt"))).alias("name"), F.lit("relation").alias("part"), relation_key(F.col("src"), F.col("tgt")).alias("value"), F.col("id").cast("long").alias("nth"))
-    chunks = ranked(mentions, ["name"], ["pos"], k_chunks, "nth").select("name", F.lit("chunk").alias("part"), F.col("chunk_id").alias("value"), F.col("nth").cast("long").alias("nth"))
-    table = keys.unionByName(chunks).withColumn("kind", F.lit("name"))
+    chunks = ranked(mentions.join(names, "name", "left_semi"), ["name"], ["pos"], k_chunks, "nth").select("name", F.lit("chunk").alias("part"), F.col("chunk_id").alias("value"), F.col("nth").cast("long").alias("nth"))
+    table = keys.join(names, "name", "left_semi").unionByName(chunks).withColumn("kind", F.lit("name"))
     found = asked.join(table, ["kind", "name"], "left").where("kind <> 'name' OR value IS NOT NULL")
     after = F.concat("pos", F.array("nth"))
     pos = F.when(F.col("part") == "relation", F.concat(F.array(F.lit(1).cast("long")), after)).when(F.col("part") == "chunk", after).otherwise(F.col("pos"))

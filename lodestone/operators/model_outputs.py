@@ -51,7 +51,8 @@ def instruction_holds(text: Column, kind: Column, relation: Column, number: Colu
     paragraphs = F.size(F.filter(F.split(text, "\\n(?U:\\s)*\\n"), lambda s: F.rlike(s, F.lit("(?U)\\S"))))
     bare = lambda x: F.regexp_replace(x, "[.?!]+$", "")
     has = lambda w: F.contains(low, F.lower(w))
-    times = (F.length(low) - F.length(F.replace(low, F.lower(F.get(words, F.lit(0))), F.lit("")))) / F.length(F.get(words, F.lit(0)))
+    key = F.lower(F.get(words, F.lit(0)))
+    times = F.when(F.length(key) > 0, (F.length(low) - F.length(F.replace(low, key, F.lit("")))) / F.nullif(F.length(key), F.lit(0))).otherwise(F.length(low) + 1)  # an empty word stands before and behind each character
     return (
         F.when(kind == "no_comma", ~F.contains(text, F.lit(",")))
         .when(kind == "word_count", _related(word_count(text), relation, number)).when(kind == "sentence_count", _related(sentences, relation, number)).when(kind == "paragraph_count", _related(paragraphs, relation, number))

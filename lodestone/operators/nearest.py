@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
+from lodestone.functions.blocks import largest, matrix
 
 FEW = 10_000  # groups of which a table of one row each may be broadcast
 DECIMALS = 9  # scores are rounded to this many places before ranking, so that ties are ties on any machine
@@ -78,12 +79,10 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str =
     sign = 1.0 if metric == "l2" else -1.0
 
     def match(key, left, right):
-        out_q, out_i, out_s = [], [], []
+        out = [[np.zeros(0, t)] for t in (np.int64, np.int64, np.float64)]
         if left.num_rows and right.num_rows:
-            x, y = (np.array(t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(t.num_rows, -1) for t in (left, right))
-            qid, cid = left.column("query_id").to_numpy(), right.column("id").to_numpy()
-            order = np.argsort(cid, kind="stable")
-            cid, y = cid[order], y[order]
+            right = right.sort_by("id")
+            x, y, qid, cid = matrix(left.column("vector")), matrix(right.column("vector")), left.column("query_id").to_numpy(), right.column("id").to_numpy()
             for at in range(0, len(x), 256):
                 part = x[at : at + 256]
                 score = part @ y.T
@@ -92,18 +91,15 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str =
                 elif metric == "cosine":
                     size = np.linalg.norm(part, axis=1)[:, None] * np.linalg.norm(y, axis=1)
                     score = np.divide(score, size, out=np.zeros_like(score), where=size > 0)
-                score = np.round(score, DECIMALS)
-                rank = sign * score
+                near = -sign * np.round(score, DECIMALS)
                 if other:
-                    rank[qid[at : at + 256, None] == cid] = np.inf
-                best = np.argsort(rank, axis=1, kind="stable")[:, :k]
-                for row, cols in enumerate(best):
-                    cols = cols[np.isfinite(rank[row, cols])]
-                    out_q += [qid[at + row]] * len(cols)
-                    out_i += cid[cols].tolist()
-                    out_s += score[row, cols].tolist()
-        groups = [pa.array([key[n].as_py()] * len(out_q), type=left.schema.field(b).type if left.num_columns else None) for n, b in enumerate(by)]
-        return pa.table([*groups, pa.array(out_q, pa.int64()), pa.array(out_i, pa.int64()), pa.array(out_s, pa.float64())], names=[*by, "query_id", "id", "score"])
+                    near[qid[at : at + 256, None] == cid] = -np.inf
+                row, col = np.nonzero(np.isfinite(near)) if k is None else largest(near, k)
+                for values, more in zip(out, (qid[at + row], cid[col], -sign * near[row, col]), strict=True):
+                    values.append(more)
+        found = [np.concatenate(v) for v in out]
+        groups = [pa.array([key[n].as_py()] * len(found[0]), type=left.schema.field(b).type if left.num_columns else None) for n, b in enumerate(by)]
+        return pa.table([*groups, *found], names=[*by, "query_id", "id", "score"])
 
     found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(match, schema)
     order = [F.asc("score") if metric == "l2" else F.desc("score"), F.asc("id")]

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.stored import stored
 from lodestone.operators.nearest import DECIMALS, nearest, ranked
 
 
@@ -112,7 +113,7 @@ def overlap(ranking: DataFrame, baseline: DataFrame, k: int) -> DataFrame:
 
 def macro_average(ranking: DataFrame, qrels: DataFrame, k: int = 10) -> DataFrame:
     """One row of means over the queries that have judgements and a ranking."""
-    both = ranking.join(qrels.select("query_id").distinct(), "query_id", "left_semi")
+    both = stored(ranking.join(qrels.select("query_id").distinct(), "query_id", "left_semi"), "ranking")  # each measure reads it
     parts = ndcg(both, qrels, k).join(recall(both, qrels, k), "query_id").join(reciprocal_rank(both, qrels, k), "query_id")
     return parts.agg(F.count(F.lit(1)).alias("queries"), F.avg("ndcg").alias("ndcg"), F.avg("recall").alias("recall"), F.avg("mrr").alias("mrr"))
 

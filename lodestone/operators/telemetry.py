@@ -8,13 +8,31 @@ from pyspark.sql import functions as F
 from lodestone.operators.nearest import ranked, with_group
 
 
+WHOLE = 1_000_000  # rows of a group that one task sorts at most
+
+
 def rounded_percentiles(rows: DataFrame, by: list[str], value: str = "value", shares: tuple[float, ...] = (0.50, 0.95, 0.99), accuracy: int = 10_000) -> DataFrame:
     """n, mean, std (population) and the value at place round(p * (n - 1)) of the sorted values, for each p; nulls take no part.
 
-    Values are exact.  A sketch brackets each wanted place; values below a bracket are only counted, and
-    those within it, about 6 / ``accuracy`` of the group, are sorted, one row for each distinct value.
-    Groups of at most ``accuracy`` rows are sorted whole.
+    Values are exact.  If no group has more than ``WHOLE`` rows, each is sorted in a task.  Else a sketch
+    brackets each wanted place; values below a bracket are only counted, and those within it, about
+    6 / ``accuracy`` of the group, are sorted, one row for each distinct value.
     """
+    most = rows.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return _sorted_percentiles(rows, by, value, shares) if most <= WHOLE else _sketched_percentiles(rows, by, value, shares, accuracy)
+
+
+def _sorted_percentiles(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...]) -> DataFrame:
+    given = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    group = Window.partitionBy(*by)
+    placed = given.select(*by, "_v", F.count(F.lit(1)).over(group).alias("_n"), F.avg("_v").over(group).alias("_mean"), F.stddev_pop("_v").over(group).alias("_std"), (F.row_number().over(group.orderBy("_v")) - 1).alias("_at"))
+    wanted = [F.round(F.lit(float(p)) * (F.col("_n") - 1)) for p in shares]
+    kept = placed.where(F.col("_at").cast("double").isin(*wanted))
+    picks = [F.max(F.when(F.col("_at") == w, F.col("_v"))).alias(f"p{round(p * 100)}") for p, w in zip(shares, wanted, strict=True)]
+    return kept.groupBy(*by).agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.first("_std").alias("std"), *picks)
+
+
+def _sketched_percentiles(rows: DataFrame, by: list[str], value: str, shares: tuple[float, ...], accuracy: int) -> DataFrame:
     given = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
     few, reach = F.col("_n") <= accuracy, 3 / accuracy
     ends = [F.percentile_approx("_v", [min(max(p + side * reach, 0.0), 1.0) for p in shares], accuracy).alias(name) for side, name in ((-1, "_low"), (1, "_high"))]

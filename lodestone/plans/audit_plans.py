@@ -42,9 +42,9 @@ def a03(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", A.risk_level(rate).alias("risk"))
 
 
-def split_sql(source: str, key: str, sizes: str, names: tuple[str, ...] = ("train", "validation", "test")) -> str:
+def split_sql(source: str, key: str, sizes: str, names: tuple[str, ...] = ("train", "validation", "test"), seed: int = 0) -> str:
     """SQL: (key, split) of the distinct-key table ``source``; ``sizes`` are the sizes of all splits but the last, of the total n."""
-    order = f"row_number() OVER (ORDER BY ('0x' || substr(md5('0|' || {key}), 1, 15))::BIGINT, {key})"
+    order = f"row_number() OVER (ORDER BY ('0x' || substr(md5('{seed}|' || {key}), 1, 15))::BIGINT, {key})"
     sizes = sizes.split(";")
     cases = " ".join(f"WHEN k <= {' + '.join(sizes[: i + 1])} THEN '{name}'" for i, name in enumerate(names[:-1]))
     return f"SELECT {key}, CASE {cases} ELSE '{names[-1]}' END AS split FROM (SELECT {key}, {order} AS k, count(*) OVER () AS n FROM {source})"
@@ -102,13 +102,32 @@ def a09(spark, sf):
     return A.bigram_counts(conversations(spark, sf))
 
 
-@query("a10_bigram_substitution")
+@query("a07_token_pool", f"WITH {TOKENS}, t AS (SELECT unnest(tokens) AS token FROM k), c AS (SELECT token, count(*) AS n, {sql6('count(*) / (SELECT count(*) FROM t)')} AS share, row_number() OVER (ORDER BY count(*) DESC, token) - 1 AS rank FROM t GROUP BY token) SELECT rank, token, n, share FROM c WHERE rank < 500")
+def a07_pool(spark, sf):
+    return A.token_pool(conversations(spark, sf), 500).withColumn("share", r6("share"))
+
+
+def observed(rows):
+    """Other numbers for the tokens, of which every fifth is lost."""
+    return rows.withColumn("tokens", F.transform("tokens", lambda t, i: F.when(i % 5 == 4, F.lit(7).cast("long")).otherwise(t * 3 + 7)))
+
+
+SIGNATURES = """o AS (SELECT prompt, list_transform(range(len(tokens)), lambda i: CASE WHEN i % 5 = 4 THEN 7 ELSE tokens[i + 1] * 3 + 7 END) AS tokens FROM k),
+ s AS (SELECT side, token, list(n ORDER BY n DESC) AS v FROM (SELECT side, p[1] AS token, p[2] AS after, count(*) AS n FROM (SELECT 'o' AS side, unnest(list_zip(tokens[:len(tokens) - 1], tokens[2:])) AS p FROM o WHERE len(tokens) > 1 UNION ALL SELECT 'r', unnest(list_zip(tokens[:len(tokens) - 1], tokens[2:])) FROM k WHERE len(tokens) > 1) GROUP BY ALL) GROUP BY ALL),
+ q AS (SELECT DISTINCT v FROM s WHERE side = 'o'), c AS (SELECT v, min(token) AS id FROM s WHERE side = 'r' GROUP BY v),
+ d AS (SELECT q.v, c.id, list_sum(list_transform(range(greatest(len(q.v), len(c.v))), lambda i: (coalesce(q.v[i + 1], 0) - coalesce(c.v[i + 1], 0)) * (coalesce(q.v[i + 1], 0) - coalesce(c.v[i + 1], 0)))) AS far FROM q, c),
+ g AS (SELECT v, first(id ORDER BY far, id) AS guess FROM d GROUP BY v),
+ m AS (SELECT token, guess FROM s JOIN g USING (v) WHERE side = 'o'),
+ x AS (SELECT prompt, unnest(range(len(tokens))) AS pos, unnest(tokens) AS token FROM o)"""
+
+
+@query("a10_bigram_substitution", f"WITH {TOKENS}, {SIGNATURES} SELECT prompt, count(*) AS n, md5(string_agg(coalesce(guess, token)::VARCHAR, ' ' ORDER BY pos)) AS digest FROM x LEFT JOIN m USING (token) GROUP BY prompt")
 def a10(spark, sf):
     rows = conversations(spark, sf)
-    return A.bigram_substitution(swapped(rows), rows).select("prompt", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("digest"))
+    return A.bigram_substitution(observed(rows), rows).select("prompt", F.size("tokens").cast("long").alias("n"), F.md5(F.array_join(F.col("tokens").cast("array<string>"), " ")).alias("digest"))
 
 
-GRAM = lambda n: f"SELECT prompt, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS g, side, {n} AS n FROM s, range(1, 2000) r(i) WHERE i <= len(w) - {n - 1}"
+GRAM = lambda n: f"SELECT prompt, array_to_string(list_slice(w, i, i + {n - 1}), ' ') AS g, side, {n} AS n FROM (SELECT *, unnest(range(1, len(w) - {n - 2})) AS i FROM s)"
 BLEU = f"WITH {TOKENS}, s AS (SELECT prompt, 'c' AS side, list_transform(range(len(tokens)), lambda i: CASE WHEN i % 5 = 4 THEN 0 ELSE tokens[i + 1] END) AS w FROM k UNION ALL SELECT prompt, 'r', tokens FROM k), g AS ({' UNION ALL '.join(GRAM(n) for n in range(1, 5))}), c AS (SELECT n, prompt, g, count(*) FILTER (side = 'c') AS a, count(*) FILTER (side = 'r') AS b FROM g GROUP BY ALL), o AS (SELECT n, sum(least(a, b)) AS hit, sum(a) AS every FROM c GROUP BY n)"
 
 
@@ -173,8 +192,7 @@ VOTE = f"WITH {X.E_SQL}, l AS (SELECT vec_id, list_sort(v) AS v FROM e), p AS (S
 @query("a17_vote_match", f"{VOTE} SELECT r AS query_id, c AS id FROM k WHERE rank = 0")
 def a17(spark, sf):
     left, right = two_sides(spark, sf)
-    scores = A.feature_scores(left, right)
-    return A.vote_match([scores, scores], 1).select("query_id", "id")
+    return A.vote_search([(left, right), (left, right)], 1).select("query_id", "id")
 
 
 def secret_matrix():
@@ -211,9 +229,9 @@ def a20(spark, sf):
     return A.gram_fingerprints(stretched(spark, sf), snapshots(spark, sf), BY).select("prompt_idx", "kind", r6("distance").alias("distance"))
 
 
-@query("a21_column_gram_error", f"{SNAP}, c AS (SELECT p, kd, i, j, sum(v[i] * v[j]) AS y, sum(w[i] * w[j]) AS x FROM o, range(1, 9) r(i), range(1, 9) s(j) GROUP BY ALL) SELECT p AS prompt_idx, 'k' || kd AS kind, {sql6('sqrt(sum((x - y) * (x - y)) / sum(y * y))')} AS error FROM c GROUP BY p, kd")
+@query("a21_column_gram_error", f"{SNAP}, c AS (SELECT p, kd, i, j, sum(v[i] * v[j]) AS y, sum(w[i] * w[j]) AS x FROM o, range(1, 65) r(i), range(1, 65) s(j) GROUP BY ALL) SELECT p AS prompt_idx, 'k' || kd AS kind, {sql6('sqrt(sum((x - y) * (x - y)) / sum(y * y))')} AS error FROM c GROUP BY p, kd")
 def a21(spark, sf):
-    return A.column_gram_error(stretched(spark, sf), snapshots(spark, sf), BY, cap=8).select("prompt_idx", "kind", r6("error").alias("error"))
+    return A.column_gram_error(stretched(spark, sf), snapshots(spark, sf), BY).select("prompt_idx", "kind", r6("error").alias("error"))
 
 
 @query("a22_spectrum_error")
@@ -364,11 +382,14 @@ def a37(spark, sf):
     return A.compare_values(rows, "prompt").select("prompt", *[r6(c).alias(c) for c in STATS])
 
 
-@query("a38_label_repetition", f"WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT sum(n)::BIGINT AS total, count(*) AS \"distinct\", {sql6('median(n)')} AS median, {sql6('avg(n)')} AS mean, max(n) AS max FROM n")
+@query("a38_label_repetition", f"WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT sum(n)::BIGINT AS total, count(*) AS \"distinct\", {sql6('median(n)')} AS median, {sql6('avg(n)')} AS mean, max(n) AS max, array_to_string(list_reverse_sort(list(n))[1:10], ',') AS largest FROM n")
 def a38(spark, sf):
-    return A.label_repetition(table(spark, sf, "orders"), "o_custkey").withColumns({"median": r6("median"), "mean": r6("mean")})
+    return A.label_repetition(table(spark, sf, "orders"), "o_custkey").withColumns({"median": r6("median"), "mean": r6("mean"), "largest": F.array_join(F.col("largest").cast("array<string>"), ",")})
+
+
+LEAK = " UNION ALL ".join(f"SELECT {seed} AS seed, split, o_custkey FROM ({split_sql('orders', 'o_orderkey', THREE.format(4), seed=seed)}) JOIN orders USING (o_orderkey)" for seed in range(3))
 
 
-@query("a38_split_leakage", f"WITH s AS ({split_sql('orders', 'o_orderkey', THREE.format(4))}), t AS (SELECT split, o_custkey FROM s JOIN orders USING (o_orderkey)) SELECT avg(CASE WHEN o_custkey IN (SELECT o_custkey FROM t WHERE split = 'train') THEN 1.0 ELSE 0.0 END) AS leak FROM t WHERE split = 'test'")
+@query("a38_split_leakage", f"WITH t AS ({LEAK}), r AS (SELECT DISTINCT seed, o_custkey FROM t WHERE split = 'train') SELECT t.seed, count(*) AS n, {sql6('avg(CASE WHEN r.seed IS NULL THEN 0.0 ELSE 1.0 END)')} AS leak FROM t LEFT JOIN r ON r.seed = t.seed AND r.o_custkey = t.o_custkey WHERE split = 'test' GROUP BY t.seed")
 def a38_leak(spark, sf):
-    return A.split_leakage(table(spark, sf, "orders"), "o_orderkey", "o_custkey")
+    return A.split_leakage(table(spark, sf, "orders"), "o_orderkey", "o_custkey", seeds=(0, 1, 2)).withColumn("leak", r6("leak"))
