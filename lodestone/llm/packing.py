@@ -24,6 +24,8 @@ from lodestone.llm.common import extended, slices, written
 
 CAPACITY = 2048
 RARE = re.compile("[^\0-\u02ff]")
+SPACES = 100_000  # tiktoken's pattern gives up on about a million white-space characters in a row
+LONG_SPACE = re.compile(r"\s{%d}" % SPACES)
 # Fixed value: how byte-level pre-tokenizers split texts.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -64,14 +66,15 @@ class ByteEncoder:
     """Ids of texts as little-endian unsigned 32-bit integers, as the tokenizers library gives them.
 
     A byte-level vocabulary whose ids follow its merges goes through the faster tiktoken.  Texts with
-    characters beyond U+02FF, where the libraries' tables of letters may differ, go through tokenizers.
+    characters beyond U+02FF, where the libraries' tables of letters may differ, go through tokenizers, and
+    so do those with very long runs of white space, which tiktoken does not split.
     """
 
     def __init__(self, path: str):
         self.library, self.fast = tokenizer(path), fast_encoding(path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        slow = [k for k, t in enumerate(texts) if self.fast is None or RARE.search(t)]
+        slow = [k for k, t in enumerate(texts) if self.fast is None or RARE.search(t) or len(t) > SPACES and LONG_SPACE.search(t)]
         found = dict(zip(slow, self.library.encode_batch_fast([texts[k] for k in slow], add_special_tokens=False), strict=True)) if slow else {}
         return [np.array(found[k].ids, "<u4").tobytes() if k in found else self.fast.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for k, t in enumerate(texts)]
 
