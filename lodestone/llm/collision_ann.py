@@ -3,13 +3,15 @@
 Every vector is projected on single directions, and each projection keeps its vectors sorted.  A
 query opens a window around its own projection in every sorted array; windows widen together with
 the radius (virtual rehashing), so no array is built twice.  A vector that falls into enough windows
-is verified by its exact distance.  The search ends at the radius within which ``k`` vectors are found.
+is verified by its exact distance.  Once ``k`` are verified, the windows widen to the radius at which
+any vector as near as the k-th collides often enough, by a margin of standard deviations, and no further.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +23,16 @@ from pyspark.sql import functions as F
 class Settings:
     """``half_width`` x radius is half a window; at distance = radius a vector is in a window with probability 0.5.
 
-    ``share`` of the projections must collide.  ``block`` vectors are indexed and ``query_block``
+    ``share`` of the projections must collide; a vector as near as the k-th found is expected to collide
+    ``margin`` standard deviations more often than that when the search ends.  ``block`` vectors are indexed and ``query_block``
     queries answered by one group of rows.
     """
 
     k: int = 10
-    projections: int = 64
+    projections: int = 256
     half_width: float = 0.6745
-    share: float = 0.40
+    share: float = 0.70
+    margin: float = 1.5
     growth: float = 1.15
     first_radius: float = 0.02
     block: int = 8192
@@ -60,36 +64,53 @@ class SortedProjections:
         self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32).copy()
         self.values = np.sort(projected, axis=0).T.copy()
         self.least = max(1, int(len(self.turn) * s.share))
+        self.verified = 0  # distances computed so far
+        sure = min(s.share + s.margin * math.sqrt(s.share * (1 - s.share) / len(self.turn)), 1 - 1e-6)
+        self.reach = NormalDist().inv_cdf((1 + sure) / 2) / s.half_width  # radius in distances of the k-th vector
+        self.steps = 2 + int(math.log(4 * self.reach / s.first_radius) / math.log(s.growth)) if len(ids) else 0
         spread = float(np.abs(vectors).max()) * math.sqrt(vectors.shape[1])
         self.unit = max(spread, 1e-300) * s.first_radius
-        self.steps = 2 + int(math.log(4 / (s.first_radius * s.half_width)) / math.log(s.growth)) if len(ids) else 0
 
     def search(self, own: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of up to k nearest, without the vector whose id is ``own``."""
         s, n = self.s, len(self.ids)
-        radii = self.unit * s.growth ** np.arange(self.steps)
         at = self.turn @ query
-        low = np.stack([np.searchsorted(v, p - s.half_width * radii, side="left") for v, p in zip(self.values, at, strict=True)])
-        high = np.stack([np.searchsorted(v, p + s.half_width * radii, side="right") for v, p in zip(self.values, at, strict=True)])
+        radii = self.unit * s.growth ** np.arange(self.steps)
+
+        def windows(radius) -> tuple[np.ndarray, np.ndarray]:
+            half = s.half_width * radius
+            return tuple(np.stack([np.searchsorted(v, p + sign * half, side) for v, p in zip(self.values, at, strict=True)]) for sign, side in ((-1, "left"), (1, "right")))
+
+        low, high = windows(radii)
         counts, seen = np.zeros(n, np.int32), self.ids == own
         found, distance = np.zeros(0, np.int64), np.zeros(0)
-        left, right = low[:, 0], low[:, 0]
-        for step in range(self.steps + 1):
-            last = step == self.steps  # every window is full: verify what is left
-            if not last:
-                new = [o[a:b] for o, a, b in zip(self.order, low[:, step], left, strict=True) if a < b]
-                new += [o[a:b] for o, a, b in zip(self.order, right, high[:, step], strict=True) if a < b]
-                left, right = low[:, step], high[:, step]
-                if not new:
-                    continue
-                counts += np.bincount(np.concatenate(new), minlength=n).astype(np.int32)
-            fresh = np.flatnonzero(~seen if last else (counts >= self.least) & ~seen)
+        left = right = low[:, 0]
+
+        def widen(to_left: np.ndarray, to_right: np.ndarray, every: bool = False) -> float:
+            """Count the collisions of wider windows, verify, and say at which radius the k-th vector found is sure to have collided."""
+            nonlocal left, right, found, distance
+            new = [o[a:b] for o, a, b in zip(self.order, to_left, left, strict=True) if a < b]
+            new += [o[a:b] for o, a, b in zip(self.order, right, to_right, strict=True) if a < b]
+            left, right = to_left, to_right
+            if new:
+                np.add(counts, np.bincount(np.concatenate(new), minlength=n), out=counts, casting="unsafe")
+            fresh = np.flatnonzero(~seen if every else (counts >= self.least) & ~seen)
             if len(fresh):
                 seen[fresh] = True
                 found = np.concatenate([found, fresh])
                 distance = np.concatenate([distance, np.sqrt(((self.vectors[fresh] - query) ** 2).sum(axis=1))])
-            if not last and (distance <= radii[step]).sum() >= s.k or seen.all():
+            return np.partition(distance, s.k - 1)[s.k - 1] * self.reach if len(distance) >= s.k else math.inf
+
+        for step in range(self.steps):
+            wanted = widen(low[:, step], high[:, step])
+            if wanted <= radii[step] or seen.all():
+                break
+            if step + 1 < self.steps and wanted < radii[step + 1]:
+                widen(*windows(wanted))
                 break
+        else:  # every window is full: verify what is left
+            widen(left, right, every=True)
+        self.verified += len(found)
         best = np.lexsort((self.ids[found], distance))[: s.k]
         return self.ids[found[best]], distance[best]
 

@@ -431,6 +431,17 @@ def test_collision_search_recall_and_awkward_vectors(spark):
     assert collision_ann.search(frame.where("1 = 0"), few).count() == 0
 
 
+def test_collision_search_verifies_few():
+    x = np.random.default_rng(3).standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, hit = collision_ann.SortedProjections(np.arange(3000), x, collision_ann.Settings()), 0
+    for q in range(0, 3000, 100):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(set(index.search(q, x[q])[0].tolist()) & set(np.argsort(d)[:10].tolist()))
+    assert hit >= 0.95 * 300 and index.verified < 0.2 * 30 * 3000
+
+
 # 8 WARC
 
 
