@@ -96,7 +96,8 @@ def derivatives(records: DataFrame) -> DataFrame:
     """
     fields = ["record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "payload_digest", "block_digest", "block"]
     more = [c for c in records.columns if c not in fields]
-    source = records.where("record_type = 'response'").withColumn("cut", F.instr(F.col("block"), END))
+    response = records.where("record_type = 'response'").select(F.struct(*more).alias("more") if more else F.lit(None).alias("more"), *[F.col(c) for c in fields])
+    source = response.withColumn("cut", F.instr(F.col("block"), END))  # no column of ``more`` is beside these
     source = source.withColumns({
         "head": F.when(F.col("cut") > 0, F.expr("substring(block, 1, cut - 1)")).otherwise(""), "body": F.when(F.col("cut") > 0, F.expr("substring(block, cut + 4)")).otherwise(F.col("block")),
     })
@@ -114,7 +115,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     )
     both = source.withColumn("made", F.explode(kinds))
     return both.select(
-        *more, F.col("made.t").alias("record_type"), text_id(F.col("made.t"), F.col("record_id")).alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "warc_date",
+        *[F.col("more")[c].alias(c) for c in more], F.col("made.t").alias("record_type"), text_id(F.col("made.t"), F.col("record_id")).alias("record_id"), F.col("record_id").alias("refers_to"), "target_uri", "warc_date",
         F.col("made.c").alias("content_type"), F.octet_length("made.b").cast("long").alias("content_length"), F.col("payload_digest"), digest(F.col("made.b")).alias("block_digest"), F.col("made.b").alias("block"),
     )
 

@@ -264,11 +264,12 @@ def brute_signature(text: str, k: int = 16, l: int = 2, m: int = 48, run: int =
         return h - 2**64 if h >= 2**63 else h
 
     blank = set(" \t\n\x0b\f\r")
-    since = 0  # characters since the last white space, or the start
+    since = blanks = 0  # characters since the last white space, or the start; white space so far
     places = []
     for at, c in enumerate(text):
+        blanks = blanks + 1 if c in blank else 0
         if c in blank:
-            if at == 0 or text[at - 1] not in blank:
+            if blanks % run == 1:
                 places.append(at)
             since = 0
         else:
@@ -299,7 +300,7 @@ def brute_signature(text: str, k: int = 16, l: int = 2, m: int = 48, run: int =
 
 
 def test_signatures_equal_brute_force(spark):
-    texts = ["", " ", "a", "  a b", "word " * 40, "the end of the end of the end of", "日本語" * 30, "\U0001f600" * 20, "x" * 100 + "\n\n y", prose(80), "\tlead " + prose(30) + "\n", "é" * 9 + " " + "ß" * 7]
+    texts = ["", " ", "a", "  a b", "word " * 40, "the end of the end of the end of", "日本語" * 30, "\U0001f600" * 20, "x" * 100 + "\n\n y", prose(80), "\tlead " + prose(30) + "\n", "é" * 9 + " " + "ß" * 7, "a" + " " * 40 + "b" + "\n" * 13 + "c d", " " * 12]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for i, sig in rows.select("doc_id", order_minhash.signature(F.col("text"))).collect():
         assert list(sig) == brute_signature(texts[i]), texts[i]
@@ -323,6 +324,14 @@ def test_white_space_edits_count(spark):
     assert like(0, 1) < 0.1 and like(0, 2) > 0.8
 
 
+def test_long_white_space_counts(spark):
+    words = prose(60).split()
+    texts = [(" " * n).join(words[:30]) + "\n" * n + " ".join(words[30:]) for n in (20, 20_000)] + [" ".join(words) + " " * n + "end" for n in (100, 5_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sig = {r[0]: np.array(r[1]) for r in rows.select("doc_id", order_minhash.signature(F.col("text"))).collect()}
+    assert np.mean(sig[0] == sig[1]) < 0.2 and np.mean(sig[2] == sig[3]) < 0.3
+
+
 def test_edits_in_runs_without_blanks_and_long_texts(spark):
     """One inserted character leaves the rest alike, and all of a long text's k-mers are drawn from."""
     rng = random.Random(3)
@@ -464,6 +473,16 @@ def test_warc_round_trip_and_links(spark, tmp_path):
         assert len(back) == 9 and all(back[r["record_id"]]["block"] == r["block"] and back[r["record_id"]]["refers_to"] == r["refers_to"] for r in every.collect())
 
 
+def test_warc_keeps_columns_of_any_name(spark):
+    names = ("head", "cut", "body", "made", "more", "t", "links", "text")
+    pages = spark.createDataFrame([(1, "u", "<p>x</p>"), (2, None, None)], "page_id long, url string, html string")
+    source = warc.responses(pages).withColumns({n: F.lit(f"own {n}") for n in names})
+    made = warc.derivatives(source).collect()
+    assert len(made) == 4 and all(r[n] == f"own {n}" for r in made for n in names)
+    plain = {(r["page_id"], r["record_type"]): r["block"] for r in warc.derivatives(warc.responses(pages)).collect()}
+    assert plain == {(r["page_id"], r["record_type"]): r["block"] for r in made}
+
+
 def test_warc_many_headers_references_and_broken_lengths(spark, tmp_path):
     import gzip
 
