@@ -393,7 +393,7 @@ def _added(partial: DataFrame, parts: int) -> np.ndarray:
         partial = partial.repartition(parts).mapInArrow(add, "m binary")
     found = partial.first()
     m = np.frombuffer(found["m"]) if found else np.zeros(0)
-    return m.reshape(math.isqrt(len(m)), -1)
+    return m.reshape((math.isqrt(len(m)),) * 2)
 
 
 def vote_search(sources: list[tuple[DataFrame, DataFrame]], k: int, bins: int = 16) -> DataFrame:
@@ -588,21 +588,24 @@ def feature_correlations(rows: DataFrame, features: list[str], outcome: str) ->
 RANGES = 64  # pieces in which a group's values are sorted
 
 
-def gap_numbers(rows: DataFrame, by: list[str], value: str, eps: float, ranges: int = RANGES) -> DataFrame:
+def gap_numbers(rows: DataFrame, by: list[str], value: str, eps: float | str, ranges: int = RANGES) -> DataFrame:
     """(by..., value, n, cluster): distinct values with their counts; the cluster grows by one where the gap to the value before exceeds ``eps``.
 
+    ``eps`` is a number, or the name of one of the columns ``by``.
+
     A group is cut at quantiles into pieces of about equal size, which are sorted on their own; the last value
     and the number of gaps of each piece are carried to the next one.  Nulls take no part.
     """
+    wide = F.col(eps) if isinstance(eps, str) else F.lit(eps)
     values = stored(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n")), "values")
     cuts = values.groupBy(*by).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 10 * ranges).alias("_cuts"))
     dealt = with_group(values, cuts, by).withColumn("_piece", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c <= F.col(value)))).drop("_cuts")
     w = Window.partitionBy(*by, "_piece").orderBy(value)
-    marked = dealt.withColumn("_gaps", F.sum(F.coalesce((F.col(value) - F.lag(value).over(w) > eps).cast("long"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = dealt.withColumn("_gaps", F.sum(F.coalesce((F.col(value) - F.lag(value).over(w) > wide).cast("long"), F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     marked = stored(marked, "marked")
     line = Window.partitionBy(*by).orderBy("_piece")  # at most ``ranges`` rows of a group
     pieces = marked.groupBy(*by, "_piece").agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.max("_gaps").alias("_inner"))
-    pieces = pieces.withColumn("_opens", F.coalesce((F.col("_low") - F.lag("_high").over(line) > eps).cast("long"), F.lit(0)))
+    pieces = pieces.withColumn("_opens", F.coalesce((F.col("_low") - F.lag("_high").over(line) > wide).cast("long"), F.lit(0)))
     before = F.sum(F.col("_opens") + F.col("_inner")).over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_inner")
     placed = with_group(marked, pieces.select(*by, "_piece", before.alias("_before")), [*by, "_piece"])
     return placed.select(*by, value, "n", (F.col("_gaps") + F.col("_before")).alias("cluster"))
@@ -628,11 +631,11 @@ def spans_of(values: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(values)))
 
 
-def span_clusters(rows: DataFrame, by: list[str], value: str, eps: float) -> DataFrame:
+def span_clusters(rows: DataFrame, by: list[str], value: str, eps: float | str) -> DataFrame:
     """(by..., cluster, size, low): greedy clusters from the smallest value whose span is at most ``eps``; nulls take no part.
 
     Values are first split where the gap exceeds ``eps``, as no cluster spans such a gap; a task folds the
-    distinct values of one such piece and not of a whole group.
+    distinct values of one such piece and not of a whole group.  ``eps`` is a number, or one of the columns ``by``.
     """
     pieces = gap_numbers(rows.select(*by, F.col(value).cast("double").alias("_v")), by, "_v", eps)
     kinds = ", ".join(f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by)
@@ -640,7 +643,7 @@ def span_clusters(rows: DataFrame, by: list[str], value: str, eps: float) -> Dat
     def fold(key, table):
         table = table.sort_by("_v")
         values, n = table.column("_v").to_numpy(), table.column("n").to_numpy()
-        first, _ = spans_of(values, eps)
+        first, _ = spans_of(values, key[by.index(eps)].as_py() if isinstance(eps, str) else eps)
         own = [pa.array([key[k].as_py()] * len(first), table.schema.field(b).type) for k, b in enumerate(by)]
         return pa.table([*own, pa.array(np.add.reduceat(n, first), pa.int64()), pa.array(values[first], pa.float64())], names=[*by, "size", "low"])
 
@@ -660,14 +663,16 @@ def pair_coverage(pairs: DataFrame, by: list[str], epsilons: tuple[float, ...] =
     clustered with a span of at most ``eps``; coverage is the share of all pairs that lie in clusters of
     ``least`` or more.
     """
-    out = None
-    for eps in epsilons:
-        rows = pairs.select(*by, (F.abs(F.col("a") - F.col("b")) < eps).alias("same"), ((F.col("a") + F.col("b")) / 2).alias("mean"))
-        share = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), (100 * F.avg(F.col("same").cast("double"))).alias("symmetric"))
-        big = span_clusters(rows.where("same"), by, "mean", eps).where(F.col("size") >= least).groupBy(*by).agg(F.sum("size").alias("held"))
-        one = share.join(big, by, "left").select(*by, F.lit(eps).alias("eps"), "symmetric", (100 * F.coalesce("held", F.lit(0)) / F.col("n")).alias("coverage"))
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("verdict", coverage_verdict(F.col("coverage")))
+    rows = pairs.withColumn("eps", F.explode(F.array(*[F.lit(float(e)) for e in epsilons])))
+    rows = rows.select(*by, "eps", (F.abs(F.col("a") - F.col("b")) < F.col("eps")).alias("same"), ((F.col("a") + F.col("b")) / 2).alias("mean"))
+    keys = [*by, "eps"]
+    share = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (100 * F.avg(F.col("same").cast("double"))).alias("symmetric"))
+    big = span_clusters(rows.where("same"), keys, "mean", "eps").where(F.col("size") >= least).groupBy(*keys).agg(F.sum("size").alias("held"))
+    held = big.select(*[F.col(k).alias(f"_{k}") for k in keys], "held")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return share.join(held, same, "left").select(*keys, "symmetric", (100 * F.coalesce("held", F.lit(0)) / F.col("n")).alias("coverage")).withColumn("verdict", coverage_verdict(F.col("coverage")))
 
 
 def coverage_verdict(percent: Column) -> Column:

@@ -196,23 +196,33 @@ def a17(spark, sf):
 
 
 def secret_matrix():
-    return np.random.Generator(np.random.PCG64(9)).standard_normal((64, 64))
+    """A full 64 by 64 matrix by a rule that SQL can follow."""
+    i, j = np.meshgrid(np.arange(64), np.arange(64), indexing="ij")
+    return np.sin(1 + 12.9898 * i + 78.233 * j)
 
 
-@query("a18_scalar_invariants")
+PROJECTED = f"WITH {X.E_SQL}, p AS (SELECT vec_id, list_transform(range(64), lambda j: list_sum(list_transform(range(64), lambda i: v[i + 1] * sin(1 + 12.9898::DOUBLE * i + 78.233::DOUBLE * j)))) AS p FROM e)"
+SCALARS = "s AS (SELECT vec_id, list_sum(p) / 64 AS x FROM p), k AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(abs(q.x - c.x), 9) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(abs(q.x - c.x), 9), c.vec_id) - 1 AS rank FROM s q, s c)"
+
+
+@query("a18_scalar_invariants", f"{PROJECTED}, {SCALARS} SELECT query_id, rank, id, {sql6('distance')} AS distance FROM k WHERE rank < 3")
 def a18(spark, sf):
     from lodestone.operators.nearest import nearest_scalar
 
     left, right = two_sides(spark, sf)
     m = secret_matrix()
-    return nearest_scalar(A.scalar_invariants(left, m[::-1].copy()).select(F.col("id").alias("query_id"), "value"), A.scalar_invariants(right, m), 1)
+    near = nearest_scalar(A.scalar_invariants(left, m[::-1].copy()).select(F.col("id").alias("query_id"), "value"), A.scalar_invariants(right, m), 3)
+    return near.withColumn("distance", r6("distance"))
+
+
+ENERGIES = "b AS (SELECT vec_id, list_transform(range(4), lambda b: list_sum(list_transform(p[16 * b + 1:16 * b + 16], lambda x: x * x))) AS e FROM p), k AS (SELECT q.vec_id AS query_id, c.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, c.e), c.vec_id) - 1 AS rank FROM b q, b c)"
 
 
-@query("a19_block_energies")
+@query("a19_block_energies", f"{PROJECTED}, {ENERGIES} SELECT query_id, rank, id FROM k WHERE rank < 3")
 def a19(spark, sf):
     left, right = two_sides(spark, sf)
     m = secret_matrix()
-    return nearest(A.block_energies(left, m[::-1].copy()).withColumnRenamed("id", "query_id"), A.block_energies(right, m), 1, "l2")
+    return nearest(A.block_energies(left, m[::-1].copy()).withColumnRenamed("id", "query_id"), A.block_energies(right, m), 3, "l2").select("query_id", "rank", "id")
 
 
 BY = ["prompt_idx", "layer", "kind"]

@@ -57,10 +57,10 @@ def io04(spark, sf):
 
 @query("io05_read_kg_bundle", "SELECT 'S' || l_suppkey AS src, 'P' || l_partkey AS tgt, count(*) AS n FROM lineitem GROUP BY ALL")
 def io05(spark, sf):
-    li = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 8).alias("g"), F.struct(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("tgt")).alias("r"))
-    rows = li.groupBy("g").agg(F.collect_list("r").alias("relations")).select(F.to_json(F.struct("relations")).alias("value"))
+    li = table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 1000).alias("g"), F.struct(F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("tgt")).alias("r"))
+    rows = li.groupBy("g").agg(F.collect_list("r").alias("relations")).select("g", F.to_json(F.struct("relations")).alias("value"))
     path = place(spark, "bundle")
-    rows.repartition(8).write.text(path, lineSep="\n")
+    rows.write.partitionBy("g").text(path)  # a file for each bundle, of a thousand orders
     return R.read_kg_bundle(spark, path)[2].groupBy("src", "tgt").agg(F.count(F.lit(1)).alias("n"))
 
 
