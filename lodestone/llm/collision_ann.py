@@ -24,17 +24,20 @@ class Settings:
     """``half_width`` x radius is half a window; at distance = radius a vector is in a window with probability 0.5.
 
     ``share`` of the projections must collide; a vector as near as the k-th found is expected to collide
-    ``margin`` standard deviations more often than that when the search ends.  ``block`` vectors are indexed and ``query_block``
+    ``margin`` standard deviations more often than that when the search ends.  Radii start at ``first_radius``
+    of the median distance at which ``pilots`` vectors of a block have their k-th neighbour there, and grow by
+    ``growth``.  ``block`` vectors are indexed and ``query_block``
     queries answered by one group of rows.
     """
 
     k: int = 10
-    projections: int = 256
+    projections: int = 160
     half_width: float = 0.6745
     share: float = 0.70
-    margin: float = 1.5
+    margin: float = 1.0
     growth: float = 1.15
-    first_radius: float = 0.02
+    first_radius: float = 0.5
+    pilots: int = 32
     block: int = 8192
     query_block: int = 1024
     seed: int = 5
@@ -61,15 +64,28 @@ class SortedProjections:
         self.ids, self.vectors, self.s = ids, vectors, s
         self.turn = directions(vectors.shape[1], s)
         projected = vectors @ self.turn.T
-        self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32).copy()
-        self.values = np.sort(projected, axis=0).T.copy()
+        self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
+        values = np.sort(projected, axis=0).T
+        self.apart = 4 * float(np.abs(values).max(initial=1.0))  # the sorted arrays follow each other in one, shifted so far
+        self.shift = np.arange(len(self.turn)) * self.apart
+        self.flat = (values + self.shift[:, None]).ravel()
         self.least = max(1, int(len(self.turn) * s.share))
-        self.verified = 0  # distances computed so far
         sure = min(s.share + s.margin * math.sqrt(s.share * (1 - s.share) / len(self.turn)), 1 - 1e-6)
         self.reach = NormalDist().inv_cdf((1 + sure) / 2) / s.half_width  # radius in distances of the k-th vector
-        self.steps = 2 + int(math.log(4 * self.reach / s.first_radius) / math.log(s.growth)) if len(ids) else 0
-        spread = float(np.abs(vectors).max()) * math.sqrt(vectors.shape[1])
-        self.unit = max(spread, 1e-300) * s.first_radius
+        self.verified = 0  # distances computed so far
+        spread = max(float(np.abs(vectors).max(initial=0.0)) * math.sqrt(vectors.shape[1]), 1e-300)
+        self.unit = max(self.typical() * s.first_radius, spread * 0.01)
+        self.steps = 2 + int(math.log(max(4 * self.reach * spread / self.unit, 1.0)) / math.log(s.growth))
+
+    def typical(self) -> float:
+        """The median distance to the k-th neighbour of a few vectors, evenly picked; 0 if there are not so many."""
+        n, k = len(self.ids), self.s.k
+        if n <= k:
+            return 0.0
+        some = self.vectors[np.linspace(0, n - 1, min(n, self.s.pilots)).astype(int)]
+        square = (self.vectors**2).sum(axis=1)
+        d = np.partition((some**2).sum(axis=1)[:, None] + square - 2 * (some @ self.vectors.T), k, axis=1)[:, k]
+        return math.sqrt(max(float(np.median(d)), 0.0))
 
     def search(self, own: int, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of up to k nearest, without the vector whose id is ``own``."""
@@ -77,14 +93,17 @@ class SortedProjections:
         at = self.turn @ query
         radii = self.unit * s.growth ** np.arange(self.steps)
 
-        def windows(radius) -> tuple[np.ndarray, np.ndarray]:
-            half = s.half_width * radius
-            return tuple(np.stack([np.searchsorted(v, p + sign * half, side) for v, p in zip(self.values, at, strict=True)]) for sign, side in ((-1, "left"), (1, "right")))
+        first = np.arange(len(at)) * n
+
+        def windows(some) -> tuple[np.ndarray, np.ndarray]:
+            """Places in each sorted array where the windows of these radii begin and end."""
+            half = np.minimum(s.half_width * np.atleast_1d(some), self.apart / 4)
+            middle = (np.clip(at, -self.apart / 4, self.apart / 4) + self.shift)[:, None]
+            return tuple(np.searchsorted(self.flat, middle + sign * half, side) - first[:, None] for sign, side in ((-1, "left"), (1, "right")))
 
-        low, high = windows(radii)
         counts, seen = np.zeros(n, np.int32), self.ids == own
         found, distance = np.zeros(0, np.int64), np.zeros(0)
-        left = right = low[:, 0]
+        left = right = windows(0.0)[0][:, 0]
 
         def widen(to_left: np.ndarray, to_right: np.ndarray, every: bool = False) -> float:
             """Count the collisions of wider windows, verify, and say at which radius the k-th vector found is sure to have collided."""
@@ -102,11 +121,13 @@ class SortedProjections:
             return np.partition(distance, s.k - 1)[s.k - 1] * self.reach if len(distance) >= s.k else math.inf
 
         for step in range(self.steps):
-            wanted = widen(low[:, step], high[:, step])
+            if step % 8 == 0:
+                low, high = windows(radii[step : step + 8])
+            wanted = widen(low[:, step % 8], high[:, step % 8])
             if wanted <= radii[step] or seen.all():
                 break
             if step + 1 < self.steps and wanted < radii[step + 1]:
-                widen(*windows(wanted))
+                widen(*(side[:, 0] for side in windows(wanted)))
                 break
         else:  # every window is full: verify what is left
             widen(left, right, every=True)
