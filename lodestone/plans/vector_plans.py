@@ -171,7 +171,20 @@ def j02(spark, sf):
     return G.knn_graph(graph_rows(spark, sf), 8).select("src", "dst", "ordinal")
 
 
-@query("j03_diverse_neighbours")
+def greedy(candidates: str, m: int) -> str:
+    """SQL: r (src, i, ids) after walking the candidates (src, dst, i from 0) nearest first, keeping those nearer to src than to any kept."""
+    unit = lambda x: f"{MAP}({x}.v, lambda y: y / sqrt(list_dot_product({x}.v, {x}.v)))"
+    return f"""cand AS (SELECT c.src, c.dst, c.i, {unit("b")} AS u, list_dot_product({unit("a")}, {unit("b")}) AS own FROM ({candidates}) c JOIN e a ON a.vec_id = c.src JOIN e b ON b.vec_id = c.dst),
+ r AS (SELECT DISTINCT src, -1::BIGINT AS i, []::DOUBLE[][] AS kept, []::BIGINT[] AS ids FROM cand
+  UNION ALL SELECT src, i, CASE WHEN new THEN list_append(kept, u) ELSE kept END, CASE WHEN new THEN list_append(ids, dst) ELSE ids END FROM
+  (SELECT r.src, cand.i, kept, ids, u, dst, len(ids) < {m} AND len(list_filter(kept, lambda k: 1 - list_dot_product(k, u) < 1 - own)) = 0 AS new FROM r JOIN cand ON cand.src = r.src AND cand.i = r.i + 1))"""
+
+
+RECURSIVE = ALL_BEST.replace("WITH ", "WITH RECURSIVE ", 1)
+ENDS = "SELECT src, unnest(ids) AS dst, unnest(range(len(ids)))::BIGINT AS ordinal FROM (SELECT src, arg_max(ids, i) AS ids FROM r GROUP BY src)"
+
+
+@query("j03_diverse_neighbours", f"{RECURSIVE}, {greedy('SELECT query_id AS src, id AS dst, rank AS i FROM k WHERE rank < 32', 8)} {ENDS}")
 def j03(spark, sf):
     return G.diverse_neighbours(graph_rows(spark, sf), 32, 8)
 
@@ -184,7 +197,10 @@ def j04(spark, sf):
     return G.bidirectional(G.knn_graph(graph_rows(spark, sf), 8), 12).select("src", "dst", "ordinal")
 
 
-@query("j04_bidirectional_diverse")
+OVER = "SELECT src, dst, ordinal AS i FROM o WHERE ordinal < 48 AND src IN (SELECT src FROM o WHERE ordinal = 12)"
+
+
+@query("j04_bidirectional_diverse", f"{BOTH.replace('WITH ', 'WITH RECURSIVE ', 1)}, {greedy(OVER, 12)} {ENDS} UNION ALL SELECT src, dst, ordinal FROM o WHERE src NOT IN (SELECT src FROM o WHERE ordinal = 12)")
 def j04_diverse(spark, sf):
     return G.capped_both_ways(G.knn_graph(graph_rows(spark, sf), 8), graph_rows(spark, sf), 12)
 
@@ -200,11 +216,17 @@ def j06(spark, sf):
     return G.two_phase_search(X.queries(spark, sf), X.corpus(spark, sf), 40, 10, other=True).withColumn("score", r6("score"))
 
 
-@query("j06_codes_certain")
+CERTAIN = f"""{CODES}, f AS (SELECT q.vec_id AS query_id, t.vec_id AS id, sqrt(list_dot_product(q.v, q.v)) AS size, round(list_dot_product({DEQ}, q.v), 9) AS hint, {X.unit_score('q.v', 't.v')} AS score FROM t JOIN e q ON {X.asked('q', 't')}),
+ g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hint DESC, id) AS n FROM f), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM g WHERE n <= 150),
+ z AS (SELECT max(sqrt(list_sum(list_transform(list_zip(v, {DEQ}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS most FROM t)
+SELECT query_id, count(*) < 150 OR min(hint) + any_value(size) * any_value(most) < min(score) FILTER (rank <= 10) * any_value(size) AS certain FROM h, z GROUP BY query_id"""
+
+
+@query("j06_codes_certain", CERTAIN)
 def j06_certain(spark, sf):
     q, c = X.queries(spark, sf), X.corpus(spark, sf)
     codes = G.packed_codes(c)
-    return G.certain_queries(q, codes, G.two_phase_search(q, c, 40, 10, other=True, codes=codes), 40, other=True)
+    return G.certain_queries(q, codes, G.two_phase_search(q, c, 150, 10, other=True, codes=codes), 150, other=True)
 
 
 @query("j07_cell_search", f"{TOP} SELECT query_id, rank, id, {sql6('score')} AS score FROM ranked WHERE rank < 10")
