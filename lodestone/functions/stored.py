@@ -20,9 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestone-steps/{spark.sparkContext.applicationId}"
+
+
 def own_path(spark: SparkSession, label: str) -> str:
     """A new path for this application in the shared folder."""
-    return f"{shared_dir(spark)}/lodestone-steps/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Delete every table that this application has stored between steps; call it once its results are saved."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))  # noqa: SLF001 - the file system behind any Spark path
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)  # noqa: SLF001
 
 
 def stored(df: DataFrame, label: str, path: str | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import vectors as V
-from lodestone.functions.blocks import byte_codes, centres_of, code_products, lists, matrix, nearest_centre
+from lodestone.functions.blocks import byte_codes, centres_of, code_products, largest, lists, matrix, nearest_centre
 from lodestone.functions.stored import stored
 from lodestone.operators.nearest import DECIMALS, ranked
 
@@ -117,43 +117,48 @@ def _unit(chunk, units: int):
 
 
 def cell_bounds(queries: DataFrame, index: CellIndex, first: int | None = None) -> DataFrame:
-    """(query_id, leaf, chunks, n, place, most): leaves by the score of their centres, with the most that a member can score.
+    """(query_id, leaf, chunks, n, floor, most): leaves by the score of their centres, with the most that a member can score.
 
-    With ``first`` a query sees only that many leaves, taken from as many upper cells, nearest first, as
-    hold four times so many leaves; else all.
+    ``queries`` is (query_id, vector, floor) of unit vectors.  Upper cells and leaves of which no member can
+    reach a query's floor are left out where they are compared.  With ``first`` a query sees only that many
+    leaves, taken from as many upper cells, nearest first, as hold four times so many; else all that are left.
     """
     counts = {r["top"]: r["n"] for r in index.leaves.groupBy("top").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = np.array([counts.get(t, 0) for t in range(len(index.tops))])
-    tops = index.tops
+    tops, radius = index.tops, index.top_radius
 
     def to_tops(batches):
         for batch in batches:
             x = matrix(batch.column(1))
             if not len(x) or not len(tops):
                 continue
-            order = np.argsort(-(x @ tops.T), axis=1, kind="stable")
+            near = x @ tops.T
+            order = np.argsort(-near, axis=1, kind="stable")
             before = np.cumsum(size[order], axis=1) - size[order]
-            row, place = np.nonzero((before < 4 * first) if first else np.ones_like(before, bool))
-            top = order[row, place]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(top.astype(np.int32))], names=["query_id", "vector", "top"])
+            able = np.take_along_axis(near + radius, order, axis=1) + SLACK >= batch.column(2).to_numpy()[:, None]
+            row, place = np.nonzero(able & ((before < 4 * first) if first else True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in range(3)), pa.array(order[row, place].astype(np.int32))], names=["query_id", "vector", "floor", "top"])
 
-    met = queries.select("query_id", "vector").mapInArrow(to_tops, "query_id long, vector array<double>, top int")
+    met = queries.select("query_id", "vector", "floor").mapInArrow(to_tops, "query_id long, vector array<double>, floor double, top int")
     salted = met.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(8)).cast("int"))
     leaves = index.leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    empty = {"query_id": pa.int64(), "leaf": pa.int64(), "chunks": pa.int32(), "n": pa.int64(), "floor": pa.float64(), "near": pa.float64(), "most": pa.float64()}
 
     def score(key, asked, own):
         if not asked.num_rows or not own.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "leaf": pa.array([], pa.int64()), "chunks": pa.array([], pa.int32()), "n": pa.array([], pa.int64()), "near": pa.array([], pa.float64()), "most": pa.array([], pa.float64())})
+            return pa.table({n: pa.array([], t) for n, t in empty.items()})
         own = own.sort_by("leaf")
         near = matrix(asked.column("vector")) @ matrix(own.column("centre")).T
-        order = np.argsort(-near, axis=1, kind="stable")[:, :first]
-        row, at = np.repeat(np.arange(len(near)), order.shape[1]), order.ravel()
+        most = near + own.column("radius").to_numpy()
+        able = np.where(most + SLACK >= asked.column("floor").to_numpy()[:, None], near, -np.inf)
+        row, at = np.nonzero(np.isfinite(able)) if first is None else largest(able, first)
         take = pa.array(at)
-        most = near[row, at] + own.column("radius").to_numpy()[at]
-        return pa.table({"query_id": asked.column("query_id").take(pa.array(row)), **{c: own.column(c).take(take) for c in ("leaf", "chunks", "n")}, "near": near[row, at], "most": most})
+        return pa.table({"query_id": asked.column("query_id").take(pa.array(row)), **{c: own.column(c).take(take) for c in ("leaf", "chunks", "n")}, "floor": asked.column("floor").take(pa.array(row)), "near": near[row, at], "most": most[row, at]})
 
-    found = salted.groupBy("top", "salt").cogroup(leaves.groupBy("top", "salt")).applyInArrow(score, "query_id long, leaf long, chunks int, n long, near double, most double")
-    return ranked(found, ["query_id"], [F.desc("near"), "leaf"], first, "place").drop("near")
+    found = salted.groupBy("top", "salt").cogroup(leaves.groupBy("top", "salt")).applyInArrow(score, "query_id long, leaf long, chunks int, n long, floor double, near double, most double")
+    if first is None:
+        return found.drop("near")
+    return ranked(found, ["query_id"], [F.desc("near"), "leaf"], first, "place").drop("near", "place")
 
 
 def code_candidates(queries: DataFrame, visits: DataFrame, index: CellIndex, k: int, other: bool = False) -> DataFrame:
@@ -224,14 +229,12 @@ def search_cells(queries: DataFrame, index: CellIndex, k: int, probes: int | flo
 def candidates(asked: DataFrame, index: CellIndex, k: int, probes: int | float | None, first: int, other: bool) -> DataFrame:
     """(query_id, id): the vectors that :func:`search_cells` reads in full."""
     limit = max(1, round(probes * index.leaves.count())) if isinstance(probes, float) else probes
-    visits = stored(cell_bounds(asked, index, limit), "visits")
-    none = F.lit(-2.0)
-    near = visits.where(F.col("place") < first).withColumn("floor", none)
+    near = stored(cell_bounds(asked.withColumn("floor", F.lit(-2.0)), index, min(first, limit or first)), "near")
     begun = stored(code_candidates(asked, near, index, k, other), "begun")
-    floors = _floors(begun, k)
-    later = visits.where(F.col("place") >= first).join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", none)).where(F.col("most") + SLACK >= F.col("floor"))
-    rest = stored(code_candidates(asked, later, index, k, other), "rest")
-    both = begun.unionByName(rest)
+    floors = stored(_floors(begun, k), "floors")
+    bounded = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    later = cell_bounds(bounded, index, limit).join(near.select("query_id", "leaf"), ["query_id", "leaf"], "left_anti")
+    both = begun.unionByName(stored(code_candidates(asked, later, index, k, other), "rest"))
     return both.join(_floors(both, k), "query_id", "left").where(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("query_id", "id")
 
 

@@ -63,11 +63,12 @@ def test_bounds_spare_most_of_a_clustered_table(clustered):
     queries, n = asked.count(), index.count
     full = cells.candidates(asked, index, 10, None, 4, True).count()
     assert full < 0.02 * queries * n  # vectors read in full
-    visits = cells.cell_bounds(asked, index)
-    begun = cells.code_candidates(asked, visits.where("place < 4").withColumn("floor", F.lit(-2.0)), index, 10, True)
-    later = visits.where("place >= 4").join(cells._floors(begun, 10), "query_id").where(F.col("most") >= F.col("floor"))
-    seen = visits.where("place < 4").agg(F.sum("n")).first()[0] + (later.agg(F.sum("n")).first()[0] or 0)
+    near = cells.cell_bounds(asked.withColumn("floor", F.lit(-2.0)), index, 4)
+    floors = cells._floors(cells.code_candidates(asked, near, index, 10, True), 10)
+    later = cells.cell_bounds(asked.join(floors, "query_id"), index).join(near, ["query_id", "leaf"], "left_anti")
+    seen = near.agg(F.sum("n")).first()[0] + (later.agg(F.sum("n")).first()[0] or 0)
     assert seen < 0.2 * queries * n  # codes read
+    assert later.count() < 0.2 * queries * index.leaves.count()  # and few leaves are named at all
 
 
 def test_recall_of_limited_probes(clustered):
@@ -170,3 +171,15 @@ def test_certain_queries_are_right(clustered):
     sure = {r["query_id"] for r in graph_search.certain_queries(asked, codes, found, 90).where("certain").collect()}
     want = [h for h in hits(nearest(asked, rows, 5)) if h[0] in sure]
     assert len(sure) > 10 and [h for h in hits(found) if h[0] in sure] == want
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from lodestone.functions import stored
+
+    table = stored.stored(spark.range(5), "five")
+    folder = Path(stored._own_dir(spark).removeprefix("file:"))
+    assert table.count() == 5 and folder.exists()
+    stored.clear_stored(spark)
+    assert not folder.exists()
