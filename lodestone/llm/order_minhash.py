@@ -1,11 +1,8 @@
 """Order MinHash fingerprints with DataFrame functions only.
 
-k-mers are substrings of ``k`` characters, white space included (shorter at the end of the text).  They
-start at the text's first character, at every run of white space and every ``run`` characters within it,
-and at every character that has ``run`` others without white space before it; so words, long runs without
-blanks and long runs of blanks give k-mers, and an inserted character changes those near it only.  In prose
-that is about a quarter of all places (the README gives the cost of all).  k-mers are numbered by their
-occurrence in the text.
+k-mers are substrings of ``k`` characters, white space included (shorter at the end of the text).  Every
+character of the text starts one, so an inserted character changes those near it only.  k-mers are
+numbered by their occurrence in the text.
 
 Every one of the ``m`` sketches orders these numbered k-mers of the text, takes the ``l`` smallest, puts
 them back in text order and hashes that tuple.  The orders are rotations of one hash: a sketch's
@@ -51,22 +48,23 @@ def rotations(m: int) -> list[int]:
     return [(-(2**63) + j * (2**64 // m)) & ~LOW for j in range(m)]
 
 
-def signature(text: Column, k: int = 16, l: int = 2, m: int = 48, run: int = 6) -> Column:  # noqa: E741
-    """Array of ``m`` tuple hashes (unsigned 32-bit values as long).  Null counts as empty; an empty text is one empty k-mer."""
-    text = F.coalesce(text, F.lit(""))
-    kmers = F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{1,%d}))(?:\s{1,%d}+\S{0,%d}+|^\S{1,%d}+|\S)" % (k, run, run, run)), F.lit(1))
+def _numbered(s: Column) -> Column:
+    """Sorted packed k-mers: first occurrences keep their hash, later ones are hashed with their number."""
+
+    def same(x: Column, y: Column) -> Column:
+        return F.shiftrightunsigned(x.bitwiseXOR(y), PLACE) == 0
+
+    def number(x: Column, j: Column, steps: Column) -> Column:
+        first = F.when(same(x, F.get(s, j - 2)), _first_from(s, steps, x.bitwiseAND(F.lit(~LOW)))).otherwise(j - 1)  # most k-mers that come again come twice
+        return F.when(same(x, F.get(s, j - 1)), _pack(F.xxhash64(F.shiftright(x, PLACE), j - first), _place(x))).otherwise(x)
 
-    def numbered(s: Column) -> Column:
-        """First occurrences keep their hash, later ones are hashed with their number."""
+    return let(_steps(F.size(s), PLACE), lambda steps: F.transform(s, lambda x, j: number(x, j, steps)))
 
-        def number(x: Column, j: Column, steps: Column) -> Column:
-            again = F.shiftrightunsigned(x.bitwiseXOR(F.get(s, j - 1)), PLACE) == 0
-            first = _first_from(s, steps, x.bitwiseAND(F.lit(~LOW)))
-            return F.when(again, _pack(F.xxhash64(F.shiftright(x, PLACE), j - first), _place(x))).otherwise(x)
 
-        return let(_steps(F.size(s), PLACE), lambda steps: F.transform(s, lambda x, j: number(x, j, steps)))
+def _sketches(p: Column, l: int, m: int) -> Column:  # noqa: E741
+    """Tuple hashes of the ``m`` rotations over sorted, numbered k-mers."""
 
-    def sketch(p: Column, steps: Column, start: Column) -> Column:
+    def sketch(steps: Column, start: Column) -> Column:
         def tuple_hash(at: Column) -> Column:
             chosen = [F.get(p, F.when(at + t < F.size(p), at + t).otherwise((at + t) % F.size(p))) for t in range(l)]
             chosen = F.slice(F.array(*chosen), F.lit(1), F.least(F.lit(l), F.size(p)))
@@ -75,12 +73,38 @@ def signature(text: Column, k: int = 16, l: int = 2, m: int = 48, run: int = 6)
 
         return let(_first_from(p, steps, start), tuple_hash)
 
-    def sketches(p: Column) -> Column:
-        return let(_steps(F.size(p), PLACE), lambda steps: F.transform(F.array(*[F.lit(s).cast("long") for s in rotations(m)]), lambda start: sketch(p, steps, start)))
+    return let(_steps(F.size(p), PLACE), lambda steps: F.transform(F.array(*[F.lit(s).cast("long") for s in rotations(m)]), lambda start: sketch(steps, start)))
+
+
+def with_signature(rows: DataFrame, text: str = "text", into: str = "signature", k: int = 16, l: int = 2, m: int = 48) -> DataFrame:  # noqa: E741
+    """``rows`` with ``into``: ``m`` tuple hashes (unsigned 32-bit values as long) of all k-mers of ``text``.
+
+    Null counts as empty; an empty text is one empty k-mer.  The sorted k-mers are columns on the way, as
+    Spark sorts longs with generated code there and boxed ones within a lambda.  In UTF-32 a k-mer is found
+    by its place.  A text's k-mers are in memory at once.
+    """
 
+    def kmers(wide: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.octet_length(wide) - 3, F.lit(1)), F.lit(4))
+        return F.transform(starts, lambda at, i: _pack(F.xxhash64(F.substring(wide, at, F.lit(4 * k))), i.cast("long")))
+
+    found, numbered = f"{into}_found", f"{into}_numbered"
+    rows = rows.withColumn(found, F.sort_array(let(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-32"), kmers)))
+    rows = rows.withColumn(numbered, F.sort_array(_numbered(F.col(found))))
+    return rows.withColumn(into, _sketches(F.col(numbered), l, m)).drop(found, numbered)
+
+
+def signature(text: Column, k: int = 16, l: int = 2, m: int = 48, run: int = 6) -> Column:  # noqa: E741
+    """As :func:`with_signature`, as one expression and of thinned k-mers; no query uses it, and the two do not compare.
+
+    k-mers start at the text's first character, at every run of white space and every ``run`` characters
+    within it, and at every character that has ``run`` others without white space before it.
+    """
+    text = F.coalesce(text, F.lit(""))
+    kmers = F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{1,%d}))(?:\s{1,%d}+\S{0,%d}+|^\S{1,%d}+|\S)" % (k, run, run, run)), F.lit(1))
     found = F.transform(kmers, lambda x, i: _pack(F.xxhash64(x), i.cast("long")))
     found = let(found, lambda f: F.when(F.size(f) == 0, F.array(_pack(F.xxhash64(text), F.lit(0).cast("long")))).otherwise(f))
-    return let(F.sort_array(let(F.sort_array(found), numbered)), sketches)
+    return let(F.sort_array(let(F.sort_array(found), _numbered)), lambda p: _sketches(p, l, m))
 
 
 def fingerprint(signature: Column) -> Column:
@@ -142,7 +166,8 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", bucket_r
     heads = heads.select(F.col("bucket").alias("into"), follow.alias("head")).select("into", F.col("head.k").alias("k"), F.col("head.tie").alias("t"))
     lent = rows.join(F.broadcast(heads), F.col(key).eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t")))
     lent = lent.select(key, text, "tie", F.col("into").alias("bucket"), F.lit(1).alias("lent"))
-    both = rows.select(key, text, "tie", "bucket", F.lit(0).alias("lent")).union(lent).withColumn("signature", signature(F.col(text)))
+    both = rows.select(key, text, "tie", "bucket", F.lit(0).alias("lent")).union(lent)
+    both = with_signature(both, text)
     order = Window.partitionBy("bucket").orderBy("lent", F.col(key).desc_nulls_last(), F.col("tie").desc())
     moved = both.withColumns({"next_text": F.lead(text).over(order), "next_signature": F.lead("signature").over(order)})
     return moved.where("lent = 0").select(key, text, "signature", "next_text", "next_signature")

@@ -46,7 +46,7 @@ def op4_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodestone.llm import order_minhash as omh
 
     rows = omh.with_next(_documents(spark, sf_dir).select("doc_id", "text"))
-    rows = rows.withColumn("edited", omh.edited(F.col("text"), F.col("next_text"))).withColumn("edited_signature", omh.signature(F.col("edited")))
+    rows = omh.with_signature(rows.withColumn("edited", omh.edited(F.col("text"), F.col("next_text"))), "edited", "edited_signature")
     return rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         omh.fingerprint(F.col("signature")).alias("fingerprint"), omh.fingerprint(F.col("edited_signature")).alias("edited_fingerprint"),
