@@ -13,7 +13,7 @@ from lodestone.functions import vectors as V
 from lodestone.functions.blocks import matrix
 from lodestone.functions.keys import seeded_order
 from lodestone.functions.stored import stored
-from lodestone.operators.nearest import nearest, nearest_scalar, numbered, ranked, with_group
+from lodestone.operators.nearest import nearest, numbered, ranked, scalar_hits, with_group
 
 
 def row_zscores(scores: DataFrame) -> DataFrame:
@@ -108,11 +108,13 @@ def frequency_matching(observed: DataFrame, reference: DataFrame, mapping: DataF
 
     Tokens with the same share are ordered by id.
     """
-    asked = token_frequencies(observed).select(F.col("token").alias("query_id"), F.round("share", 12).alias("value"))
-    known = token_frequencies(reference).select(F.col("token").alias("id"), F.round("share", 12).alias("value"))
-    near = nearest_scalar(asked, known, max(ks))
-    truth = asked.select("query_id").join(mapping.select(F.col("observed").alias("query_id"), F.col("reference").alias("truth")), "query_id")
-    return topk_rate(near, truth, ks)
+    share = F.round(F.col("share") * 1e12) / 1e12
+    asked = token_frequencies(observed).select(F.col("token").alias("observed"), share.alias("value"))
+    known = token_frequencies(reference).select(F.col("token").alias("id"), share.alias("value"))
+    asked = stored(asked.join(mapping.select("observed", F.col("reference").alias("truth")), "observed"), "asked")
+    hits = stored(asked.select("value").distinct().join(scalar_hits(asked, known, max(ks)), "value", "left"), "hits")  # a row for each share, of which there are few
+    place = with_group(asked, hits, ["value"]).withColumn("place", F.array_position(F.transform("hits", lambda h: h["id"]), F.col("truth")))  # from 1; 0 if it is not there
+    return place.agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.avg(F.col("place").between(1, k).cast("double")), F.lit(0.0)).alias(f"top{k}") for k in ks])
 
 
 def bigram_counts(sequences: DataFrame, tokens: str = "tokens") -> DataFrame:
