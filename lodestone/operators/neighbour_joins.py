@@ -123,6 +123,14 @@ def neighbour_graph(rows: DataFrame, m: int, pool: int = 40, block: int = 512, d
     return ranked(edges, ["src"], order, m, "ordinal").select("src", "dst", "ordinal", "score")
 
 
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, numbers added in order: the same numbers give the same bits, so equal distances compare as equal."""
+    total = np.zeros(len(a))
+    for n in range(a.shape[1]):
+        total += a[:, n] * b[..., n]
+    return total
+
+
 def select_diverse(candidates: DataFrame, rows: DataFrame, m: int) -> DataFrame:
     """(src, dst, ordinal): of (src, dst, ordinal), nearest first, those nearer to ``src`` than to any kept before; at most ``m``.
 
@@ -149,17 +157,19 @@ def select_diverse(candidates: DataFrame, rows: DataFrame, m: int) -> DataFrame:
 
     def chosen(table: pa.Table) -> pa.RecordBatch:
         src, dst, own, near = table.column("src").to_numpy(), table.column("dst").to_numpy(), matrix(table.column("a")), matrix(table.column("b"))
-        to_own = 1 - np.einsum("ij,ij->i", own, near)
+        to_own = 1 - in_order(own, near)
         cuts = [0, *(np.flatnonzero(src[1:] != src[:-1]) + 1).tolist(), len(src)]
         at: list[int] = []
         ordinal: list[int] = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            between, kept = 1 - near[a:b] @ near[a:b].T, []
+            kept: list[int] = []
+            able = np.ones(b - a, bool)  # not nearer to any kept than to the source
             for c in range(b - a):
                 if len(kept) == m:
                     break
-                if not kept or (between[kept, c] >= to_own[a + c]).all():
+                if able[c]:
                     kept.append(c)
+                    able &= 1 - in_order(near[a:b], near[a + c]) >= to_own[a:b]
             at += [a + c for c in kept]
             ordinal += range(len(kept))
         return pa.RecordBatch.from_arrays([pa.array(src[at]), pa.array(dst[at]), pa.array(ordinal, pa.int32())], names=["src", "dst", "ordinal"])
