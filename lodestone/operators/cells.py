@@ -23,6 +23,8 @@ from lodestone.operators.nearest import DECIMALS, ranked
 
 UNIT_ROWS = 16_384  # members that are compared with queries at once
 TOP_ROWS = 50_000  # members of an upper cell that are placed at once
+LEAVES, PIECES = 4096, 1 << 20  # leaves of an upper cell and units of it are numbered below these
+QUERY_ROWS = 16_384  # queries that meet a unit at once
 SLACK = 1e-6  # for rounding, in bounds
 
 
@@ -30,7 +32,8 @@ SLACK = 1e-6  # for rounding, in bounds
 class CellIndex:
     """``tops``: centres and radii of the upper level, at most ``most_tops`` of them; ``leaves`` and ``rows`` are tables.
 
-    leaves (leaf, top, centre, radius, n), rows (leaf, unit, id, codes, step, error, vector).
+    leaves (leaf, top, centre, radius, n, chunks), rows (leaf, unit, id, codes, step, error, vector).  An upper cell's
+    rows lie in as many units as ``pieces`` says.
     """
 
     tops: np.ndarray
@@ -39,6 +42,7 @@ class CellIndex:
     rows: DataFrame
     units: int
     count: int
+    pieces: dict[int, int]
 
 
 def build_cells(vectors: DataFrame, leaf_rows: int = 64, sample: int = 50_000, most_tops: int = 1024, seed: int = 1) -> CellIndex:
@@ -99,36 +103,35 @@ def build_cells(vectors: DataFrame, leaf_rows: int = 64, sample: int = 50_000, m
             "codes": pa.array([c.tobytes() for c in codes], pa.binary()), "step": step, "error": error, "vector": members.column("vector"),
         })
 
-    units = max(1, -(-count // UNIT_ROWS))
-    leaf = (F.col("top").cast("long") * 4096 + F.col("slot")).alias("leaf")
+    pieces = {t: -(-n // UNIT_ROWS) for t, (n, _) in sizes.items()}
+    leaf = (F.col("top").cast("long") * LEAVES + F.col("slot")).alias("leaf")
     made = dealt.groupBy("top", "salt").cogroup(centres.groupBy("top", "salt")).applyInArrow(to_leaf, "top int, slot int, id long, far double, codes binary, step double, error double, vector array<double>")
     members = stored(made.select("top", "slot", leaf, "id", "far", "codes", "step", "error", "vector"), "members")
     stats = members.groupBy("leaf", "top", "slot").agg(F.max("far").alias("radius"), F.count(F.lit(1)).alias("n"))
-    leaves = stats.join(slots, ["top", "slot"], "left").select("leaf", "top", F.coalesce("centre", F.array(*[F.lit(0.0)] * wide)).alias("centre"), "radius", "n", (F.ceil(F.col("n") / UNIT_ROWS)).cast("int").alias("chunks"))
-    leaves = stored(leaves, "leaves")
-    rows = members.join(leaves.select("leaf", "chunks"), "leaf").select("leaf", _unit(F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"), units).alias("unit"), "id", "codes", "step", "error", "vector")
+    chunks = by_top(pieces, "int")
+    leaves = stats.join(slots, ["top", "slot"], "left").select("leaf", "top", F.coalesce("centre", F.array(*[F.lit(0.0)] * wide)).alias("centre"), "radius", "n", chunks.alias("chunks"))
+    rows = members.select("leaf", _unit(F.col("leaf"), F.pmod(F.xxhash64("id"), chunks)).alias("unit"), "id", "codes", "step", "error", "vector")
     radius = np.array([sizes.get(t, (0, 0.0))[1] for t in range(len(tops))])
-    return CellIndex(tops, radius, leaves, stored(rows, "cells"), units, count)
+    return CellIndex(tops, radius, stored(leaves, "leaves"), rows, max(1, sum(pieces.values())), count, pieces)
 
 
-def _unit(chunk, units: int):
-    """Members meet queries in units of about ``UNIT_ROWS``: a leaf lies in one, unless it is larger than that."""
-    return F.pmod(F.xxhash64(F.col("leaf"), chunk), F.lit(units)).cast("int")
+def _unit(leaf, chunk):
+    """Members meet queries in units of about ``UNIT_ROWS``: the rows of an upper cell, dealt over several if there are more."""
+    return F.floor(leaf / LEAVES).cast("long") * PIECES + chunk
 
 
-def cell_bounds(queries: DataFrame, index: CellIndex, first: int | None = None) -> DataFrame:
-    """(query_id, leaf, chunks, n, floor, most): leaves by the score of their centres, with the most that a member can score.
+def _with_tops(queries: DataFrame, index: CellIndex, first: int | None, units: bool = False) -> DataFrame:
+    """(query_id, vector, floor, cut, top): the upper cells of which a member can reach a query's floor; with ``units`` top is a unit.
 
-    ``queries`` is (query_id, vector, floor) of unit vectors.  Upper cells and leaves of which no member can
-    reach a query's floor are left out where they are compared.  With ``first`` a query sees only that many
-    leaves, taken from as many upper cells, nearest first, as hold four times so many; else all that are left.
+    With ``first`` only as many upper cells, nearest first, as hold four times so many leaves.
     """
     counts = {r["top"]: r["n"] for r in index.leaves.groupBy("top").agg(F.count(F.lit(1)).alias("n")).collect()}
     size = np.array([counts.get(t, 0) for t in range(len(index.tops))])
+    pieces = np.array([index.pieces.get(t, 0) for t in range(len(index.tops))], np.int64)
     tops, radius = index.tops, index.top_radius
 
     def to_tops(batches):
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             x = matrix(batch.column(1))
             if not len(x) or not len(tops):
                 continue
@@ -137,11 +140,25 @@ def cell_bounds(queries: DataFrame, index: CellIndex, first: int | None = None)
             before = np.cumsum(size[order], axis=1) - size[order]
             able = np.take_along_axis(near + radius, order, axis=1) + SLACK >= batch.column(2).to_numpy()[:, None]
             row, place = np.nonzero(able & ((before < 4 * first) if first else True))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in range(3)), pa.array(order[row, place].astype(np.int32))], names=["query_id", "vector", "floor", "top"])
+            top = order[row, place]
+            if units:
+                row, top, times = np.repeat(row, pieces[top]), np.repeat(top, pieces[top]), pieces[top]
+                top = top * PIECES + np.arange(len(top)) - np.repeat(np.cumsum(times) - times, times)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row)) for k in range(4)), pa.array(top.astype(np.int64))], names=["query_id", "vector", "floor", "cut", "top"])
+
+    cut = F.col("cut") if "cut" in queries.columns else F.lit(-2.0).alias("cut")
+    return queries.select("query_id", "vector", "floor", cut).mapInArrow(to_tops, "query_id long, vector array<double>, floor double, cut double, top long")
+
+
+def cell_bounds(queries: DataFrame, index: CellIndex, first: int | None = None) -> DataFrame:
+    """(query_id, leaf, chunks, n, floor, most): leaves by the score of their centres, with the most that a member can score.
 
-    met = queries.select("query_id", "vector", "floor").mapInArrow(to_tops, "query_id long, vector array<double>, floor double, top int")
-    salted = met.withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(8)).cast("int"))
-    leaves = index.leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    ``queries`` is (query_id, vector, floor) of unit vectors.  Upper cells and leaves of which no member can
+    reach a query's floor are left out where they are compared.  With ``first`` a query sees only that many
+    leaves, taken from as many upper cells, nearest first, as hold four times so many; else all that are left.
+    """
+    salted = _with_tops(queries, index, first).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(8)).cast("int"))
+    leaves = index.leaves.withColumns({"top": F.col("top").cast("long"), "salt": F.explode(F.sequence(F.lit(0), F.lit(7)))})
     empty = {"query_id": pa.int64(), "leaf": pa.int64(), "chunks": pa.int32(), "n": pa.int64(), "floor": pa.float64(), "near": pa.float64(), "most": pa.float64()}
 
     def score(key, asked, own):
@@ -168,7 +185,7 @@ def code_candidates(queries: DataFrame, visits: DataFrame, index: CellIndex, k:
     ``low`` of its leaf.  Only codes are read.
     """
     sent = visits.join(queries.select("query_id", "vector"), "query_id").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    sent = sent.select(_unit(F.col("chunk"), index.units).alias("unit"), "leaf", "query_id", "vector", "floor")
+    sent = sent.select(_unit(F.col("leaf"), F.col("chunk")).alias("unit"), "leaf", "query_id", "vector", "floor")
     members = index.rows.select("unit", "leaf", "id", "codes", "step", "error")
     empty = {"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())}
 
@@ -230,12 +247,87 @@ def candidates(asked: DataFrame, index: CellIndex, k: int, probes: int | float |
     """(query_id, id): the vectors that :func:`search_cells` reads in full."""
     limit = max(1, round(probes * index.leaves.count())) if isinstance(probes, float) else probes
     near = stored(cell_bounds(asked.withColumn("floor", F.lit(-2.0)), index, min(first, limit or first)), "near")
-    begun = stored(code_candidates(asked, near, index, k, other), "begun")
+    begun = code_candidates(asked, near, index, k, other)
     floors = stored(_floors(begun, k), "floors")
     bounded = asked.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-    later = cell_bounds(bounded, index, limit).join(near.select("query_id", "leaf"), ["query_id", "leaf"], "left_anti")
-    both = begun.unionByName(stored(code_candidates(asked, later, index, k, other), "rest"))
-    return both.join(_floors(both, k), "query_id", "left").where(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("query_id", "id")
+    if limit is not None:
+        bounded = bounded.join(leaf_cuts(bounded, index, limit), "query_id", "left").withColumn("cut", F.coalesce("cut", F.lit(-2.0)))
+    found = stored(unit_candidates(bounded, index, k, limit, other), "found")
+    return found.join(_floors(found, k), "query_id", "left").where(F.col("floor").isNull() | (F.col("high") >= F.col("floor"))).select("query_id", "id")
+
+
+def leaf_cuts(queries: DataFrame, index: CellIndex, limit: int) -> DataFrame:
+    """(query_id, cut): the score of the centre of the ``limit``-th nearest leaf that can reach a query's floor (query_id, vector, floor).
+
+    A leaf is a number in an array, not a row; queries with fewer leaves are left out.
+    """
+    salted = _with_tops(queries, index, limit).withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(8)).cast("int"))
+    leaves = index.leaves.withColumns({"top": F.col("top").cast("long"), "salt": F.explode(F.sequence(F.lit(0), F.lit(7)))})
+
+    def score(key, asked, own):
+        if not asked.num_rows or not own.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.float32()))})
+        own = own.sort_by("leaf")
+        near = matrix(asked.column("vector")) @ matrix(own.column("centre")).T
+        able = near + own.column("radius").to_numpy() + SLACK >= asked.column("floor").to_numpy()[:, None]
+        return pa.table({"query_id": asked.column("query_id"), "near": pa.array([n[a].astype(np.float32) for n, a in zip(near, able, strict=True)], pa.list_(pa.float32()))})
+
+    parts = salted.groupBy("top", "salt").cogroup(leaves.groupBy("top", "salt")).applyInArrow(score, "query_id long, near array<float>")
+    near = F.sort_array(F.flatten(F.collect_list("near")), False)
+    return parts.groupBy("query_id").agg(F.get(near, F.lit(limit - 1)).cast("double").alias("cut")).where("cut IS NOT NULL").withColumn("cut", F.col("cut") - SLACK / 10)
+
+
+def unit_candidates(queries: DataFrame, index: CellIndex, k: int, limit: int | None = None, other: bool = False) -> DataFrame:
+    """(query_id, id, low, high) of the members that may be among the k best of each of (query_id, vector, floor, cut).
+
+    A query goes once to each unit of the upper cells that can reach its floor; which leaves it visits there (no
+    bound under the floor, no centre under the ``cut``) is decided beside their members, so no leaf and query are ever
+    a row.  A member goes if its ``high`` is under the floor or under the k-th ``low`` of its unit.
+    """
+    salts = max(1, -(-queries.count() // QUERY_ROWS))
+    sent = _with_tops(queries, index, limit, units=True).withColumnRenamed("top", "unit").withColumn("salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int"))
+    none = lambda *kinds: [F.lit(None).cast(kind).alias(name) for name, kind in kinds]
+    members = index.rows.select("unit", "leaf", "id", "codes", "step", "error", *none(("centre", "array<double>"), ("radius", "double")))
+    chunk = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    leaves = index.leaves.select("leaf", "centre", "radius", chunk).select(_unit(F.col("leaf"), F.col("chunk")).alias("unit"), "leaf", *none(("id", "long"), ("codes", "binary"), ("step", "double"), ("error", "double")), "centre", "radius")
+    own_side = members.union(leaves).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    empty = {"query_id": np.int64, "id": np.int64, "low": np.float64, "high": np.float64}
+
+    def compare(key, asked, own):
+        out = [[np.zeros(0, t)] for t in empty.values()]
+        if asked.num_rows and own.num_rows:
+            is_leaf = np.asarray(own.column("id").is_null())
+            around, own = (own.filter(pa.array(m)).sort_by([("leaf", "ascending"), ("id", "ascending")]) for m in (is_leaf, ~is_leaf))
+            x = matrix(asked.column("vector"))
+            floor, cut, qid = (asked.column(c).to_numpy() for c in ("floor", "cut", "query_id"))
+            codes = np.frombuffer(b"".join(own.column("codes").to_pylist()), np.int8).reshape(own.num_rows, -1)
+            step, error, ids = (own.column(c).to_numpy() for c in ("step", "error", "id"))
+            near = x @ matrix(around.column("centre")).T
+            visit = (near + around.column("radius").to_numpy() + SLACK >= floor[:, None]) & (near >= cut[:, None])
+            of = np.searchsorted(around.column("leaf").to_numpy(), own.column("leaf").to_numpy())
+            q_codes, q_step, q_error = byte_codes(x)
+            q_size = np.linalg.norm(x, axis=1)
+            for at in range(0, len(x), 256):
+                part = slice(at, at + 256)
+                mine = np.flatnonzero(visit[part].any(axis=0)[of])
+                if not len(mine):
+                    continue
+                score = code_products(q_codes[part], codes[mine]) * (q_step[part][:, None] * step[mine])
+                # q . x - q^ . x^ = q . (x - x^) + (q - q^) . x^, and x^ is no longer than 1 + error
+                spread = q_size[part][:, None] * error[mine] + q_error[part][:, None] * (1 + error[mine]) + SLACK
+                score[~visit[part][:, of[mine]]] = -np.inf
+                if other:
+                    score[qid[part][:, None] == ids[mine]] = -np.inf
+                low = score - spread
+                least = floor[part] - SLACK
+                if low.shape[1] >= k:
+                    least = np.maximum(least, np.partition(low, -k, axis=1)[:, -k])
+                row, col = np.nonzero((score + spread >= least[:, None]) & np.isfinite(score))
+                for values, more in zip(out, (qid[part][row], ids[mine[col]], low[row, col], (score + spread)[row, col]), strict=True):
+                    values.append(more)
+        return pa.table(dict(zip(empty, map(np.concatenate, out), strict=True)))
+
+    return sent.groupBy("unit", "salt").cogroup(own_side.groupBy("unit", "salt")).applyInArrow(compare, "query_id long, id long, low double, high double")
 
 
 def _exact(asked: DataFrame, found: DataFrame, index: CellIndex, k: int) -> DataFrame:
