@@ -167,25 +167,41 @@ def graph_counts(chunks: DataFrame, entities: DataFrame, relations: DataFrame) -
     return one(chunks, "chunks").join(one(entities, "entities")).join(one(relations, "relations"))
 
 
-def graph_query(queries: DataFrame, entities: DataFrame, relations: DataFrame, mentions: DataFrame, mode: str = "local", k_entities: int = 5, k_relations: int = 5, k_chunks: int = 2) -> DataFrame:
+def nearest_placed(queries: DataFrame, rows: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """:func:`nearest` for (id, place) rows that share the vectors of (place, vector): each vector is searched once.
+
+    A place stands for its smallest id, so the k first places hold the k first rows; of each place at most k rows follow.
+    """
+    first = rows.groupBy("place").agg(F.min("id").alias("id"))
+    hits = nearest(queries, vectors.join(first, "place").select("id", "vector"), k)
+    few = ranked(rows.select("place", "id"), ["place"], ["id"], k)
+    here = few.where("rank = 0").select("place", F.col("id").alias("first"))
+    full = hits.select("query_id", F.col("id").alias("first"), "score").join(here, "first").join(few.select("place", "id"), "place")
+    return ranked(full, ["query_id"], [F.desc("score"), "id"], k).select("query_id", "rank", "id", "score")
+
+
+def graph_query(queries: DataFrame, entities: DataFrame, relations: DataFrame, mentions: DataFrame, mode: str = "local", k_entities: int = 5, k_relations: int = 5, k_chunks: int = 2, vectors: DataFrame | None = None) -> DataFrame:
     """(query_id, part, pos, value): names, relation keys and chunk ids that answer each query, in order.
 
     ``queries`` is (query_id, low, high), ``entities`` (id, name, vector), ``relations`` (id, src, tgt,
     vector), ``mentions`` (name, pos, chunk_id).  Local: nearest entities, then the keys of relations
     at them in order, then their first chunks.  Hybrid: nearest relations come first among the keys
     and their ends follow the entities.  Values are distinct, where seen first; chunks are cut by
-    entity before that.
+    entity before that.  With ``vectors`` (place, vector) entities and relations have a place instead of a
+    vector, which may be that of many.
     """
     if mode not in ("local", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     place = lambda *parts: F.array(*[(F.lit(p) if isinstance(p, int) else F.col(p)).cast("long") for p in parts])  # noqa: E731 - arrays compare part by part
     seen = lambda kind, value, pos: F.struct(F.lit(kind).alias("kind"), value.alias("value"), pos.alias("pos"))
-    entities = stored(entities.select("id", "name", "vector"), "entities")  # searched, counted and looked up
-    hits = nearest(queries.select("query_id", F.col("low").alias("vector")), entities.select("id", "vector"), k_entities)
+    at = "vector" if vectors is None else "place"
+    search = nearest if vectors is None else lambda q, rows, k: nearest_placed(q, rows, vectors, k)
+    entities = stored(entities.select("id", "name", at), "entities")  # searched, counted and looked up
+    hits = search(queries.select("query_id", F.col("low").alias("vector")), entities.select("id", at), k_entities)
     stream = hits.join(entities.select("id", "name"), "id").select("query_id", seen("name", F.col("name"), place(0, "rank")).alias("s"))
     if mode == "hybrid":
-        relations = stored(relations.select("id", "src", "tgt", "vector"), "relations")
-        near = nearest(queries.select("query_id", F.col("high").alias("vector")), relations.select("id", "vector"), k_relations).join(relations.select("id", "src", "tgt"), "id")
+        relations = stored(relations.select("id", "src", "tgt", at), "relations")
+        near = search(queries.select("query_id", F.col("high").alias("vector")), relations.select("id", at), k_relations).join(relations.select("id", "src", "tgt"), "id")
         own = [seen("name", F.col("src"), place(1, "rank", 0)), seen("name", F.col("tgt"), place(1, "rank", 1)), seen("relation", relation_key(F.col("src"), F.col("tgt")), place(0, "rank"))]
         stream = stream.union(near.select("query_id", F.explode(F.array(*own))))
     stream = first_seen(stream.select("query_id", "s.*"), ["query_id", "kind"], "value", "pos")

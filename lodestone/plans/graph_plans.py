@@ -138,17 +138,22 @@ GRAPH = """ln AS (SELECT l_orderkey AS o, l_suppkey AS s, l_partkey AS p FROM li
  ment AS (SELECT DISTINCT 'S' || s AS name, o AS pos, 'o' || o AS chunk_id FROM ln UNION SELECT DISTINCT 'P' || p, o, 'o' || o FROM ln)"""
 
 
-def graph(spark, sf):
+def places(spark, sf):
+    """Entities and relations with the place of their vector, mentions, vectors."""
     ln = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
     vec = X.vectors(spark, sf).select(F.col("vec_id").alias("place"), F.col("v").alias("vector"))
     n = vec.count()
     name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
-    end = lambda kind, key, odd: F.struct((2 * F.col(key) + odd).alias("id"), name(kind, key).alias("name"), (F.col(key) % n).alias("place"))
-    ends = ln.select("o", F.explode(F.array(end("S", "s", 0), end("P", "p", 1))).alias("e"))
-    entities = ends.select("e.*").distinct().join(vec, "place").drop("place")
+    end = lambda kind, key, odd: ln.select(key).distinct().select((2 * F.col(key) + odd).alias("id"), name(kind, key).alias("name"), (F.col(key) % n).alias("place"))
     pairs = ln.select("p", "s").distinct().select((F.col("p") * 16777216 + F.col("s")).alias("id"), name("P", "p").alias("src"), name("S", "s").alias("tgt"), ((F.col("p") + F.col("s")) % n).alias("place"))
-    mentions = ends.select("e.name", F.col("o").alias("pos")).distinct().withColumn("chunk_id", F.concat(F.lit("o"), F.col("pos").cast("string")))
-    return entities, pairs.join(vec, "place").drop("place"), mentions
+    ends = ln.select(F.explode(F.array(name("S", "s"), name("P", "p"))).alias("name"), F.col("o").alias("pos"))
+    mentions = ends.distinct().withColumn("chunk_id", F.concat(F.lit("o"), F.col("pos").cast("string")))
+    return end("S", "s", 0).union(end("P", "p", 1)), pairs, mentions, vec
+
+
+def graph(spark, sf):
+    entities, relations, mentions, vec = places(spark, sf)
+    return entities.join(vec, "place").drop("place"), relations.join(vec, "place").drop("place"), mentions
 
 
 @query("g09_adjacency", f"WITH {GRAPH}, a AS (SELECT id, src AS name, src || '/' || tgt AS key FROM rels UNION ALL SELECT id, tgt, src || '/' || tgt FROM rels) SELECT name, string_agg(key, ',' ORDER BY id) AS keys FROM a GROUP BY name")
@@ -210,8 +215,8 @@ HYBRID_SQL = f"WITH {HYBRID}, {ANSWER.format(more=''' UNION ALL SELECT query_id,
 
 
 def found(spark, sf, mode):
-    entities, relations, mentions = graph(spark, sf)
-    return K.graph_query(asked(spark, sf), entities, relations, mentions, mode)
+    entities, relations, mentions, vectors = places(spark, sf)
+    return K.graph_query(asked(spark, sf), entities, relations, mentions, mode, vectors=vectors)
 
 
 def shown(rows):
